@@ -1,10 +1,11 @@
 """Exact deduplication by content sort.
 
-Sampled splitters deal rows out by (normalised bytes, slice of the identifier): `repartitionByRange` samples the
-rows for them. Within a range the external sort puts equal texts side by side, and the window's walk over the
-sorted rows compares each text in full with its neighbour. As the slice is part of the sort key, the splitters
-also cut through a text that a third of all rows share; what the ranges found of such a text then meets by
-SHA-256 and length, a row per range and slice at most, summed before the shuffle.
+Sampled splitters deal rows out by normalised bytes and a slice of the identifier: `repartitionByRange` samples the
+rows for them. A splitter holds a text's first 64 characters, its hash and the slice, so that what the driver
+gathers of the sample is bounded whatever the texts' lengths. Within a range the external sort puts equal texts
+side by side, and the window's walk over the sorted rows compares each whole text with its neighbour. As the slice
+is part of the sort key, the splitters also cut through a text that a third of all rows share; what the ranges found
+of such a text then meets by SHA-256 and length, summed before the shuffle.
 
 Edge cases: a null text counts as empty; empty and very long texts are texts like others. A null identifier
 loses to any other; groups of null identifiers keep one row. Of rows that repeat an identifier and a text one
@@ -30,10 +31,10 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", kee
         raise ValueError(f"keep must be smallest or largest, not {keep}")
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(id).alias("id"), (normalise(body) if normalise else body).alias("body"))
-    source = source.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    source = source.withColumns({"lead": F.left("body", F.lit(64)), "hash": F.xxhash64("body"), "slice": F.pmod(F.xxhash64("id"), F.lit(SLICES))})
     best = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    ranged = source.repartitionByRange("body", "slice").sortWithinPartitions("body", "slice", best)
-    beside = Window.partitionBy("body", "slice").orderBy(best)
+    ranged = source.repartitionByRange("lead", "hash", "slice").sortWithinPartitions("lead", "hash", "slice", "body", best)
+    beside = Window.partitionBy("lead", "hash", "slice", "body").orderBy(best)
     rows = cut(ranged.select(
         "id",
         (F.row_number().over(beside) == 1).alias("head"),
