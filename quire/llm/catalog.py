@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.exact import exact_groups
 from quire.llm.mixing import BLOCK_WORDS, REPEATS, SEED, SHARD_WORDS, SHARE, mix
+from quire.llm.simhash import near_groups
+from quire.llm.substring import remove_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +20,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), with_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -80,9 +90,26 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+SUBSTRING_SQL = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13)
+), firsts AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w
+), covered AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (w) WHERE first_id < doc_id) GROUP BY doc_id
+), left_over AS (
+  SELECT doc_id, len(words) AS n_words, len(coalesce(places, [])) AS n_removed,
+    list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(coalesce(places, []), p)) AS kept, words FROM split LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(list_transform(kept, lambda p: words[p]), ' ')) AS kept_sha256 FROM left_over
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op4_exact_dedup, op5_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL, "op5_substring_dedup": SUBSTRING_SQL}
