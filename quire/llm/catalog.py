@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import audio
+from quire.llm.common import shared_dir
 from quire.llm.exact import exact_groups
+from quire.llm.language import identify, train
 from quire.llm.mixing import BLOCK_WORDS, REPEATS, SEED, SHARD_WORDS, SHARE, mix
+from quire.llm.packing import pack
 from quire.llm.simhash import near_groups
 from quire.llm.substring import remove_repeats
+from quire.llm.tokens import count_tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +39,25 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = audio.store(documents(spark, sf_dir))
+    return audio.probe(stored)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, train(docs))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"  # a cache of this run's own; a job would name a lasting one
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -108,7 +134,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op4_exact_dedup, op5_substring_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
