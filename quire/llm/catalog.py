@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio
+from quire.llm import audio, licences, warc
 from quire.llm.common import shared_dir
 from quire.llm.exact import exact_groups
 from quire.llm.language import identify, train
@@ -58,6 +58,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -133,9 +141,20 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 """
 
 
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM sized
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM firsts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts, op9_warc_normaliser, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL, "op5_substring_dedup": SUBSTRING_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL, "op5_substring_dedup": SUBSTRING_SQL, "op9_warc_normaliser": WARC_SQL, "op10_licence_scan": licences.scan_sql()}
