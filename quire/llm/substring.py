@@ -43,18 +43,23 @@ SPANS = "id long, tag int, a int, b int"
 HEAD = struct.Struct("<qqq")
 
 
+KINDS = (np.int64, np.int32, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int32, np.int32)
+
+
 def seal(docs: np.ndarray, tags: np.ndarray, at: np.ndarray, lengths: np.ndarray, body: np.ndarray, done: list[np.ndarray]) -> bytes:
-    parts = [HEAD.pack(len(docs), len(body), len(done[0])), docs.tobytes(), tags.tobytes(), at.tobytes(), lengths.tobytes(), body.tobytes(), *(x.tobytes() for x in done)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    """One compressed string of a bucket's super-k-mers; numbers lie byte by byte, first the lowest byte of all, then the next."""
+    planes = [np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for x, kind in zip((docs, tags, at, lengths, body, *done), KINDS, strict=True)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([HEAD.pack(len(docs), len(body), len(done[0])), *planes]))
 
 
 def unseal(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, size, ready = HEAD.unpack_from(raw)
     out, place = [], HEAD.size
-    for kind, count in ((np.int64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint8, size), (np.int64, ready), (np.int32, ready), (np.int32, ready), (np.int32, ready)):
-        out.append(np.frombuffer(raw, kind, count, place))
-        place += count * np.dtype(kind).itemsize
+    for kind, count in zip(KINDS, (n, n, n, n, size, ready, ready, ready, ready), strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * width, place).reshape(width, count).T).reshape(-1).view(kind))
+        place += count * width
     return out
 
 
@@ -149,12 +154,20 @@ def bucket_spans(table: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": pa.array(ids, mask=ids == LAST), "tag": tag, "a": a, "b": b})
 
 
+def tagged(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, tag, text). Where identifiers repeat, the tag tells their texts apart; else it is 0, which costs nothing to move."""
+    ids = docs.select(F.col(id).cast("long").alias("id"))
+    repeated = ids.groupBy("id").count().where("count > 1").limit(1).count()
+    tag = F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int") if repeated else F.lit(0)
+    return docs.select(F.col(id).cast("long").alias("id"), tag.alias("tag"), F.col(text).alias("text"))
+
+
 def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MINIMISER, buckets: int | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(id, tag, a, b): words [a, b) of that row are covered by windows that a document of smaller id has too.
 
-    tag: 31 bits of the text's hash. A span appears once; spans of one row may touch or overlap.
+    tag: as `tagged` has it. A span appears once; spans of one row may touch or overlap.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), F.col(text).alias("text"))
+    rows = tagged(docs, id, text)
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(16, -(-size // BUCKET_BYTES))
@@ -189,7 +202,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     """One row per row of docs: (id, n_words, n_removed, kept): what is left, words joined by single spaces, or with_text=False its SHA-256."""
     found = repeated_spans(docs, id=id, text=text, **options)
     by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), F.col(text).alias("text"))
+    rows = tagged(docs, id, text)
     joined = rows.join(by_row, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("id", "text", "spans")
     out = joined.mapInArrow(lambda batches: apply_spans(batches, with_text), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)
