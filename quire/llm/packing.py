@@ -13,7 +13,7 @@ memory is bounded by a batch and a sequence. Nothing is shuffled: the sequences
 a retried task makes the same ones. A partition wastes less than one sequence at its end.
 
 Token ids: a text's ids are those of its words (parts between ASCII white space) in turn, since white space never
-is part of a token here; so each distinct word is encoded once a task, as far as a bounded cache holds them.
+is part of a token here; so each distinct word is encoded once a worker, as far as a bounded cache holds them.
 
 Edge cases: a null text is empty and has the end token only. Null and repeated identifiers pass as they are. A very
 long document spans many sequences. An empty table gives an empty result. Other columns play no part.
@@ -21,10 +21,14 @@ long document spans many sequences. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +48,46 @@ GRID = 256
 #: The shortest sequence that a power of two ends early, and what a sequence more is held to cost.
 LEAST_EVEN = 512
 EVEN_PENALTY = 8
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 BATCH_BYTES = 4 << 20
-STOPS = b".!?"
+
+
+#: How a tokenizer's file describes text handling that makes words, and letters and stops, independent.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: Lower-case letters up to U+00FF, and the space that ends a key.
+PLAIN_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+ ").fullmatch
+#: Byte-level vocabularies write printable Latin-1 bytes as they are, the others as U+0100 and following in order.
+BYTE_SIGNS = dict(zip([b for b in range(256) if b < 33 or 126 < b < 161 or b == 173], range(256, 400), strict=False))
 
 
 class WordIds:
-    """Token ids of words, each encoded once while the cache lasts. Place 0 holds the end token."""
+    """Token ids of words, each encoded once while the cache lasts. Place 0 holds the end token. A word's key ends in a space."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.model = self.tokenizer.model
         self.end = end
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_word = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER
         self.clear()
 
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words; those of plain lower-case letters are one unit of the model's, which needn't be looked for."""
+        plain = [PLAIN_WORD(w) is not None for w in words]
+        rest = iter(self.encode_texts([w[:-1].decode() for w, p in zip(words, plain, strict=True) if not p]))
+        return [[t.id for t in self.model.tokenize(w[:-1].decode("latin-1").translate(BYTE_SIGNS))] if p else next(rest) for w, p in zip(words, plain, strict=True)]
+
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = [np.array([self.end], np.uint32)]
@@ -70,39 +97,95 @@ class WordIds:
         """(ids of the cache, start and count of each word)"""
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.place]
+        at = list(map(self.place.get, words))
+        new = [w for w, i in zip(words, at, strict=True) if i is None]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            ids = [e.ids for e in self.encode([w.decode() for w in part], add_special_tokens=False)]
+            ids = self.encode(part)
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat.append(np.fromiter((x for e in ids for x in e), np.uint32, int(counts.sum())))
+            self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())))
             self.starts.append(self.total + np.cumsum(counts) - counts)
             self.counts.append(counts)
             self.total += int(counts.sum())
             self.place.update(zip(part, range(len(self.place) + 1, len(self.place) + 1 + len(part)), strict=True))
-        self.flat, self.starts, self.counts = ([np.concatenate(x)] for x in (self.flat, self.starts, self.counts))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if new:
+            self.flat, self.starts, self.counts = ([np.concatenate(x)] for x in (self.flat, self.starts, self.counts))
+            at = list(map(self.place.__getitem__, words))
+        at = np.array(at, np.int64)
         return self.flat[0], self.starts[0][at], self.counts[0][at]
 
 
+@lru_cache(2)
+def word_ids(path: str, end: int) -> WordIds:
+    """A worker's cache, kept from task to task."""
+    return WordIds(path, end)
+
+
+def flags(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+STOP_BYTES = flags(b".,;:!?")
+PLAIN = flags(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+NO_LETTERS = flags(bytes([0x97, 0xB7]))  # in U+00C0 to U+00FF, all others of which are letters
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(data with A-Z lower-cased, flags between a letter or digit and a stop): fewer distinct words, with the same ids.
+
+    The tokenizer lower-cases, and parts letters and digits from stops, in any case. Texts with a < stay as they are:
+    its special strings begin so, and are read in the text as it is.
+    """
+    n = len(data)
+    free = np.ones(n, bool)
+    signs = np.flatnonzero(data == ord("<"))
+    if len(signs):
+        texts = np.unique(np.searchsorted(offsets, signs, "right") - 1)
+        free[spans(offsets[texts], offsets[texts + 1] - offsets[texts])] = False
+    lowered = np.where(free & (data >= 65) & (data <= 90), data + np.uint8(32), data)
+    if n < 2:
+        return lowered, np.zeros(n, bool)
+    stop = STOP_BYTES[data]
+    pair = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & ~NO_LETTERS[data[1:]]
+    ends, begins = PLAIN[data], PLAIN[data]
+    ends[1:] |= pair
+    begins[:-1] |= pair
+    breaks = np.zeros(n, bool)
+    breaks[1:] = free[1:] & (ends[:-1] & stop[1:] | stop[:-1] & begins[1:])
+    return lowered, breaks
+
+
 def encode(texts: pa.Array, cache: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all texts with their end tokens, tokens of each text, positions after the ends of sentences)"""
-    words = scan_words(*text_bytes(texts))
+    """(ids of all texts with their end tokens, tokens of each text, positions after the ends of sentences)
+
+    A tokenizer of another kind than words are independent for gets whole texts, and no sentences are told.
+    """
+    if not cache.by_word:
+        ids = [[*x, cache.end] for x in cache.encode_texts([x or "" for x in texts.to_pylist()])]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes, np.zeros(0, np.int64)
+    data, offsets = text_bytes(texts)
+    lowered, breaks = units(data, offsets)
+    words = scan_words(lowered, offsets, breaks, hashed=False)
     n = len(words.starts)
     ends = np.append(words.starts, len(words.packed)).astype(np.int64)
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(words.packed)]).dictionary_encode()
-    distinct = [w[:-1] for w in coded.dictionary.to_pylist()]
-    flat, starts, counts = cache.of(distinct)
-    stops = np.fromiter((w[-1] in STOPS for w in distinct), bool, len(distinct))
+    flat, starts, counts = cache.of(coded.dictionary.to_pylist())
     of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    stops = SENTENCE_ENDS[words.packed[words.starts + words.lengths - 1]]
     at = words.firsts[1:]  # after each text's words comes the cache's place 0, the end token
-    start, count, stop = np.insert(starts[of], at, 0), np.insert(counts[of], at, 1), np.insert(stops[of], at, False)
+    start, count, stop = np.insert(starts[of], at, 0), np.insert(counts[of], at, 1), np.insert(stops, at, False)
     after = np.cumsum(count)
     last = at + np.arange(len(at))
     sizes = np.diff(np.append(0, after[last]))
     return flat[spans(start, count)], sizes, after[stop]
 
 
+SENTENCE_ENDS = flags(b".!?")
+
+
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, penalties) of the places to cut, from 0 on."""
     known = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
@@ -204,7 +287,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]). tokenizer: path of a file."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(tokenizer, end)
+        cache = word_ids(tokenizer, end)
         stream = Stream(size, TaskContext.get().partitionId() << 40)
         held = None
         for batch in small_batches(batches, "text", BATCH_BYTES):

@@ -54,11 +54,13 @@ class Words(NamedTuple):
     hashes: np.ndarray
 
 
-def scan_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of all texts: runs of bytes that aren't ASCII white space."""
+def scan_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None, hashed: bool = True) -> Words:
+    """The words of all texts: runs of bytes that aren't ASCII white space; breaks: flags where a new one begins nevertheless."""
     solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if breaks is not None:
+        edge[:-1] |= breaks
     before = np.empty_like(solid)
     before[:1] = False
     before[1:] = solid[:-1]
@@ -73,8 +75,8 @@ def scan_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     at = np.cumsum(lengths) - lengths
     packed = np.full(len(flat) + len(starts), 32, np.uint8)
     packed[np.arange(len(flat)) + np.repeat(np.arange(len(starts)), lengths)] = flat
-    if not len(starts):
-        return Words(packed, at, lengths, text, firsts, np.zeros(0, U64))
+    if not len(starts) or not hashed:
+        return Words(packed, at + np.arange(len(starts)), lengths, text, firsts, np.zeros(0, U64))
     place = np.arange(len(flat)) - np.repeat(at, lengths)
     sums = np.add.reduceat((flat.astype(U64) + U64(1)) * powers(0x100000001B3, int(lengths.max()))[place], at)
     return Words(packed, at + np.arange(len(starts)), lengths, text, firsts, mixed(sums + lengths.astype(U64)))

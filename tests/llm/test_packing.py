@@ -75,6 +75,27 @@ def test_odd_rows(odd, none):
     assert pack(none, PATH).count() == 0
 
 
+def test_ids_of_odd_words():
+    import pyarrow as pa
+
+    from quire.llm.packing import WordIds, encode
+
+    texts = [
+        "It's. HE'S, we'LL! a.b;c 3.14 1,000 x...y …a. «Été», ÉTÉ. É×. ÷, œuvre, ß! a.) (b?) ...", "<|endoftext|> <|ENDOFTEXT|> A. <|startoftext|>. b", "e\u0301. a\u0301, \u0301. .\u0301 x\u00a0Y.Z\u3000W",
+        "", None, "ΣΑΣ. Σ, İ. ǅ!", "a.'s b,'t 's. .'s 'S", "漢字。かな. 한글, \U0001f600. \x00. a\x1cb", "AA.BB,CC;DD:EE!FF?GG", "0.1.2,3a4.b5",
+    ]
+    ids, sizes, _ = encode(pa.array(texts, pa.string()), WordIds(PATH, 1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ids_of(texts)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    ids, sizes, stops = encode(pa.array(texts, pa.string()), WordIds(other, 1))
+    t = Tokenizer.from_file(other)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts] and not len(stops)
+    every = "".join(map(chr, range(0x20, 0x250)))
+    words = [a + c + b for c in every for a, b in (("", ""), ("a", "b"), ("", "."), (".", "é"))]
+    ids, sizes, _ = encode(pa.array(words, pa.string()), WordIds(PATH, 1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ids_of(words)
+
+
 def cost(cuts, penalty, size):
     total = 0
     for a, b in zip(cuts, cuts[1:], strict=False):
