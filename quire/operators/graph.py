@@ -32,3 +32,28 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
         before, now = now, _mark(links)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def cycle_members(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """(node, component) for each node on a directed cycle, loops included; component is the smallest node of its cycle's.
+
+    Reachability by squaring: a round joins the paths so far end to end, so that rounds grow with the logarithm of the
+    longest path. Nodes without a way in or out are peeled off first, which leaves most graphs empty.
+    """
+    links = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null").distinct())
+    size = links.count()
+    while size:
+        heads, tails = links.select(F.col("u").alias("_n")), links.select(F.col("v").alias("_n"))
+        links = cut(links.join(tails.distinct(), F.col("u") == F.col("_n"), "left_semi").join(heads.distinct(), F.col("v") == F.col("_n"), "left_semi"))
+        left = links.count()
+        if left == size:
+            break
+        size = left
+    paths, before = links, 0
+    while size and size != before:
+        more = paths.alias("a").join(paths.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"))
+        paths = cut(paths.union(more).distinct())
+        before, size = size, paths.count()
+    back = paths.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    mutual = paths.join(back, ["u", "v"], "left_semi")
+    return mutual.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -2,10 +2,381 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quire.functions.text import chinese_number, list_marker, note_number, reference_parts, relative, resolve
+from quire.operators import changes, graph, matching, ordered, report
+from quire.plans import checks
+from quire.plans.model import Publication
+from quire.sources import packages
+from quire.sources.markup import attr, shred
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: A total order of an order's lines.
+LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+LINES_SQL = ", ".join(LINES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, level, previous FROM (
+  SELECT *, lag(level) OVER (PARTITION BY l_orderkey ORDER BY {LINES_SQL}) AS previous FROM (SELECT *, l_quantity::INT % 6 + 1 AS level FROM lineitem)
+) WHERE level > previous + 1""")
+def heading_jump(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("level", F.col("l_quantity").cast("int") % 6 + 1)
+    return ordered.jumps(lines, ["l_orderkey"], LINES, "level").select("l_orderkey", "l_linenumber", "l_partkey", "level", "previous")
+
+
+@query("""
+SELECT o_custkey, coalesce(bool_or(falls), false) AS conflict FROM (
+  SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > o_orderkey AS falls FROM orders
+) GROUP BY o_custkey""")
+def order_conflict(spark, d):
+    return ordered.order_conflicts(table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, occurrence::INT AS occurrence, first FROM (
+  SELECT *, row_number() OVER w AS occurrence, first_value(l_partkey) OVER w AS first FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINES_SQL})
+) WHERE occurrence > 1""")
+def dup_key_after_first(spark, d):
+    return ordered.after_first(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], LINES, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "occurrence", "first")
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_missing(spark, d):
+    return matching.missing(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) o
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+  AND NOT (n = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""")
+def toc_cover(spark, d):
+    named = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    wholes = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return matching.covered_by_first(orders, named, wholes, "o_orderkey", "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+def page_elements(spark, d) -> DataFrame:
+    return shred(table(spark, d, "pages"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1), F.col("page_id").cast("string"), "html", soup=True)
+
+
+@query("""
+SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs,
+  len(regexp_extract_all(html, '<li>'))::BIGINT AS items, len(regexp_extract_all(html, '<b>'))::BIGINT AS bolds, len(regexp_extract_all(html, '<h[1-6]>'))::BIGINT AS headings
+FROM pages""")
+def page_structure(spark, d):
+    count = lambda condition: F.count(F.when(condition, 1))
+    return page_elements(spark, d).groupBy(F.col("doc").cast("long").alias("page_id")).agg(
+        F.max(F.when(F.col("tag") == "html", attr("lang"))).alias("lang"), count(F.col("tag") == "p").alias("paragraphs"), count(F.col("tag") == "li").alias("items"),
+        count(F.col("tag") == "b").alias("bolds"), count(F.col("tag").rlike("^h[1-6]$")).alias("headings"),
+    )
+
+
+@query("""
+WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, href, count(*) AS n FROM links WHERE href NOT IN (SELECT href FROM links WHERE page_id % 2 = 0) GROUP BY page_id, href""")
+def link_extract(spark, d):
+    found = page_elements(spark, d).where("tag = 'a' and map_contains_key(attrs, 'href')").select(F.col("doc").cast("long").alias("page_id"), attr("href").alias("href"))
+    return matching.missing(found, found.where("page_id % 2 = 0").select("href").distinct(), ["href"]).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, (place + coalesce(last_value(CASE WHEN l_returnflag = 'R' THEN l_partkey % 50 - place END IGNORE NULLS) OVER w, 1))::BIGINT AS ordinal
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES_SQL}) - 1 AS place FROM lineitem)
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY place ROWS UNBOUNDED PRECEDING)""")
+def running_ordinal(spark, d):
+    value = F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 50)
+    return ordered.running_ordinal(table(spark, d, "lineitem"), ["l_orderkey"], LINES, value, F.lit(1)).select("l_orderkey", "l_linenumber", "l_partkey", "ordinal")
+
+
+@query("""
+SELECT event_id, user_id, event_type, relation FROM (
+  SELECT *, CASE WHEN one = event_type THEN 'split' WHEN one IN ('error', 'signup') AND two = event_type THEN 'interrupted' END AS relation FROM (
+    SELECT *, lead(event_type, 1) OVER w AS one, lead(event_type, 2) OVER w AS two FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+) WHERE event_type IN ('click', 'view', 'purchase') AND relation IS NOT NULL""")
+def adjacent_same(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return ordered.adjacent_same(events, ["user_id"], ["ts", "event_id"], "event_type", ["click", "view", "purchase"], ["error", "signup"]).select("event_id", "user_id", "event_type", "relation")
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS first_event, count(*) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events
+) GROUP BY user_id, event_type, island HAVING count(*) >= 2""")
+def islands(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    runs = ordered.islands(events, ["user_id"], ["ts", "event_id"], F.col("event_type") != F.col("lag_event_type"))
+    return runs.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).drop("run")
+
+
+@query("""
+SELECT o_custkey, min(o_orderkey) AS first_key, count(*) AS n FROM (SELECT *, o_orderkey // 100 - dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 100) AS island FROM orders)
+GROUP BY o_custkey, island HAVING count(*) >= 2""")
+def key_runs(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_orderkey") / 100).cast("long").alias("hundred"))
+    runs = ordered.islands(orders, ["o_custkey"], ["o_orderkey"], F.col("hundred") > F.col("lag_hundred") + 1)
+    return runs.groupBy("o_custkey", "run").agg(F.min("o_orderkey").alias("first_key"), F.count("*").alias("n")).drop("run")
+
+
+@query("""
+WITH sized AS (SELECT p_partkey, p_brand, (p_size // 4) * 1.5::DOUBLE AS indent FROM part),
+gaps AS (SELECT p_brand, indent, indent - lag(indent) OVER (PARTITION BY p_brand ORDER BY indent) AS gap FROM (SELECT DISTINCT p_brand, indent FROM sized)),
+steps AS (SELECT p_brand, least(min(CASE WHEN indent > 0 THEN indent END), min(CASE WHEN gap > 0 THEN gap END)) AS step FROM gaps GROUP BY p_brand)
+SELECT p_partkey, p_brand, indent, coalesce(round_even(indent / step, 0), 0)::INT AS level FROM sized JOIN steps USING (p_brand)""")
+def indent_levels(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", (F.floor(F.col("p_size") / 4) * F.lit(1.5)).cast("double").alias("indent"))
+    return ordered.indent_levels(parts, ["p_brand"], "indent").select("p_partkey", "p_brand", "indent", "level")
+
+
+@query("""
+SELECT c.event_id, e.event_id AS error_id, c.user_id FROM events c JOIN events e ON c.user_id = e.user_id AND c.ts > e.ts AND c.ts <= e.ts + INTERVAL 1 HOUR
+WHERE c.event_type = 'click' AND e.event_type = 'error'""")
+def interval_cover(spark, d):
+    events = table(spark, d, "events")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    errors = events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("begin"))
+    return matching.interval_cover(clicks, errors, ["user_id"], F.col("ts"), F.col("begin"), F.col("begin") + F.expr("INTERVAL 1 HOUR")).select("event_id", "error_id", "user_id")
+
+
+@query("""
+SELECT l_orderkey, slot_row, slot_col, count(*) AS n FROM (
+  SELECT l_orderkey, unnest(range(l_linenumber, l_linenumber + l_quantity::INT % 3 + 1))::INT AS slot_row, l_partkey, l_suppkey FROM lineitem), range(0, 2) AS t(c)
+, LATERAL (SELECT (l_suppkey % 5)::INT + c::INT AS slot_col) GROUP BY l_orderkey, slot_row, slot_col""")
+def grid_expand(spark, d):
+    cells = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).cast("int").alias("col"), (F.col("l_quantity").cast("int") % 3 + 1).alias("down"), F.lit(2).alias("right"))
+    return matching.grid_slots(cells, "l_linenumber", "col", "down", "right").groupBy("l_orderkey", "slot_row", "slot_col").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, p_brand, p_size, members FROM (
+  SELECT *, count(*) OVER (PARTITION BY p_brand, p_size) AS members, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part) WHERE members > 1 AND n > 1""")
+def group_dup_number(spark, d):
+    return matching.duplicate_numbers(table(spark, d, "part"), ["p_brand", "p_size"], ["p_partkey"]).select("p_partkey", "p_brand", "p_size", "members")
+
+
+@query("""
+SELECT l_suppkey, count(*) AS incoming, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice, l_linenumber) AS marks
+FROM lineitem WHERE l_quantity >= 48 GROUP BY l_suppkey HAVING count(*) > 3""")
+def multi_ref(spark, d):
+    lines = table(spark, d, "lineitem").where("l_quantity >= 48")
+    return matching.multi_referenced(lines, "l_suppkey", ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"], "l_linenumber", 3)
+
+
+EDGES_SQL = """SELECT DISTINCT c_nationkey AS u, s_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_discount >= 0.09 AND o_orderpriority = '1-URGENT'"""
+
+
+def trade(spark, d) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R' and l_discount >= 0.09")
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v")).distinct()
+
+
+@query(f"WITH e AS ({EDGES_SQL}) SELECT u, v FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.u = e.v AND b.v = e.u)")
+def missing_backlink(spark, d):
+    edges = trade(spark, d)
+    return matching.missing_back(edges, edges, "u", "v")
+
+
+@query(f"""
+WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT a.u AS node, min(a.v) AS component FROM r a JOIN r b ON a.u = b.v AND a.v = b.u GROUP BY a.u""")
+def cycle_members(spark, d):
+    return graph.cycle_members(trade(spark, d), "u", "v")
+
+
+@query(f"""
+WITH RECURSIVE e AS ({EDGES_SQL}), f AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), r AS (SELECT u, v FROM f UNION SELECT r.u, f.v FROM r JOIN f ON r.v = f.u)
+SELECT u AS node, min(v) AS component FROM r GROUP BY u""")
+def linked_components(spark, d):
+    return graph.connected_components(trade(spark, d), "u", "v")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey HAVING count(*) = 1),
+f AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING count(*) = 1)
+SELECT c_custkey, coalesce(o.k, f.k) AS o_orderkey, CASE WHEN o.k IS NOT NULL THEN 0 WHEN f.k IS NOT NULL THEN 1 END AS tier
+FROM customer LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN f ON c_custkey = f.o_custkey""")
+def unique_pair(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    tiers = [orders.where("o_orderstatus = 'O'"), orders.where("o_orderstatus = 'F'")]
+    return matching.unique_pair(table(spark, d, "customer").select("c_custkey"), tiers, "c_custkey", "o_orderkey")
+
+
+@query("""
+SELECT status, l_returnflag, count(*) AS n FROM (
+  SELECT l_returnflag, CASE WHEN k IS NULL THEN 'none' WHEN p_partkey IS NULL THEN 'missing' WHEN p_size > 25 THEN 'target' WHEN p_type IS NOT NULL THEN 'inner' ELSE 'other' END AS status
+  FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_partkey + l_suppkey % 2 * 1000 END AS k FROM lineitem) LEFT JOIN part ON k = p_partkey
+) GROUP BY status, l_returnflag""")
+def resolve_status(spark, d):
+    refs = table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") != 1, F.col("l_partkey") + F.col("l_suppkey") % 2 * 1000).alias("k"))
+    out = matching.resolve_status(refs, table(spark, d, "part"), "k", "p_partkey", F.col("p_size") > 25, "p_type")
+    return out.groupBy("status", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, word, count(*) AS lost FROM (
+  SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part EXCEPT ALL SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) FROM part
+) GROUP BY p_partkey, word""")
+def bag_difference(spark, d):
+    parts = table(spark, d, "part")
+    bag = lambda c: parts.select("p_partkey", F.explode(F.split(F.lower(c), " ")).alias("word"))
+    return matching.bag_difference(bag("p_name"), bag("p_type"), ["p_partkey"], "word")
+
+
+@query("""
+SELECT conv_id, kind, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub)::INT AS line FROM (
+  SELECT conv_id, turn, 0 AS sub, 'who' AS kind, role AS said FROM conversations UNION ALL
+  SELECT conv_id, turn, 1, CASE WHEN length(text) = 0 THEN 'warn' ELSE 'text' END, substr(text, 1, 40) FROM conversations)""")
+def narration(spark, d):
+    turns = table(spark, d, "conversations")
+    who = turns.select("conv_id", "turn", F.lit(0).alias("sub"), F.lit("who").alias("kind"), F.col("role").alias("said"))
+    text = turns.select("conv_id", "turn", F.lit(1).alias("sub"), F.when(F.length("text") == 0, "warn").otherwise("text").alias("kind"), F.substring("text", 1, 40).alias("said"))
+    return ordered.narration([who, text], ["conv_id"], ["turn", "sub"]).select("conv_id", "kind", "said", "line")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, ['num', 'paren', 'alpha', NULL][l_linenumber % 4 + 1] AS kind,
+  CASE l_linenumber % 4 WHEN 0 THEN l_linenumber WHEN 1 THEN l_suppkey % 100 WHEN 2 THEN l_suppkey % 26 + 1 END::INT AS number,
+  CASE WHEN l_linenumber % 4 = 1 THEN l_suppkey % 100 WHEN l_linenumber % 4 = 0 THEN l_linenumber END::INT AS note
+FROM lineitem""")
+def marker_parse(spark, d):
+    mark = (
+        F.when(F.col("l_linenumber") % 4 == 0, F.concat("l_linenumber", F.lit(". item"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("（"), F.col("l_suppkey") % 100, F.lit("） 項")))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.char(F.lit(97) + F.col("l_suppkey") % 26), F.lit(") item"))).otherwise(F.concat("l_linenumber", F.lit(".5 is no marker")))
+    )
+    lines = table(spark, d, "lineitem").withColumn("text", mark)
+    found = lines.withColumns({"m": list_marker(F.col("text")), "note": F.when(F.col("l_linenumber") % 4 < 2, note_number(F.col("text")))})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "m.kind", "m.number", "note")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def report_groups(spark, d):
+    return report.groups(table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts")), ["event_type", "hour"])
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def last_active(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return changes.last_active(events, ["user_id"], "event_id", F.col("event_type") != "error")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def topk(spark, d):
+    return ordered.top_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 20)
+
+
+@query("SELECT p_partkey, p_size + (p_partkey % 10 * 100)::INT AS value FROM part")
+def chinese_numbers(spark, d):
+    sign = lambda n: F.element_at(F.array(*[F.lit(c) for c in "零一二三四五六七八九"]), n + 1)
+    h, t, o = (F.col("p_partkey") % 10).cast("int"), F.floor(F.col("p_size") / 10).cast("int"), (F.col("p_size") % 10).cast("int")
+    text = F.concat(F.when(h > 0, F.concat(sign(h), F.lit("百"))).otherwise(""), F.when(t > 0, F.concat(sign(t), F.lit("十"))).otherwise(""), F.when(o > 0, sign(o)).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", chinese_number(text).alias("value"))
+
+
+@query("SELECT doc_id, 'a/d' || doc_id % 3 || '/t' || doc_id || '.xhtml' AS target, 'f' || doc_id % 5 AS frag, '../' || CASE WHEN doc_id % 2 = 0 THEN '../' ELSE '' END || 'd' || doc_id % 3 || '/t' || doc_id || '.xhtml#f' || doc_id % 5 AS ref FROM documents")
+def relative_paths(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a/b/c/x.xhtml").otherwise("a/b/x.xhtml").alias("doc"), F.concat(F.lit("a/d"), F.col("doc_id") % 3, F.lit("/t"), "doc_id", F.lit(".xhtml")).alias("to"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("at"))
+    made = docs.withColumn("ref", relative(F.col("doc"), F.col("to"), F.col("at")))
+    return made.select("doc_id", resolve(F.col("doc"), F.col("ref")).alias("target"), reference_parts(F.col("ref"))[1].alias("frag"), "ref")
+
+
+@query("""
+SELECT event_id, user_id, event_type, event_type <> 'error' AND coalesce(lead(k) OVER (PARTITION BY user_id, level ORDER BY event_id) = 'undo', false) AS undone FROM (
+  SELECT *, CASE WHEN k = 'undo' THEN h - floor + 1 ELSE h - floor END AS level FROM (
+    SELECT *, least(0, min(h) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS floor FROM (
+      SELECT *, CASE WHEN event_type = 'error' THEN 'undo' ELSE 'do' END AS k, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS h FROM events)))""")
+def undo_log(spark, d):
+    log = table(spark, d, "events").select("event_id", "user_id", "event_type", F.when(F.col("event_type") == "error", "undo").otherwise("do").alias("k"))
+    return changes.apply_undo(log, ["user_id"], "event_id", "k").select("event_id", "user_id", "event_type", "undone")
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') UNION ALL
+SELECT event_id + 1000000000, user_id, 'new' FROM events WHERE event_type = 'purchase'""")
+def replace_rows(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    new = events.where("event_type = 'purchase'").select((F.col("event_id") + 1_000_000_000).alias("event_id"), "user_id", F.lit("new").alias("event_type"))
+    return changes.replace_rows(events, new, ["user_id"])
+
+
+@query("""
+SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN n - 1 - pos ELSE pos END::INT AS pos FROM (
+  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""")
+def reorder(spark, d):
+    w = Window.partitionBy("o_custkey")
+    items = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("pos"))
+    order = items.withColumns({"n": F.count("*").over(w), "pos": (F.count("*").over(w) - 1 - F.col("pos")).cast("int")}).where("o_custkey % 2 = 0 or o_orderkey % 2 = 0").where("o_custkey % 2 = 0 or n > 1")
+    moved, _ = changes.reorder(items, order.where("o_custkey % 2 = 0").select("o_custkey", "o_orderkey", "pos"), ["o_custkey"], "o_orderkey", "pos")
+    return moved
+
+
+@query("SELECT source AS book, 'text/' || doc_id || '.txt' AS name, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha FROM documents")
+def package_round_trip(spark, d):
+    docs = table(spark, d, "documents")
+    entries = docs.select(F.col("source").alias("book"), F.concat(F.lit("text/"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"), F.col("doc_id").cast("int").alias("ord"))
+    shard = entries.withColumn("book", F.concat_ws("/", "book", F.floor(F.col("ord") / 1000)))  # a package holds what a task can
+    back = packages.unpack(packages.pack_books(shard))
+    return back.select(F.substring_index("book", "/", 1).alias("book"), "name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+
+
+def page_publication(spark, d) -> Publication:
+    """Each host's pages as a publication: pages in order of their numbers, a contents list that names two of three. Links aren't looked for in the reading order alone."""
+    elements = page_elements(spark, d)
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("book"), F.col("page_id").cast("string").alias("doc"), "page_id")
+    spine = pages.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("page_id")) - 1).alias("pos"), "doc")
+    contents = spine.where("pos % 3 <> 2").select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
+    manifest = pages.select("book", F.col("doc").alias("id"), F.col("doc").alias("href"), F.lit("text/html").alias("media_type"), F.array().cast("array<string>").alias("properties"))
+    return Publication(pages.select("book", F.col("doc").alias("name")), elements, manifest, spine, contents)
+
+
+@query("""
+WITH hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS book, page_id::VARCHAR AS doc, page_id, html FROM pages),
+links AS (SELECT book, doc, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM hosts)
+SELECT book, doc, 'LINK.NO_FILE' AS rule, count(*) AS n FROM links WHERE NOT EXISTS (SELECT 1 FROM hosts h WHERE h.book = links.book AND '/' || h.doc = links.href) GROUP BY book, doc
+UNION ALL SELECT book, doc, 'TOC.NO_CHAPTER', 1 FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_id) - 1 AS pos FROM hosts) WHERE pos % 3 = 2""")
+def page_checks(spark, d):
+    found = checks.run_checks(page_publication(spark, d), ["img_alt", "heading_hierarchy", "lang", "duplicate_id", "broken_anchor", "toc"])
+    return found.groupBy("book", "doc", "rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def issue_report(spark, d):
+    found = checks.run_checks(page_publication(spark, d), ["heading_hierarchy", "lang", "broken_anchor", "toc"]).withColumn("args", F.to_json("args"))
+    return report.html_report(found, "book", "check", ["doc", "path", "rule", "severity", "args"], ["doc", "path", "rule"])
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure findings of the pages, counted by host, page and rule."""
+    return page_checks(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
