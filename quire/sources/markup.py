@@ -28,7 +28,7 @@ class Shredder(HTMLParser):
 
     def __init__(self, soup: bool):
         super().__init__(convert_charrefs=True)
-        self.soup, self.rows, self.open = soup, [], []
+        self.soup, self.rows, self.open, self.top = soup, [], [], {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.soup and tag in CLOSES:
@@ -40,7 +40,7 @@ class Shredder(HTMLParser):
                     break
         up = self.rows[self.open[-1]] if self.open else None
         eid = len(self.rows)
-        seen = up["seen"] if up else {}
+        seen = up["seen"] if up else self.top
         seen[tag] = seen.get(tag, 0) + 1
         step = f"{tag}[{seen[tag]}]"
         row = {
