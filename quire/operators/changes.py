@@ -41,8 +41,8 @@ def replace_rows(old: DataFrame, new: DataFrame, key: Sequence[str], scope: Data
     return old.join(gone, list(key), "left_anti").unionByName(new)
 
 
-#: Attributes that an edit may set; heading_level is the element's tag.
-EDITABLE = ("alt", "lang", "epub:type", "heading_level", "id", "href", "scope", "headers", "start", "value", "role")
+#: Attributes that an edit may set; heading_level and tag change the element itself.
+EDITABLE = ("tag", "alt", "lang", "epub:type", "heading_level", "id", "href", "scope", "headers", "start", "value", "role")
 
 
 def set_attributes(elements: DataFrame, edits: DataFrame, key: Sequence[str] = ("book", "doc", "path")) -> tuple[DataFrame, DataFrame]:
@@ -50,18 +50,20 @@ def set_attributes(elements: DataFrame, edits: DataFrame, key: Sequence[str] = (
 
     edits: key, name, value; a null value removes the attribute. Of several edits of one attribute the largest value wins.
     """
-    known = elements.select(*key).withColumn("_known", F.lit(True)).distinct()
+    pairs = F.array(*[F.lit(x) for x in ("ul>ol", "ol>ul", "td>th", "th>td")])
+    known = elements.select(*key, "tag").withColumnsRenamed({"tag": "_tag"}).withColumn("_known", F.lit(True)).distinct()
     judged = edits.join(known, list(key), "left").withColumn(
         "reason", F.when(~F.col("name").isin(*EDITABLE), "attribute").when(F.col("_known").isNull(), "element").when((F.col("name") == "heading_level") & ~F.coalesce(F.col("value").rlike("^[1-6]$"), F.lit(False)), "value")
+        .when((F.col("name") == "tag") & ~F.coalesce(F.array_contains(pairs, F.concat_ws(">", "_tag", "value")), F.lit(False)), "value"),
     )
     bad = judged.where("reason is not null").select(*edits.columns, "reason")
     # an element with a bad edit gets none of its edits
     good = judged.where("reason is null").join(bad.select(*key).distinct(), list(key), "left_anti").groupBy(*key, "name").agg(F.max("value").alias("value"))
     made = good.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("value", F.lit("\x00"))))).alias("_set"))
     level = F.try_element_at("_set", F.lit("heading_level"))
-    attrs = F.map_filter(F.map_concat(F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_set", k)), F.map_filter("_set", lambda k, v: k != "heading_level")), lambda k, v: v != "\x00")
+    attrs = F.map_filter(F.map_concat(F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_set", k)), F.map_filter("_set", lambda k, v: ~k.isin("heading_level", "tag"))), lambda k, v: v != "\x00")
     joined = elements.join(made, list(key), "left")
-    changed = joined.withColumns({"attrs": F.when(F.col("_set").isNull(), F.col("attrs")).otherwise(attrs), "tag": F.when(level.isNotNull() & F.col("tag").rlike("^h[1-6]$"), F.concat(F.lit("h"), level)).otherwise(F.col("tag"))})
+    changed = joined.withColumns({"attrs": F.when(F.col("_set").isNull(), F.col("attrs")).otherwise(attrs), "tag": F.when(level.isNotNull() & F.col("tag").rlike("^h[1-6]$"), F.concat(F.lit("h"), level)).otherwise(F.coalesce(F.try_element_at("_set", F.lit("tag")), F.col("tag")))})
     return changed.select(*elements.columns), bad
 
 

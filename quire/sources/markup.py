@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ TEXT = 200
 
 ELEMENTS = (
     "book string, doc string, eid int, parent int, last int, depth int, tag string, nth int, child int, path string, attrs map<string,string>, "
-    "text string, joined string, in_nav boolean, anchor int, table_eid int, chain string"
+    "text string, joined string, in_nav boolean, anchor int, table_eid int, chain string, lines array<string>"
 )
 
 
@@ -46,8 +47,10 @@ class Shredder(HTMLParser):
         row = {
             "eid": eid, "parent": up["eid"] if up else None, "last": eid, "depth": len(self.open), "tag": tag, "nth": seen[tag], "child": sum(seen.values()) - 1,
             "path": f"{up['path']}/{step}" if up else step, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "spaced": [], "size": 0, "seen": {},
-            "in_nav": bool(up and (up["in_nav"] or up["tag"] == "nav")), "anchor": None, "table_eid": None, "chain": f"{up['chain']} {up['eid']}" if up else "",
+            "in_nav": bool(up and (up["in_nav"] or up["tag"] == "nav")), "anchor": None, "table_eid": None, "chain": f"{up['chain']} {up['eid']}" if up else "", "lines": [""] if tag == "p" else None,
         }
+        if tag == "br" and up and up["lines"]:
+            up["lines"].append("")
         if up:
             row["anchor"] = up["eid"] if up["tag"] == "a" else up["anchor"]
             row["table_eid"] = up["eid"] if up["tag"] == "table" else up["table_eid"]
@@ -73,6 +76,11 @@ class Shredder(HTMLParser):
         del self.open[i:]
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.rows[self.open[-1]]["tag"] not in SILENT:
+            for eid in self.open:
+                lines = self.rows[eid]["lines"]
+                if lines and len(lines[-1]) < 2 * TEXT:
+                    lines[-1] += data[: 2 * TEXT]
         part = data.strip()
         if not part or self.open and self.rows[self.open[-1]]["tag"] in SILENT:
             return
@@ -89,17 +97,18 @@ def shred_text(text: str, soup: bool) -> list[dict]:
     parser.close()
     parser.close_from(0)
     for row in parser.rows:
+        row["lines"] = [x.strip()[:TEXT] for x in row["lines"]] if row["lines"] and len(row["lines"]) > 1 else None
         row["text"], row["joined"] = " ".join(row["spaced"])[:TEXT], "".join(row["spaced"])[:TEXT]
     return parser.rows
 
 
 def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Column, soup: bool = False) -> DataFrame:
-    """The elements of all documents; text: markup as a string or as UTF-8 bytes. Null markup has no element.
+    """The elements of all documents; lines are the parts of a paragraph that br children part, null without any. text: markup as a string or as UTF-8 bytes. Null markup has no element.
 
     (eid, last) is an interval: d is below a iff a.eid < d.eid <= a.last. chain has the numbers of all above, the root first.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
     names = [x.split()[0] for x in ELEMENTS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,3 +127,93 @@ def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Co
 def attr(name: str) -> Column:
     """An attribute's value; null where it is absent, which isn't the same as empty."""
     return F.try_element_at("attrs", F.lit(name))
+
+
+class Rewriter(HTMLParser):
+    """Copies markup but for the start tags that edits name, and for the names in their end tags."""
+
+    def __init__(self, edits: dict[str, dict[str, str | None]]):
+        super().__init__(convert_charrefs=False)
+        self.edits, self.out, self.open, self.top, self.done = edits, [], [], {}, set()
+
+    def start(self, tag: str, attrs: list, closed: bool) -> None:
+        seen = self.open[-1][2] if self.open else self.top
+        seen[tag] = seen.get(tag, 0) + 1
+        path = (self.open[-1][1] + "/" if self.open else "") + f"{tag}[{seen[tag]}]"
+        raw, name = self.get_starttag_text(), tag
+        if path in self.edits:
+            self.done.add(path)
+            change = dict(self.edits[path])
+            level = change.pop("heading_level", None)
+            name = f"h{level}" if level and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else change.pop("tag", None) or tag
+            change.pop("tag", None)
+            kept = {k: v for k, v in dict(attrs).items() if k not in change} | {k: v for k, v in change.items() if v is not None}
+            raw = f"<{name}" + "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in kept.items()) + ("/>" if closed else ">")
+        self.out.append(raw)
+        if not closed:
+            self.open.append((tag, path, {}, name))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.start(tag, attrs, False)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.start(tag, attrs, True)
+
+    def handle_endtag(self, tag: str) -> None:
+        name = tag
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                name = self.open[i][3]
+                del self.open[i:]
+                break
+        self.out.append(f"</{name}>")
+
+    def handle_data(self, data: str) -> None:
+        self.out.append(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self.out.append(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self.out.append(f"&#{name};")
+
+    def handle_comment(self, data: str) -> None:
+        self.out.append(f"<!--{data}-->")
+
+    def handle_decl(self, decl: str) -> None:
+        self.out.append(f"<!{decl}>")
+
+    def handle_pi(self, data: str) -> None:
+        self.out.append(f"<?{data}>")
+
+    def unknown_decl(self, data: str) -> None:
+        self.out.append(f"<![{data}]>")
+
+
+def rewrite_text(text: str, edits: dict[str, dict[str, str | None]]) -> str:
+    parser = Rewriter(edits)
+    parser.feed(text)
+    parser.close()
+    return "".join(parser.out)
+
+
+def rewrite_entries(entries: DataFrame, edits: DataFrame) -> DataFrame:
+    """Package entries with edits (book, doc, path, name, value) in their markup; only edited documents are touched."""
+    listed = edits.groupBy(F.col("book"), F.col("doc").alias("name")).agg(F.collect_list(F.struct("path", F.col("name").alias("attr"), "value")).alias("_edits"))
+    joined = entries.join(listed, ["book", "name"], "left")
+    kept = joined.where("_edits is null").select(*entries.columns)
+    changed = joined.where("_edits is not null")
+    names = entries.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for content, listed in zip(batch.column("content").to_pylist(), batch.column("_edits").to_pylist(), strict=True):
+                by_path: dict[str, dict[str, str | None]] = {}
+                for e in sorted(listed, key=lambda e: (e["path"], e["attr"], e["value"] or "")):
+                    by_path.setdefault(e["path"], {})[e["attr"]] = e["value"]
+                texts.append(rewrite_text((content or b"").decode("utf-8-sig", "replace"), by_path).encode())
+            columns = [pa.array(texts, pa.binary()) if c == "content" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return kept.unionByName(changed.mapInArrow(work, entries.schema))

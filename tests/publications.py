@@ -28,7 +28,7 @@ CHAPTERS = {
     "three.xhtml": page(
         '<h1 id="three">Lists</h1><p>1. thread</p><h3>pause</h3><p>2. needle</p><p>3. cloth</p><p>No marker</p><p>• red</p><p style="margin-left: 3em">• green</p><p style="margin-left: 1em">• blue</p>'
         '<ul></ul><ol><ol><li>deep</li></ol><p>stray</p></ol><ol start="x"><li value="y">1. one</li><li>7. seven</li><li value="9">8. eight</li></ol>'
-        '<ul><li>a</li></ul><ul><li>b</li></ul><h2>break</h2><ul><li>c</li></ul><div><li>loose</li><li>free</li></div><p>1.5 metres</p>'
+        '<ul><li>a</li></ul><ul><li>b</li></ul><h2>break</h2><ul><li>c</li></ul><div><li>loose</li><li>free</li></div><p>1.5 metres</p><p>a) tar<br/>b) <i>pitch</i><br/>and oil</p><p>a) one<br/>c) three</p>'
     ),
     "four.xhtml": page(
         '<h1>Notes</h1><p>Said<a epub:type="noteref" id="r1" href="#n1">[1]</a> and<a epub:type="noteref" href="#n2">[2]</a> or<a epub:type="noteref" id="r3" href="http://example.org/n">[3]</a>'

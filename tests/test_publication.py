@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import changes
-from quire.plans import model, notes
+from quire.plans import model, notes, views
 from quire.plans.checks import AFFECTED, CHECKS, run_checks
 from quire.sources import packages
-from quire.sources.markup import shred, shred_text
+from quire.sources.markup import rewrite_entries, rewrite_text, shred, shred_text
 
 from . import publications
 
@@ -76,7 +76,7 @@ def test_lists(pub):
     got, found = rules(pub, "list_a11y")
     assert got == {
         "LST.EMPTY": 1, "LST.NESTED_DIRECT": 1, "LST.BAD_CHILD": 1, "LST.BAD_START": 1, "LST.BAD_VALUE": 1, "LST.VALUE_MISMATCH": 1, "LST.ORDINAL_MISMATCH": 1,
-        "LST.SPLIT": 2, "LST.INTERRUPTED": 1, "LST.ORPHAN_LI": 1, "LST.PARA_RUN": 2, "LST.LEVEL_JUMP": 2,
+        "LST.SPLIT": 2, "LST.INTERRUPTED": 1, "LST.ORPHAN_LI": 1, "LST.PARA_RUN": 2, "LST.LEVEL_JUMP": 2, "LST.BR_LINES": 1,
     }
     runs = sorted((r.args["suggested"], r.args["items"], r.args["blocks"]) for r in found if r.rule == "LST.PARA_RUN")
     assert runs == [("ol", "3", "1"), ("ul", "3", "0")]
@@ -137,3 +137,76 @@ def test_shredder_odd_markup(spark):
     df = spark.createDataFrame([("b", "n", None), ("b", "e", b""), ("b", "x", b"\xff<p>\xfe</p>")], "b string, d string, t binary")
     assert [(r.doc, r.tag) for r in shred(df, "b", "d", "t").collect()] == [("x", "p")]
     assert shred(df.where(F.lit(False)), "b", "d", "t").count() == 0
+
+
+def test_views(pub):
+    books = views.books(pub).where("book = 'trades'").first()
+    assert (books.title, books.language) == ("Small Trades", None)
+    names = {r.order_index: r.title for r in views.chapters(pub).where("book = 'trades'").collect()}
+    assert names == {0: "Harbour", 1: "Loom", 2: "Lists", 3: "Notes", 4: "Afar"}
+    assert set(views.state(pub, run_checks(pub, ["lang"]))) == {"books", "chapters", "nodes", "landmarks", "toc", "issues"}
+    nav = views.landmarks_nav(pub)
+    assert nav.count() == 0  # no landmark has an id here
+    marked = pub._replace(elements=pub.elements.withColumn("attrs", F.when(F.col("tag") == "section", F.map_concat("attrs", F.create_map(F.lit("id"), F.lit("s")))).otherwise(F.col("attrs"))))
+    html = views.landmarks_nav(marked).where("book = 'trades'").first().html
+    assert html.count("<li>") == 3 and 'href="one.xhtml#s"' in html
+
+
+def test_table_model_and_inference(pub):
+    cells = model.table_cells(pub.elements.where("book = 'trades' and doc = 'text/two.xhtml'")).cache()
+    rows = {(r.table_eid, r.row, r.col): r for r in views.table_model(cells).collect()}
+    second = sorted({t for t, _, _ in rows})[1]
+    assert rows[second, 0, 1].reading == "column header: B" and rows[second, 1, 0].reading == "row header: r"
+    assert rows[second, 1, 1].reading == "A: 1" and rows[second, 1, 2].reading == "B, r: 2"
+    assert rows[second, 1, 2].covered_by == [1, 2] and 4 in rows[second, 0, 1].covers
+    edits, conflicts = views.infer_headers(cells)
+    first = sorted({t for t, _, _ in rows})[0]
+    assert {(r.row, r.col, r.reason) for r in conflicts.where(F.col("table_eid") != first).collect()} >= set()
+    mended, bad = changes.set_attributes(pub.elements.where("book = 'trades'"), edits)
+    assert bad.count() == 0
+    again = run_checks(pub._replace(elements=mended), ["table_a11y"]).where("book = 'trades'").groupBy("rule").count().collect()
+    assert "TBL.BOLD_TD_HEADER" not in {r.rule for r in again}
+
+
+def test_list_model(pub):
+    lists = pub.elements.where("book = 'trades' and doc = 'text/three.xhtml'")
+    items = views.list_items(lists).where("list_tag = 'ol' and visible_number is not null").orderBy("eid").collect()
+    assert [(r.visible_number, r.ordinal, r.value) for r in items] == [(1, 1, None), (7, 2, None), (8, 9, 9)]
+    readings = [r.reading for r in views.list_reading(lists).orderBy("list_eid").collect()]
+    assert readings[0].split("\n")[0] == "ordered list, 1 items" and "  1: deep" in readings[0]
+    sides = views.list_neighbours(lists).collect()
+    assert {r.action for r in sides} >= {"join", "blocked", "extend"}
+
+
+def test_guards(spark, pub):
+    before = pub.elements.where("book = 'trades'")
+    assert views.lost_content(before, before).count() == 0
+    cut_down = before.withColumn("attrs", F.map_filter("attrs", lambda k, v: k != "id")).where("tag <> 'sup'")
+    lost = views.lost_content(before, cut_down).collect()
+    assert {r.kind for r in lost} == {"id"} and max(r.lost for r in lost) == 2
+    texts = spark.createDataFrame([("b", "d", "a b b")], "book string, doc string, t string")
+    assert [(r.item, r.lost) for r in views.lost_characters(texts, texts.withColumn("t", F.lit("b a")), "t").collect()] == [("b", 1)]
+    graph = notes.note_graph(pub)
+    assert views.note_guard(graph, graph).count() == 0
+    edits = spark.createDataFrame([("trades", "text/five.xhtml", "html[1]/body[1]/p[1]/a[1]", "href", "http://x.org")], "book string, doc string, path string, name string, value string")
+    edited, _ = changes.set_attributes(pub.elements, edits)
+    assert [r.kind for r in views.note_guard(graph, notes.note_graph(pub._replace(elements=edited))).collect()] == ["external"]
+    wanted = spark.createDataFrame([("trades", "text/one.xhtml", b) for b in ("tide", "new", "start")], "book string, doc string, base string")
+    assert {r.base: r.id for r in views.free_ids(wanted, pub.elements).collect()} == {"tide": "tide-2", "new": "new", "start": "start-2"}
+
+
+def test_rewritten_markup(spark, pub):
+    text = '<?xml version="1.0"?><!DOCTYPE html><p a="1" b=\'2\'>x &amp; &#233;<br/><!-- c --><h2>t</h2><td>v</td></p>'
+    assert rewrite_text(text, {}) == text
+    assert rewrite_text(text, {"p[1]": {"a": None, "c": '"<'}, "p[1]/h2[1]": {"heading_level": "3"}, "p[1]/td[1]": {"tag": "th", "scope": "col"}}) == (
+        '<?xml version="1.0"?><!DOCTYPE html><p b="2" c="&quot;&lt;">x &amp; &#233;<br/><!-- c --><h3>t</h3><th scope="col">v</th></p>'
+    )
+    edits = spark.createDataFrame([
+        ("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/p[1]/img[1]", "alt", "a pier"), ("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/h4[1]", "heading_level", "3"),
+    ], "book string, doc string, path string, name string, value string")
+    entries = rewrite_entries(pub.entries, edits)
+    assert entries.count() == pub.entries.count()
+    mended = model.publication(entries.where("name is not null"))
+    by_edit, _ = changes.set_attributes(pub.elements, edits)
+    want = run_checks(pub._replace(elements=by_edit), ["img_alt", "heading_hierarchy"]).collect()
+    assert sorted((r.book, r.rule) for r in run_checks(mended, ["img_alt", "heading_hierarchy"]).collect()) == sorted((r.book, r.rule) for r in want)
