@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder, so that later steps neither repeat it nor depend on the executors that made it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table of the shared folder.
+
+    Unlike a checkpoint it has no partitioning of its own, so that a join to it deals out both of its sides anew,
+    which is what lets Spark split a key that many rows share.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
