@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import chinese_number, list_marker, note_number, reference_parts, relative, resolve
 from quire.operators import changes, graph, matching, ordered, report
+from quire.operators.lineage import stored
 from quire.plans import checks
 from quire.plans.model import Publication
 from quire.sources import packages
@@ -345,7 +346,7 @@ def package_round_trip(spark, d):
 
 def page_publication(spark, d) -> Publication:
     """Each host's pages as a publication: pages in order of their numbers, a contents list that names two of three. Links aren't looked for in the reading order alone."""
-    elements = page_elements(spark, d)
+    elements = stored(page_elements(spark, d))
     pages = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("book"), F.col("page_id").cast("string").alias("doc"), "page_id")
     spine = pages.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("page_id")) - 1).alias("pos"), "doc")
     contents = spine.where("pos % 3 <> 2").select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
@@ -369,6 +370,91 @@ def issue_report(spark, d):
     return report.html_report(found, "book", "check", ["doc", "path", "rule", "severity", "args"], ["doc", "path", "rule"])
 
 
+def made_publication(documents: DataFrame) -> Publication:
+    """A publication whose documents (book, doc, html) are given, all in reading order and none in the contents."""
+    elements = stored(shred(documents, "book", "doc", "html"))
+    spine = documents.select("book", "doc").withColumn("pos", F.lit(0)).select("book", "pos", "doc")
+    manifest = spine.select("book", F.col("doc").alias("id"), F.col("doc").alias("href"), F.lit("application/xhtml+xml").alias("media_type"), F.array().cast("array<string>").alias("properties"))
+    contents = spine.where("false").select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
+    return Publication(documents.select("book", F.col("doc").alias("name")), elements, manifest, spine, contents)
+
+
+def page_of(rows: DataFrame, key: str, order: list, part, before, after) -> DataFrame:
+    """(book, doc, html): one document for each key, its rows' parts in order."""
+    listed = rows.select(key, *order, part.alias("_part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_part"))).alias("_parts"))
+    body = F.concat(F.lit("<html lang='en'><body>"), before, F.array_join(F.transform("_parts", lambda p: p["_part"]), ""), after, F.lit("</body></html>"))
+    return listed.select(F.concat(F.lit("b"), F.pmod(F.col(key), F.lit(97))).alias("book"), F.col(key).cast("string").alias("doc"), body.alias("html"))
+
+
+def by_rule(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc", "rule").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey::VARCHAR AS doc, * FROM lineitem)
+SELECT DISTINCT doc, 'TBL.NO_CAPTION' AS rule, 1 AS n FROM l WHERE l_orderkey % 2 = 0
+UNION ALL SELECT doc, 'TBL.TD_SCOPE', count(*) FROM l WHERE l_linenumber = 2 GROUP BY doc
+UNION ALL SELECT doc, 'TBL.REF_MISSING', count(*) FROM l WHERE l_returnflag = 'R' GROUP BY doc
+UNION ALL SELECT doc, 'TBL.NO_HEADER', sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 2 END)::BIGINT FROM l WHERE l_orderkey % 3 = 0 GROUP BY doc""")
+def table_checks(spark, d):
+    """Each order as a table of its lines; without a caption, header row, or with scopes and references that point nowhere, by its numbers."""
+    scope = F.when(F.col("l_linenumber") == 2, " scope='row'").otherwise("")
+    ref = F.when(F.col("l_returnflag") == "R", " headers='h9'").otherwise("")
+    row = F.concat(F.lit("<tr><td"), scope, F.lit(">"), F.col("l_linenumber"), F.lit("</td><td"), ref, F.lit(">"), F.col("l_quantity"), F.lit("</td></tr>"))
+    head = F.concat(F.lit("<table>"), F.when(F.col("l_orderkey") % 2 == 1, "<caption>Lines</caption>").otherwise(""), F.when(F.col("l_orderkey") % 3 != 0, "<tr><th>Line</th><th>Quantity</th></tr>").otherwise(""))
+    pages = page_of(table(spark, d, "lineitem"), "l_orderkey", LINES, row, head, F.lit("</table>"))
+    return by_rule(checks.run_checks(made_publication(pages), ["table_a11y"]))
+
+
+@query("""
+WITH items AS (
+  SELECT *, o_custkey::VARCHAR AS doc, place + coalesce(last_value(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 THEN o_orderkey % 50 - place END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 3) AS ordinal
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders)
+), wrong AS (SELECT *, o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 AS own FROM items WHERE o_orderkey % 20 <> ordinal)
+SELECT doc, 'LST.BAD_VALUE' AS rule, count(*) AS n FROM items WHERE o_orderkey % 7 = 0 GROUP BY doc
+UNION ALL SELECT doc, 'LST.VALUE_MISMATCH', count(*) FROM wrong WHERE own GROUP BY doc
+UNION ALL SELECT doc, 'LST.ORDINAL_MISMATCH', count(*) FROM wrong WHERE NOT own GROUP BY doc
+UNION ALL SELECT DISTINCT doc, unnest(['LST.EMPTY', 'LST.INTERRUPTED']), 1 FROM items WHERE o_custkey % 4 = 0""")
+def list_checks(spark, d):
+    """Each customer's orders as a numbered list, with values, numbers in the text that don't always fit, and an empty list after a heading."""
+    key = F.col("o_orderkey")
+    value = F.when(key % 7 == 0, " value='x'").when(key % 5 == 0, F.concat(F.lit(" value='"), key % 50, F.lit("'"))).otherwise("")
+    item = F.concat(F.lit("<li"), value, F.lit(">"), key % 20, F.lit(". order</li>"))
+    pages = page_of(table(spark, d, "orders"), "o_custkey", ["o_orderkey"], item, F.lit("<ol start='3'>"), F.concat(F.lit("</ol>"), F.when(F.col("o_custkey") % 4 == 0, "<h2>More</h2><ol></ol>").otherwise("")))
+    return by_rule(checks.run_checks(made_publication(pages), ["list_a11y"]))
+
+
+@query("""
+WITH o AS (SELECT *, o_custkey::VARCHAR AS doc FROM orders)
+SELECT doc, 'NOTE.NO_BACKLINK_SINGLE' AS rule, count(*) AS n FROM o WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0 GROUP BY doc
+UNION ALL SELECT doc, 'NOTE.ORPHAN', count(*) FROM o WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 GROUP BY doc
+UNION ALL SELECT doc, 'NOTE.REF_EXTERNAL', count(*) FROM o WHERE o_orderkey % 3 = 0 GROUP BY doc
+UNION ALL SELECT doc, 'NOTE.DUP_NUMBER', (sum(c) - count(*))::BIGINT FROM (SELECT doc, count(*) AS c FROM o WHERE o_orderstatus = 'F' GROUP BY doc, o_orderkey % 40 HAVING count(*) > 1) GROUP BY doc""")
+def note_checks(spark, d):
+    """Each customer's orders as references, and notes for those that are filled, some without a way back and some that nothing refers to."""
+    from quire.plans import notes  # registers the check
+
+    key = F.col("o_orderkey").cast("string")
+    number = (F.col("o_orderkey") % 40).cast("string")
+    href = F.when(F.col("o_orderkey") % 3 == 0, "http://example.org/").otherwise(F.concat(F.lit("#n"), key))
+    ref = F.concat(F.lit("<p>Order<a epub:type='noteref' id='r"), key, F.lit("' href='"), href, F.lit("'>["), number, F.lit("]</a></p>"))
+    back = F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.concat(F.lit("<a href='#r"), key, F.lit("'>back</a>")))
+    note = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<aside epub:type='footnote' id='n"), key, F.lit("'>"), number, F.lit(". note "), back, F.lit("</aside>"))).otherwise("")
+    pages = page_of(table(spark, d, "orders"), "o_custkey", ["o_orderkey"], F.concat(ref, note), F.lit(""), F.lit(""))
+    return by_rule(notes.note_a11y(made_publication(pages)))
+
+
+@query("""
+SELECT page_id, tag, count(*) AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '^.*?</nav>', '', 's'), '<(p|h1)>', 1)) AS tag FROM pages) GROUP BY page_id, tag""")
+def reading_nodes(spark, d):
+    """Headings and paragraphs among the pages' reading nodes."""
+    from quire.plans.model import reading_nodes as nodes_of
+
+    found = nodes_of(page_elements(spark, d)).where("tag in ('p', 'h1')")
+    return found.groupBy(F.col("doc").cast("long").alias("page_id"), "tag").agg(F.count("*").alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure findings of the pages, counted by host, page and rule."""
     return page_checks(spark, sf_dir)

@@ -15,6 +15,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 STOPS = frozenset("ul ol table section div nav article aside body".split())
 SILENT = frozenset(("script", "style"))
+#: Elements that a task hands over at once, at least.
+BATCH_ROWS = 5000
 #: Characters of text that an element's row keeps; checks look at no more than its beginning.
 TEXT = 200
 
@@ -112,13 +114,23 @@ def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Co
     names = [x.split()[0] for x in ELEMENTS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for b, d, t in zip(*(batch.column(c).to_pylist() for c in ("book", "doc", "text")), strict=True):
                 if t is None:
                     continue
                 rows = shred_text(t.decode("utf-8-sig", "replace") if isinstance(t, bytes) else t, soup)
-                columns = [[b] * len(rows), [d] * len(rows), *([r[n] for r in rows] for n in names[2:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                for row in rows:
+                    row["book"], row["doc"] = b, d
+                held += rows
+                if len(held) >= BATCH_ROWS:
+                    yield as_batch(held)
+                    held = []
+        if held:
+            yield as_batch(held)
+
+    def as_batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
     picked = docs.select(as_column(book).cast("string").alias("book"), as_column(doc).cast("string").alias("doc"), as_column(text).alias("text"))
     return picked.mapInArrow(work, ELEMENTS)
