@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.operators.lineage import cut, shared_dir  # noqa: F401
+from quire.operators.lineage import cut, shared_dir, stored  # noqa: F401
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

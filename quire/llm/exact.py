@@ -5,7 +5,8 @@ rows for them. A splitter holds a text's first 64 characters, its hash and the s
 gathers of the sample is bounded whatever the texts' lengths. Within a range the external sort puts equal texts
 side by side, and the window's walk over the sorted rows compares each whole text with its neighbour. As the slice
 is part of the sort key, the splitters also cut through a text that a third of all rows share; what the ranges found
-of such a text then meets by SHA-256 and length, summed before the shuffle.
+of such a text then meets by SHA-256 and length, summed before the shuffle, and goes back to the rows by a join of two
+stored tables, whose common keys Spark splits.
 
 Edge cases: a null text counts as empty; empty and very long texts are texts like others. A null identifier
 loses to any other; groups of null identifiers keep one row. Of rows that repeat an identifier and a text one
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import stored
 
 #: Cuts that the splitters may put into one text's rows.
 SLICES = 4096
@@ -35,14 +36,14 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", kee
     best = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     ranged = source.repartitionByRange("lead", "hash", "slice").sortWithinPartitions("lead", "hash", "slice", "body", best)
     beside = Window.partitionBy("lead", "hash", "slice", "body").orderBy(best)
-    rows = cut(ranged.select(
+    rows = stored(ranged.select(
         "id",
         (F.row_number().over(beside) == 1).alias("head"),
         F.sha2("body", 256).alias("text_sha256"),
         F.octet_length("body").alias("n_bytes"),
     ))
     extreme = F.max if keep == "largest" else F.min
-    groups = rows.groupBy("text_sha256", "n_bytes").agg(extreme("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(rows.groupBy("text_sha256", "n_bytes").agg(extreme("id").alias("keep_id"), F.count("*").alias("group_size")))
     joined = rows.join(groups, ["text_sha256", "n_bytes"])
     # equal identifiers share a slice, so that only one of them heads it
     kept = F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))
