@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, small_batches
+from quire.llm.common import small_batches, stored
 
 LIMIT = 4096
 BATCH_BYTES = 4 << 20
@@ -53,7 +53,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
 
 
-def stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
+def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     """(digest, n_tokens) of the cache for this tokenizer; an absent cache is an empty one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
@@ -86,7 +86,7 @@ def fill_cache(docs: DataFrame, path: str, cache: str, *, text: str = "text", no
     body = content(text, normalise)
     texts = docs.select(F.sha2(body, 256).alias("digest"), body.alias("text"))
     dealt = texts.mapInArrow(once, "digest string, text string").repartition("digest")
-    missing = dealt.join(stored(docs.sparkSession, cache, tokenizer), "digest", "left_anti")
+    missing = dealt.join(cached(docs.sparkSession, cache, tokenizer), "digest", "left_anti")
     missing.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
 
 
@@ -98,7 +98,7 @@ def content(text: str, normalise):
 def count_tokens(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id", text: str = "text", limit: int = LIMIT, normalise=None) -> DataFrame:
     """One row per row: (id, n_bytes, n_tokens, over_limit). path: of the tokenizer's file; cache: folder of the stored counts."""
     body = content(text, normalise)
-    rows = cut(docs.select(F.col(id).alias("id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest")))
+    rows = stored(docs.select(F.col(id).alias("id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest")))
     fill_cache(docs, path, cache, text=text, normalise=normalise)
-    counted = rows.join(stored(docs.sparkSession, cache, tokenizer_digest(path)), "digest")
+    counted = rows.join(stored(cached(docs.sparkSession, cache, tokenizer_digest(path))), "digest")  # Spark splits a digest of many rows
     return counted.select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

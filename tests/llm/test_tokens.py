@@ -3,7 +3,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.tokens import count_tokens, stored, tokenizer_digest
+from quire.llm.tokens import cached, count_tokens, tokenizer_digest
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -39,7 +39,7 @@ def test_a_tokenizer_has_its_own_counts(docs, tmp_path, spark):
     few = docs.limit(20)
     assert run(few, PIECES, cache) == brute(few.collect())
     assert run(few, WORDS, cache) == brute(few.collect(), WORDS)
-    assert stored(spark, cache, tokenizer_digest(WORDS)).count() == stored(spark, cache, tokenizer_digest(PIECES)).count()
+    assert cached(spark, cache, tokenizer_digest(WORDS)).count() == cached(spark, cache, tokenizer_digest(PIECES)).count()
 
 
 def test_stored_counts_are_used(docs, tmp_path, spark):
