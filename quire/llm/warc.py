@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, shared_dir, small_batches
+from quire.llm.common import shared_dir, small_batches, stored
 
 LEAST = 100
 ARCHIVE_BYTES = 8 << 20
@@ -149,7 +149,7 @@ def revisits(pages: DataFrame, id: str, url: str, payload: str, least: int) -> D
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(id).cast("long").alias("page"), F.col(url).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
     narrow = pages.select(F.col(id).cast("long").alias("page"), F.sha2(body, 256).alias("of"), F.octet_length(body).alias("size")).where(F.col("size") >= least)
-    firsts = cut(narrow.groupBy("of", "size").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("of", "size", "first"))
+    firsts = stored(narrow.groupBy("of", "size").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("of", "size", "first"))
     joined = rows.join(firsts, (F.col("digest") == F.col("of")) & (F.col("n") == F.col("size")), "left")
     return joined.select("page", "url", "payload", "digest", "first")
 
