@@ -167,7 +167,10 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k
 
     tag: as `tagged` has it. A span appears once; spans of one row may touch or overlap.
     """
-    rows = tagged(docs, id, text)
+    return spans_of(tagged(docs, id, text), k, m, buckets, chunk)
+
+
+def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, buckets: int | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(16, -(-size // BUCKET_BYTES))
@@ -200,9 +203,9 @@ def apply_spans(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[
 
 def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", with_text: bool = True, **options) -> DataFrame:
     """One row per row of docs: (id, n_words, n_removed, kept): what is left, words joined by single spaces, or with_text=False its SHA-256."""
-    found = repeated_spans(docs, id=id, text=text, **options)
-    by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     rows = tagged(docs, id, text)
+    found = spans_of(rows, **options)
+    by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = rows.join(by_row, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("id", "text", "spans")
     out = joined.mapInArrow(lambda batches: apply_spans(batches, with_text), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)
