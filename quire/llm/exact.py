@@ -52,10 +52,11 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", kee
 
 def exact_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: str = "largest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of docs that `exact_groups` keeps, with all their columns."""
+    # one key, never null, for the join and the choice among repeated rows, so that rows are dealt out once for both
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     kept = exact_groups(docs, id=id, text=text, keep=keep, normalise=normalise).where("kept")
-    kept = kept.select(F.col(id).alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = kept.select(key(F.col(id)).alias("__key"), F.col("text_sha256").alias("__sha"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id).alias("__of"), F.sha2(normalise(body) if normalise else body, 256).alias("__text"))
-    joined = rows.join(kept, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_semi")
-    one = joined.groupBy("__of", "__text").agg(F.first("__row").alias("__row"))
-    return one.select("__row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key(F.col(id)).alias("__key"), F.sha2(normalise(body) if normalise else body, 256).alias("__sha"))
+    joined = rows.join(kept, ["__key", "__sha"], "left_semi")
+    return joined.groupBy("__key", "__sha").agg(F.first("__row").alias("__row")).select("__row.*")
