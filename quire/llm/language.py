@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id)
 
 
-def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
     """The rows of docs of which one language has at least the share `least` of the letters; the others are rejected.
 
     The decision goes by text, so rows that share an identifier are told apart.
