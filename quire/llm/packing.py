@@ -135,8 +135,9 @@ NO_LETTERS = flags(bytes([0x97, 0xB7]))  # in U+00C0 to U+00FF, all others of wh
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(data with A-Z lower-cased, flags between a letter or digit and a stop): fewer distinct words, with the same ids.
 
-    The tokenizer lower-cases, and parts letters and digits from stops, in any case. Texts with a < stay as they are:
-    its special strings begin so, and are read in the text as it is.
+    The tokenizer lower-cases, and parts letters and digits from stops, in any case. A letter before a character from
+    U+0300 on stays as it is: the tokenizer composes characters first, and some marks have a composed form with one
+    case only. Texts with a < stay as they are: its special strings begin so, and are read in the text as it is.
     """
     n = len(data)
     free = np.ones(n, bool)
@@ -144,7 +145,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(signs):
         texts = np.unique(np.searchsorted(offsets, signs, "right") - 1)
         free[spans(offsets[texts], offsets[texts + 1] - offsets[texts])] = False
-    lowered = np.where(free & (data >= 65) & (data <= 90), data + np.uint8(32), data)
+    capital = free & (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 0xCC  # the first byte of U+0300; the last byte of a text has no mark after it, whatever follows
+    lowered = np.where(capital, data + np.uint8(32), data)
     if n < 2:
         return lowered, np.zeros(n, bool)
     stop = STOP_BYTES[data]

@@ -96,6 +96,28 @@ def test_ids_of_odd_words():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ids_of(words)
 
 
+def same_ids(words):
+    import pyarrow as pa
+
+    from quire.llm.packing import WordIds, encode
+
+    ids, sizes, _ = encode(pa.array(words, pa.string()), WordIds(PATH, 1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ids_of(words)
+
+
+def test_ids_of_letters_with_marks():
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    same_ids([a + chr(m) for a in letters for m in range(0x300, 0x370)])
+    same_ids(["Y\u030a H\u0331 T\u0308 W\u030a J\u030c T\u0344", "T\u0591\u0308. Y\u1dc0\u030a", "Té. AÉ.B", "I\u0307", "A\u3099"])
+
+
+def test_ids_of_random_texts():
+    rng = random.Random(11)
+    signs = [*"ABCHIJTWYZabhijtwyz019.,;:!?'<>|&- \t\n", *map(chr, range(0xC0, 0x250)), *map(chr, range(0x300, 0x370)), *"漢かがΣσς\u0345\u1e97\u1e98\u01f0\u3099\u0591\u1dc0\u212b\u2126\u0130\u0131\ufb01\uac00\u11a8\U0001f600\x00\x1c\u00a0\u2028"]
+    weights = [40] * 39 + [1] * (len(signs) - 39)
+    same_ids(["".join(rng.choices(signs, weights, k=rng.randint(1, 24))) for _ in range(100_000)])
+
+
 def cost(cuts, penalty, size):
     total = 0
     for a, b in zip(cuts, cuts[1:], strict=False):
