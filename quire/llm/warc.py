@@ -4,7 +4,9 @@ An archive is a row: its name and its bytes, so that archives lie in whatever st
 not at all, and are read back by any executor; `write_files` and `read_files` carry them to and from .warc.gz files.
 `archive_pages` writes monolithic archives: one gzip stream over all records. `normalise` inflates each stream once,
 from front to back, gives every record a gzip member of its own, and adds the index: where each member lies, and what
-it holds. `read_records` goes by the index alone: it inflates one member for each entry.
+it holds; `sidecar` makes that index a table of its own, a row a record. `read_records` goes by the sidecar alone:
+its entries meet their archive's bytes by the archive's name, and one member is inflated for each. What the sidecar
+doesn't name isn't read. Names of archives are unique.
 
 Of records with equal payloads of `least` bytes or more, that with the smallest identifier is a response, the others
 are revisits of it without a payload. Payloads meet by SHA-256 and length; the counts are summed before the shuffle,
@@ -86,7 +88,10 @@ def read_header(lines: Iterator[bytes]) -> dict[str, str] | None:
 
 
 class Inflated(io.RawIOBase):
-    """A gzip stream, of one member or of several, inflated a piece at a time."""
+    """A gzip stream, of one member or of several, inflated a piece at a time.
+
+    Zero bytes after a member are padding. A stream that ends within a member, its checksum and length included, is an error.
+    """
 
     def __init__(self, data: bytes, step: int = 1 << 16):
         self.data, self.step, self.place = memoryview(data), step, 0
@@ -97,13 +102,17 @@ class Inflated(io.RawIOBase):
 
     def readinto(self, target) -> int:
         while not self.ready and self.place < len(self.data):
+            part = self.data[self.place : self.place + self.step]
             if self.engine.eof:
+                padding = len(part) - len(bytes(part).lstrip(b"\0"))
+                if padding:
+                    self.place += padding
+                    continue
                 self.engine = zlib.decompressobj(31)
-            part = self.data[self.place : self.place + self.step]
             self.ready = self.engine.decompress(part)
             self.place += len(part) - len(self.engine.unused_data)
-        if not self.ready and not self.engine.eof:
-            self.ready = self.engine.flush()
+        if not self.ready and not self.engine.eof and len(self.data):
+            raise ValueError("the gzip stream ends within a member")
         n = min(len(target), len(self.ready))
         target[:n], self.ready = self.ready[:n], self.ready[n:]
         return n
@@ -204,18 +213,19 @@ def read_member(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
     return page_of(fields["warc-record-id"]), len(payload), digest, "response", None
 
 
-def read_records(normalised: DataFrame) -> DataFrame:
-    """One row per indexed record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """One row per row of the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for row in batch.to_pylist():
-                rows = [read_member(row["bytes"][e["offset"] : e["offset"] + e["length"]]) for e in row["index"]]
+                rows = [read_member(row["bytes"][e["offset"] : e["offset"] + e["length"]]) for e in row["entries"]]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return normalised.select("bytes", "index").mapInArrow(work, RECORDS)
+    entries = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("entries"))
+    return archives.select("archive", "bytes").join(entries, "archive").select("bytes", "entries").mapInArrow(work, RECORDS)
 
 
 def write_tables(pages: DataFrame, folder: str, **options) -> tuple[str, str, str]:
@@ -229,11 +239,11 @@ def write_tables(pages: DataFrame, folder: str, **options) -> tuple[str, str, st
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes the pages as archives, normalises these, and reads all records back by the index."""
+    """Writes the pages as archives, normalises these, and reads all records back by the sidecar index."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    _, normal, _ = write_tables(pages, folder, **options)
-    return read_records(spark.read.parquet(normal))
+    _, normal, index = write_tables(pages, folder, **options)
+    return read_records(spark.read.parquet(normal), spark.read.parquet(index))
 
 
 def write_files(archives: DataFrame, uri: str) -> DataFrame:
@@ -262,5 +272,3 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(archive, bytes) of the files at path, from any store that Spark reads."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("bytes"))
-
-

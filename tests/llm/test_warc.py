@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,8 +56,13 @@ def test_tables_and_files(spark, tmp_path):
         assert part.startswith(b"WARC/1.1\r\n") and e.record_id.encode() in part
     written = warc.write_files(spark.read.parquet(raw), f"file://{tmp_path}/files").collect()
     assert {r.archive: r.n_bytes for r in written} == {k: len(v) for k, v in before.items()}
-    again = warc.read_records(warc.normalise(warc.read_files(spark, f"file://{tmp_path}/files/*.warc.gz")))
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, warc.read_records(spark.read.parquet(normal)).collect()))
+    from_files = warc.normalise(warc.read_files(spark, f"file://{tmp_path}/files/*.warc.gz"))
+    again = warc.read_records(from_files, warc.sidecar(from_files))
+    sidecar = spark.read.parquet(index)
+    whole = sorted(map(tuple, warc.read_records(spark.read.parquet(normal), sidecar).collect()))
+    assert sorted(map(tuple, again.collect())) == whole
+    some = warc.read_records(spark.read.parquet(normal), sidecar.where("record_id like '%7>'")).collect()
+    assert sorted(map(tuple, some)) == [r for r in whole if r[0] % 10 == 7]
 
 
 def test_streams():
@@ -72,3 +78,22 @@ def test_streams():
         list(warc.split_records(gzip.compress(records[4][:-2000])))
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.split_records(gzip.compress(b"junk\r\n")))
+
+
+def test_truncated_streams():
+    records = [warc.record(i, "u", bytes([65 + i]) * 5000, hashlib.sha256(bytes([65 + i]) * 5000).hexdigest(), None, False) for i in range(4)]
+    whole, members = gzip.compress(b"".join(records)), [gzip.compress(r) for r in records]
+    for data in (whole[:-1], whole[:-8], whole[: len(whole) // 2], b"".join(members[:2]) + members[2][:-8], b"".join(members[:2]) + members[2][:20], b"".join(members)[:-1]):
+        with pytest.raises(ValueError, match="ends within"):
+            warc.normalise_archive(data)
+    engine = zlib.compressobj(4, zlib.DEFLATED, 31)
+    flushed = engine.compress(b"".join(records[:2])) + engine.flush(zlib.Z_FULL_FLUSH)  # ends at a record's end, without a trailer
+    with pytest.raises(ValueError, match="ends within"):
+        warc.normalise_archive(flushed)
+    wrong = bytearray(whole)
+    wrong[-6] ^= 1
+    with pytest.raises(zlib.error):
+        warc.normalise_archive(bytes(wrong))
+    assert warc.normalise_archive(whole + bytes(700)) == warc.normalise_archive(whole)
+    assert warc.normalise_archive(members[0] + bytes(70_000) + members[1]) == warc.normalise_archive(members[0] + members[1])
+    assert warc.normalise_archive(b"") == (b"", [])
