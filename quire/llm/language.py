@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-A word is a run of letters, lower-cased. The script of its first letter narrows the candidate languages to those
-that training saw in that script. Its score for a language is the log-likelihood of its byte n-grams, hashed to
+A word is a letter and the letters and marks after it, lower-cased; marks without a letter are no word. The script
+of its first letter narrows the candidate languages to those that training saw in that script. Its score for a language is the log-likelihood of its byte n-grams, hashed to
 `FEATURES` places; Viterbi with a penalty for each switch then labels every word of the whole text, all texts of
 a batch in step. A document's language is the one with most letters, its score that language's share of them.
 
@@ -12,6 +12,10 @@ scripts for each language, which is what reaches the driver and is broadcast.
 Edge cases: a null text, or one without letters, is `und` with score 0, as is everything if no row is labelled.
 Null languages never train. Ties go to the language that sorts first. Repeated rows give repeated rows; an empty
 table gives an empty result. A very long text is scored whole. Other columns play no part.
+
+`known_language` also asks whether the text is of a learned language at all: enough of its letters must be in words
+that are likely for their language, as likely as nearly all of its training texts' words are (`floors`). Without a
+labelled row nothing is known, and it raises an error rather than reject all.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ NGRAMS = (1, 2, 3, 4)
 PENALTY = 10.0
 #: A script is a language's own if so much of its training words is in it.
 SCRIPT_SHARE = 0.001
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 UNKNOWN = "und"
 
 #: First code points of Unicode ranges, and their scripts.
@@ -55,14 +59,14 @@ class Batch(NamedTuple):
 
     firsts: np.ndarray  # of each text, its first word's number
     distinct: np.ndarray  # of each word, its distinct word's number
-    letters: np.ndarray  # of each distinct word, its bytes
+    letters: np.ndarray  # of each distinct word
     scripts: np.ndarray  # of each distinct word
     grams: np.ndarray  # features of all distinct words, one word after the other
     gram_words: np.ndarray  # the distinct word of each
 
 
 def read_words(texts: pa.Array) -> Batch:
-    lowered = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}]+", " ")
+    lowered = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"^\p{M}+|[^\p{L}\p{M}]+\p{M}*", " ")
     words = scan_words(*text_bytes(lowered))
     n = len(words.starts)
     ends = np.append(words.starts, len(words.packed)).astype(np.int64)
@@ -74,7 +78,8 @@ def read_words(texts: pa.Array) -> Batch:
     flat = np.concatenate([np.full(1, 32, np.uint8), flat[: offsets[-1]], np.full(4, 32, np.uint8)]) if n else np.full(5, 32, np.uint8)
     starts = offsets[:-1] + 1  # each word stands between spaces, shared with its neighbours
     lengths = np.diff(offsets) - 1
-    return Batch(words.firsts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, script_of(flat, starts), *ngrams(flat, starts, lengths))
+    letters = pc.count_substring_regex(data.cast(pa.large_string()), r"\p{L}").to_numpy(zero_copy_only=False).astype(np.int64)
+    return Batch(words.firsts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), letters, script_of(flat, starts), *ngrams(flat, starts, lengths))
 
 
 def script_of(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,8 +118,10 @@ def ngrams(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
 
 class Model(NamedTuple):
     langs: list[str]
-    weights: np.ndarray  # feature, language
+    weights: np.ndarray  # feature, language: log-likelihood less `common`
+    common: np.ndarray  # feature: the languages' mean
     spoken: np.ndarray  # script, language
+    seen: np.ndarray  # script: whether any language was trained in it
 
 
 def labelled(docs: DataFrame, id: str, text: str, lang: str, bound: int) -> DataFrame:
@@ -152,9 +159,10 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
         counts[table.column("feature").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
     grams, scripts = counts[:FEATURES] + 0.5, counts[FEATURES:]
     weights = np.log(grams / grams.sum(axis=0))
-    weights -= weights.mean(axis=1, keepdims=True) if langs else 0
+    common = weights.mean(axis=1) if langs else np.zeros(FEATURES)
     spoken = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0))
-    return Model(langs, weights.astype(np.float32), spoken | ~spoken.any(axis=1, keepdims=True))
+    seen = spoken.any(axis=1)
+    return Model(langs, (weights - common[:, None]).astype(np.float32), common.astype(np.float32), spoken | ~seen[:, None], seen)
 
 
 def word_scores(words: Batch, model: Model) -> np.ndarray:
@@ -167,6 +175,15 @@ def word_scores(words: Batch, model: Model) -> np.ndarray:
     return np.where(model.spoken[words.scripts], out, np.float32(-1e4))
 
 
+def likelihoods(words: Batch, model: Model) -> np.ndarray:
+    """Of each distinct word, for each language: the mean log-likelihood of its n-grams."""
+    if not len(words.grams):
+        return np.zeros((0, len(model.langs)))
+    first = np.searchsorted(words.gram_words, np.arange(len(words.letters)))
+    sums = [np.add.reduceat(model.weights[words.grams, i] + model.common[words.grams], first) for i in range(len(model.langs))]
+    return np.stack(sums, axis=1) / np.diff(np.append(first, len(words.grams)))[:, None]
+
+
 def viterbi(scores: np.ndarray, distinct: np.ndarray, firsts: np.ndarray, penalty: float) -> np.ndarray:
     """The language of each word; all texts in step, the longest first."""
     counts = np.diff(firsts)
@@ -193,14 +210,14 @@ def viterbi(scores: np.ndarray, distinct: np.ndarray, firsts: np.ndarray, penalt
     return label
 
 
-def labelled_letters(texts: pa.Array, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters of each text and language, each word's language, its text, each text's first word)"""
-    words = read_words(texts)
+def labelled_letters(words: Batch, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters of each text and language, each word's language, its text)"""
+    texts = len(words.firsts) - 1
     label = viterbi(word_scores(words, model), words.distinct, words.firsts, penalty)
-    own = np.repeat(np.arange(len(texts)), np.diff(words.firsts))
+    own = np.repeat(np.arange(texts), np.diff(words.firsts))
     size = len(model.langs)
-    letters = np.bincount(own * size + label, words.letters[words.distinct], len(texts) * size).reshape(len(texts), size)
-    return letters, label, own, words.firsts
+    letters = np.bincount(own * size + label, words.letters[words.distinct], texts * size).reshape(texts, size)
+    return letters, label, own
 
 
 def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
@@ -214,14 +231,15 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
             n = len(batch)
             best, share, spans = np.full(n, len(model.langs)), np.zeros(n), [[] for _ in range(n)]
             if model.langs:
-                letters, label, own, firsts = labelled_letters(batch.column("text"), model, penalty)
+                words = read_words(batch.column("text"))
+                letters, label, own = labelled_letters(words, model, penalty)
                 some = letters.sum(axis=1) > 0
                 best[some] = letters[some].argmax(axis=1)
                 share[some] = letters[some].max(axis=1) / letters[some].sum(axis=1)
                 if with_spans and len(label):
                     edge = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (label[1:] != label[:-1])))
                     for a, b in zip(edge, np.append(edge[1:], len(label)), strict=True):
-                        spans[own[a]].append({"first": int(a - firsts[own[a]]), "last": int(b - 1 - firsts[own[a]]), "lang": model.langs[label[a]]})
+                        spans[own[a]].append({"first": int(a - words.firsts[own[a]]), "last": int(b - 1 - words.firsts[own[a]]), "lang": model.langs[label[a]]})
             columns = [batch.column("id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(share, pa.float64())]
             if with_spans:
                 columns.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))))
@@ -233,21 +251,56 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id)
 
 
-def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
-    """The rows of docs of which one language has at least the share `least` of the letters; the others are rejected.
+#: A word is likely if its likelihood is at most so many deviations under the mean of its language's training words.
+DEVIATIONS = 3.0
+
 
+def floors(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCS) -> np.ndarray:
+    """The least likelihood of a likely word of each language, from all words of the training texts; a row a language is gathered."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {x: i for i, x in enumerate(model.langs)}
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            words = read_words(batch.column("text"))
+            of = np.array([place.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)  # a language that the model lacks has no words
+            of = np.repeat(of, np.diff(words.firsts))
+            each = likelihoods(words, model)[words.distinct, of] if len(of) else np.zeros(0)
+            sums = [np.bincount(of, x, len(model.langs)).astype(float) for x in (np.ones(len(of)), each, each * each)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(model.langs)), pa.int64()), *map(pa.array, sums)], ["lang", "n", "x", "xx"])
+
+    sums = labelled(docs, id, text, lang, bound).mapInArrow(measure, "lang long, n double, x double, xx double").groupBy("lang").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
+    least = np.zeros(len(model.langs))
+    for i, n, x, xx in sums.collect():
+        least[i] = x / n - DEVIATIONS * max(xx / n - (x / n) ** 2, 0) ** 0.5 if n else 0
+    return least
+
+
+def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4, likely: float = 0.3) -> DataFrame:
+    """The rows of docs whose language is known; the others are rejected.
+
+    One learned language has at least the share `least` of the letters, and likely words have at least the share `likely`.
+    A word of a script that training never saw isn't likely, nor one whose n-grams are too rare for the language that it goes to.
     The decision goes by text, so rows that share an identifier are told apart.
+    An empty table gives an empty result; a table without any labelled row is an error.
     """
     model = train(docs, id=id, text=text, lang=lang)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.langs:
+        if docs.limit(1).count():
+            raise ValueError(f"no row of {lang} is labelled, so that no language is known")
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model, floors(docs, model, id=id, text=text, lang=lang)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, limits = shared.value
         for batch in small_batches(batches, text, BATCH_BYTES):
-            if not model.langs:
-                continue
-            letters = labelled_letters(batch.column(text), model, PENALTY)[0]
+            words = read_words(batch.column(text))
+            letters, label, own = labelled_letters(words, model, PENALTY)
             total = letters.sum(axis=1)
-            yield batch.filter(pa.array((total > 0) & (letters.max(axis=1) >= least * total)))
+            good = likelihoods(words, model) >= limits
+            good[~model.seen[words.scripts]] = False
+            found = np.bincount(own, words.letters[words.distinct] * good[words.distinct, label], len(batch))
+            yield batch.filter(pa.array((total > 0) & (letters.max(axis=1) >= least * total) & (found >= likely * total)))
 
     return docs.mapInArrow(keep, docs.schema)

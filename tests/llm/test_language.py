@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.language import identify, known_language, train, viterbi
@@ -58,6 +59,40 @@ def test_scripts_narrow(spark):
     assert got[1] == "ru" and got[2] == "en" and got[3] in ("en", "ru")
 
 
+def test_a_language_needs_a_letter(spark, docs):
+    texts = ["\u0301", "ः !", "1 \u0301\u0302 2", "\u0301\u0301 ः", "123 !?", "\u0301a", "1\u0301 e\u0301te", "é", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in identify(df, train(docs)).collect()}
+    assert [got[i].lang_pred == "und" and got[i].score == 0 for i in range(len(texts))] == [True] * 5 + [False] * 3 + [True]
+
+
+def test_score_is_a_share_of_letters(spark):
+    rows = [(i, "жук лес дом мир", "ru") for i in range(40)] + [(i + 40, "cat dog sun sea", "en") for i in range(40)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    row = identify(spark.createDataFrame([(1, "жук лес cat dog sun sea cat")], "doc_id long, text string"), model, penalty=0.0).first()
+    assert (row.lang_pred, round(row.score, 6)) == ("en", round(15 / 21, 6))
+
+
+def test_unknown_languages_are_rejected(spark, docs):
+    foreign = [
+        "漢字 仮名 交じり 文 日本語 の 文章 です", "привет мир как дела сегодня хорошая погода", "zxqj kwvzx qqxz jjwq xkcd vwxz qzjx wqkz zzxq jxqv",
+        "wszczęście przyszłość łódź żółć gęślą jaźń chrząszcz brzmi w trzcinie szczebrzeszyn wszyscy mężczyźni źdźbło",
+        "köszönöm szépen hogy vagy ma este megyünk együtt vacsorázni gyönyörű magyarország fővárosa",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri",
+    ]
+    more = spark.createDataFrame([(10**6 + i, x, None, "s", len(x)) for i, x in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in known_language(docs.union(more)).collect()}
+    assert not kept & {10**6 + i for i in range(len(foreign))}
+    plain = {r.doc_id for r in identify(docs, train(docs)).where("lang_pred <> 'und' and score >= 0.4").collect()}
+    assert kept == plain  # no text of a learned language is too unlikely
+
+
+def test_no_labelled_row(odd):
+    with pytest.raises(ValueError, match="labelled"):
+        known_language(odd.withColumn("lang", F.lit(None).cast("string")))
+
+
 def test_odd_rows(odd, none):
     extra = odd.withColumns({"id": F.lit("x"), "held_out": F.lit(1), "score": F.lit(None).cast("int")})
     got = identify(extra, train(extra)).collect()
