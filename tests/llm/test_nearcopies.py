@@ -67,6 +67,45 @@ def test_no_pair_is_lost(spark):
     assert sorted(r.doc_id for r in drop_near_copies(df).collect()) == sorted(brute(texts))
 
 
+def test_a_split_group(spark, monkeypatch):
+    import quire.llm.nearcopies as nearcopies
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    texts = {}
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(3000)}"
+        texts[i] = " ".join(words)
+    monkeypatch.setattr(nearcopies, "RUN", 30)  # keys of some 200 texts become cells of two blocks each
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = brute(texts)
+    assert 1 < len(expected) < 240
+    assert sorted(r.doc_id for r in drop_near_copies(df).collect()) == sorted(expected)
+
+
+def test_pairs_of_keys_by_brute_force(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    import quire.llm.nearcopies as nearcopies
+
+    monkeypatch.setattr(nearcopies, "SMALL", 4)
+    monkeypatch.setattr(nearcopies, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 12, 90))
+    n, label = rng.integers(90, 110, 90), rng.integers(0, 5, 90)
+    bits = rng.random((90, nearcopies.BITS)) < 0.012
+    names = ["key", "cell", "block", "whole", "ref", "label", "n", "place", "bits"]
+    table = pa.table([pa.array(x) for x in (key, key * 0, key * 0, key == key, np.arange(90), label, n, n * 0)] + [pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], names)
+    may = {(i, j) for i in range(90) for j in range(i + 1, 90) if key[i] == key[j] and label[i] != label[j] and 9 * (bits[i] ^ bits[j]).sum() <= n[i] + n[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])}
+    for size in (7, 90):
+        every, nearest = ({(u, v) for b in nearcopies.pairs_of_keys(iter(table.to_batches(size)), e) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)} for e in (True, False))
+        assert every == may and len(may) > 20
+        assert nearest <= may and {x for p in nearest for x in p} == {x for p in may for x in p}
+
+
 def test_odd_rows(odd, none):
     extra = odd.withColumns({"node": F.lit("x"), "component": F.lit(1), "key": F.lit(None).cast("int")})
     got = drop_near_copies(extra)

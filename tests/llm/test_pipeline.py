@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quire.llm.language import identify, train
 from quire.llm.mixing import mix
 
+from .test_nearcopies import brute
 from .test_packing import ids_of
-from .test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +36,7 @@ def test_stages_by_brute_force(spark, docs, tmp_path):
         last[r.text] = max(last.get(r.text, -1), r.doc_id)
     assert key(kept["exact_copies"]) == key(r for r in kept["language_id"] if last[r.text] == r.doc_id)
 
-    roots = set(brute_components({r.doc_id: brute_print(r.text) for r in kept["exact_copies"]}).values())
+    roots = brute({r.doc_id: r.text for r in kept["exact_copies"]})  # five words, a similarity of 0.8 or more
     assert key(kept["near_copies"]) == key(r for r in kept["exact_copies"] if r.doc_id in roots)
 
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
