@@ -6,6 +6,11 @@ So all windows of equal words meet in one bucket, about three times the text is
 the strings of a chunk that go to one bucket are compressed together. In the bucket all windows are sorted by hash;
 equal hashes are compared in full, byte by byte, and each window's smallest document follows exactly.
 
+Common phrases: a minimiser of many windows, each in other surroundings, would make a bucket as large as its share of
+the corpus. So a first pass sums what goes to each of many classes of minimisers; windows of a class of more than a
+bucket's size are led by the smallest hash of their longer runs, of `LONGER` words, instead. Which of the two it is depends on
+the window's words alone, so that equal windows still meet. What is broadcast is a bit a class: one for each half MB of text.
+
 Common passages: where a chunk of text has a super-k-mer in several documents, only the smallest of them goes to
 the bucket. The chunk itself decides about the others, which that document suffices to condemn. So a bucket gets
 a string once a chunk at most, however many documents share it.
@@ -14,8 +19,8 @@ Then a document's spans meet its text in a join, which drops the covered words.
 
 Edge cases: a null text has no words. A text of fewer than k words has no window. Windows repeated within a
 document, or in rows of one identifier, are no repeats: no other identifier is smaller. A null identifier counts
-as larger than any other. Repeated rows share their spans; rows that repeat an identifier with other text are told
-apart by 31 bits of the text's hash. An empty table gives an empty result. A very long text is one unit of a chunk.
+as larger than any other. Repeated rows share their spans; rows that repeat an identifier, null included, with other
+text are told apart by 128 bits of two hashes of the text. An empty table gives an empty result. A very long text is one unit of a chunk.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +37,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import small_batches
-from quire.llm.ragged import runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
+from quire.llm.ragged import U64, Words, runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
 
 WINDOW = 13
 MINIMISER = 3
+LONGER = 8
+#: Classes of minimisers for each bucket.
+CLASSES = 4
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null identifier
 
-SPANS = "id long, tag int, a int, b int"
+SPANS = "id long, tag long, tag2 long, a int, b int"
 HEAD = struct.Struct("<qqq")
 
-
-KINDS = (np.int64, np.int32, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int32, np.int32)
+#: Super-k-mers: document, its two tags, first word, bytes; all their bytes; spans that are known already.
+KINDS = (np.int64, np.int64, np.int64, np.int32, np.int32, np.uint8, np.int64, np.int64, np.int64, np.int32, np.int32)
 
 
-def seal(docs: np.ndarray, tags: np.ndarray, at: np.ndarray, lengths: np.ndarray, body: np.ndarray, done: list[np.ndarray]) -> bytes:
+def seal(numbers: list[np.ndarray], body: np.ndarray, done: list[np.ndarray]) -> bytes:
     """One compressed string of a bucket's super-k-mers; numbers lie byte by byte, first the lowest byte of all, then the next."""
-    planes = [np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for x, kind in zip((docs, tags, at, lengths, body, *done), KINDS, strict=True)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([HEAD.pack(len(docs), len(body), len(done[0])), *planes]))
+    planes = [np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for x, kind in zip((*numbers, body, *done), KINDS, strict=True)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([HEAD.pack(len(numbers[0]), len(body), len(done[0])), *planes]))
 
 
 def unseal(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, size, ready = HEAD.unpack_from(raw)
     out, place = [], HEAD.size
-    for kind, count in zip(KINDS, (n, n, n, n, size, ready, ready, ready, ready), strict=True):
+    for kind, count in zip(KINDS, (*[n] * 5, size, *[ready] * 5), strict=True):
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * width, place).reshape(width, count).T).reshape(-1).view(kind))
         place += count * width
@@ -90,49 +99,80 @@ def leaders(hashes: np.ndarray, docs: np.ndarray, body: np.ndarray, starts: np.n
     return docs[lead], lead
 
 
-def super_kmers(batch: pa.RecordBatch, k: int, m: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    docs = batch.column("id").fill_null(LAST).to_numpy()
-    tags = batch.column("tag").to_numpy()
-    words = scan_words(*text_bytes(batch.column("text")))
+class Homes(NamedTuple):
+    """Where windows go: to one of `buckets` by their minimiser, those of a heavy class to one of `more` by their longer one."""
+
+    buckets: int
+    heavy: np.ndarray  # of each class of minimisers
+    more: int
+
+
+def homes_of(hashes: np.ndarray, k: int, m: int, longer: int, homes: Homes) -> tuple[np.ndarray, np.ndarray]:
+    """(minimiser, whether it is of the longer runs) of the windows that begin at each word."""
+    n = len(hashes)
+    runs = lambda width: sliding_min(sequence_hashes(hashes, np.arange(n - width + 1), np.full(n - width + 1, width)), k - width + 1)
+    least = runs(m)
+    heavy = homes.heavy[(least % U64(len(homes.heavy))).astype(np.int64)]
+    return (np.where(heavy, runs(longer), least) if heavy.any() else least), heavy
+
+
+class Cut(NamedTuple):
+    words: Words
+    first: np.ndarray  # word of each super-k-mer
+    count: np.ndarray  # its windows
+    home: np.ndarray  # its minimiser
+    heavy: np.ndarray
+    start: np.ndarray  # its first byte
+    length: np.ndarray
+
+
+def super_kmers(texts: pa.Array, k: int, m: int, longer: int, homes: Homes) -> Cut | None:
+    words = scan_words(*text_bytes(texts))
     n = len(words.starts)
     if n < k:
-        return
-    grams = sequence_hashes(words.hashes, np.arange(n - m + 1), np.full(n - m + 1, m))
-    least = sliding_min(grams, k - m + 1)  # of the windows that begin at each word
-    windows = np.arange(n - k + 1)
-    valid = windows + k <= words.firsts[words.text[: n - k + 1] + 1]
+        return None
+    least, heavy = homes_of(words.hashes, k, m, longer, homes)
+    valid = np.arange(n - k + 1) + k <= words.firsts[words.text[: n - k + 1] + 1]
     new = valid.copy()
-    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (heavy[1:] != heavy[:-1])
     edges = np.flatnonzero(new | ~valid)
     first = edges[valid[edges]]
-    count = np.diff(np.append(edges, n - k + 1))[valid[edges]]
     if not len(first):
-        return
+        return None
+    count = np.diff(np.append(edges, n - k + 1))[valid[edges]]
     last = first + count + k - 2
-    start, length = words.starts[first], words.starts[last] + words.lengths[last] - words.starts[first]
+    start = words.starts[first]
+    return Cut(words, first, count, least[first], heavy[first], start, words.starts[last] + words.lengths[last] - start)
+
+
+def dealt(batch: pa.RecordBatch, k: int, m: int, longer: int, homes: Homes) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its super-k-mers of this chunk)"""
+    found = super_kmers(batch.column("text"), k, m, longer, homes)
+    if found is None:
+        return
+    words, first, count, home, heavy, start, length = found
     text = words.text[first]
-    owner, tag, at = docs[text], tags[text], (first - words.firsts[text]).astype(np.int32)
+    at = (first - words.firsts[text]).astype(np.int32)
+    owner, *tags = (batch.column(c).fill_null(LAST).to_numpy()[text] for c in ("id", "tag", "tag2"))
     smallest, _ = leaders(sequence_hashes(words.hashes, first, count + k - 1), owner, words.packed, start, length)
     beaten = owner > smallest
-    done = [owner[beaten], tag[beaten], at[beaten], (at[beaten] + count[beaten] + k - 1).astype(np.int32)]
-    bucket = (least[first] % np.uint64(buckets)).astype(np.int64)
-    nothing = [x[:0] for x in done]
+    done = [owner[beaten], *(t[beaten] for t in tags), at[beaten], (at[beaten] + count[beaten] + k - 1).astype(np.int32)]
+    bucket = np.where(heavy, U64(homes.buckets) + home % U64(homes.more), home % U64(homes.buckets)).astype(np.int64)
     if len(done[0]):
-        empty = np.zeros(0, np.int32)
-        yield int(words.hashes[0] % np.uint64(buckets)), seal(np.zeros(0, np.int64), empty, empty, empty, np.zeros(0, np.uint8), done)
+        yield int(words.hashes[0] % U64(homes.buckets)), seal([x[:0] for x in (owner, *tags, at, at)], words.packed[:0], done)
     rest = np.flatnonzero(~beaten)
     rest = rest[np.argsort(bucket[rest], kind="stable")]
     own = bucket[rest]
     begins, sizes = runs_of(np.append(True, own[1:] != own[:-1])) if len(own) else ((), ())
     for b, size in zip(begins, sizes, strict=True):
         part = rest[b : b + size]
-        yield int(bucket[part[0]]), seal(owner[part], tag[part], at[part], length[part].astype(np.int32), words.packed[spans(start[part], length[part])], nothing)
+        yield int(bucket[part[0]]), seal([owner[part], *(t[part] for t in tags), at[part], length[part].astype(np.int32)], words.packed[spans(start[part], length[part])], [x[:0] for x in done])
 
 
 def bucket_spans(table: pa.Table, k: int) -> pa.Table:
     """The covered spans that a bucket finds."""
     parts = [unseal(x) for x in table.column("blob").to_pylist()]
-    docs, tags, at, lengths, body, *done = (np.concatenate([p[i] for p in parts]) for i in range(9))
+    docs, tag, tag2, at, lengths, body, *done = (np.concatenate([p[i] for p in parts]) for i in range(len(KINDS)))
     found = [done]
     if len(docs):
         words = scan_words(body, np.append(0, np.cumsum(lengths)))
@@ -149,39 +189,61 @@ def bucket_spans(table: pa.Table, k: int) -> pa.Table:
             first, count = runs_of(np.append(True, (windows[covered][1:] != windows[covered][:-1] + 1) | (kmer[covered][1:] != kmer[covered][:-1])))
             own = kmer[covered[first]]
             a = at[own] + (windows[covered[first]] - words.firsts[own]).astype(np.int32)
-            found.append([docs[own], tags[own], a, (a + count + k - 1).astype(np.int32)])
-    ids, tag, a, b = (np.concatenate([f[i] for f in found]) for i in range(4))
-    return pa.table({"id": pa.array(ids, mask=ids == LAST), "tag": tag, "a": a, "b": b})
+            found.append([docs[own], tag[own], tag2[own], a, (a + count + k - 1).astype(np.int32)])
+    ids, tag, tag2, a, b = (np.concatenate([f[i] for f in found]) for i in range(5))
+    return pa.table({"id": pa.array(ids, mask=ids == LAST), "tag": tag, "tag2": tag2, "a": a, "b": b})
 
 
 def tagged(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, tag, text). Where identifiers repeat, the tag tells their texts apart; else it is 0, which costs nothing to move."""
+    """(id, tag, tag2, text). Where identifiers repeat, the tags tell their texts apart; else they are 0, which costs nothing to move."""
     ids = docs.select(F.col(id).cast("long").alias("id"))
     repeated = ids.groupBy("id").count().where("count > 1").limit(1).count()
-    tag = F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int") if repeated else F.lit(0)
-    return docs.select(F.col(id).cast("long").alias("id"), tag.alias("tag"), F.col(text).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    tags = (F.xxhash64(body), F.xxhash64(F.lit("tag"), body)) if repeated else (F.lit(0).cast("long"),) * 2
+    return docs.select(F.col(id).cast("long").alias("id"), tags[0].alias("tag"), tags[1].alias("tag2"), F.col(text).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MINIMISER, buckets: int | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """(id, tag, a, b): words [a, b) of that row are covered by windows that a document of smaller id has too.
+def homes_for(rows: DataFrame, k: int, m: int, longer: int, buckets: int | None, chunk: int, most: int) -> Homes:
+    """Sums the bytes of each class of minimisers over all rows; a class of more than `most` bytes is heavy."""
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(16, -(-size // BUCKET_BYTES))
+    classes = CLASSES * buckets
+    plain = Homes(buckets, np.zeros(classes, bool), 1)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", chunk):
+            found = super_kmers(batch.column("text"), k, m, longer, plain)
+            if found is not None:
+                some, at = np.unique((found.home % U64(classes)).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, found.length).astype(np.int64))], ["class", "size"])
 
-    tag: as `tagged` has it. A span appears once; spans of one row may touch or overlap.
+    sizes = rows.select("text").mapInArrow(weigh, "class long, size long").groupBy("class").agg(F.sum("size").alias("size"))
+    large = sizes.where(F.col("size") > most).toArrow()  # at most as many as classes, of which there are CLASSES for BUCKET_BYTES of text
+    heavy = np.zeros(classes, bool)
+    heavy[large.column("class").to_numpy()] = True
+    return Homes(buckets, heavy, max(1, -(-2 * int(large.column("size").to_numpy().sum()) // max(most, 1 << 14))))
+
+
+def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, tag, tag2, a, b): words [a, b) of that row are covered by windows that a document of smaller id has too.
+
+    tag, tag2: as `tagged` has them. A span appears once; spans of one row may touch or overlap. options: of `spans_of`.
     """
-    return spans_of(tagged(docs, id, text), k, m, buckets, chunk)
+    return spans_of(tagged(docs, id, text), **options)
 
 
-def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, buckets: int | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
-    if buckets is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(16, -(-size // BUCKET_BYTES))
+def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, longer: int = LONGER, buckets: int | None = None, chunk: int = CHUNK_BYTES, most: int = BUCKET_BYTES) -> DataFrame:
+    longer = max(m, min(longer, k))
+    shared = rows.sparkSession.sparkContext.broadcast(homes_for(rows, k, m, longer, buckets, chunk, most))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", chunk):
-            found = list(super_kmers(batch, k, m, buckets))
+            found = list(dealt(batch, k, m, longer, shared.value))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "blob"])
 
-    dealt = rows.mapInArrow(deal, "bucket long, blob binary")
-    return dealt.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, k), SPANS)
+    blobs = rows.mapInArrow(deal, "bucket long, blob binary")
+    return blobs.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, k), SPANS)
 
 
 def apply_spans(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -205,7 +267,8 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     """One row per row of docs: (id, n_words, n_removed, kept): what is left, words joined by single spaces, or with_text=False its SHA-256."""
     rows = tagged(docs, id, text)
     found = spans_of(rows, **options)
-    by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = rows.join(by_row, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("id", "text", "spans")
+    by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag"), F.col("tag2").alias("of_tag2")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")) & (F.col("tag2") == F.col("of_tag2"))
+    joined = rows.join(by_row, same, "left").select("id", "text", "spans")
     out = joined.mapInArrow(lambda batches: apply_spans(batches, with_text), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)

@@ -39,6 +39,44 @@ def test_documents(docs):
     assert run(docs, k=5, m=2) == brute(docs.collect(), 5)
 
 
+def test_heavy_minimisers(docs):
+    expected = brute(docs.collect(), 13)
+    assert run(docs, most=0) == expected  # every window goes by its longer minimiser
+    assert run(docs, most=3000, buckets=50, chunk=50_000) == expected
+    assert run(docs, k=5, m=2, most=3000) == brute(docs.collect(), 5)
+
+
+def test_a_common_phrase_is_dealt_out(spark):
+    import random
+
+    import pyarrow as pa
+
+    from quire.llm.ragged import scan_words, sequence_hashes, text_bytes
+
+    phrases = [f"p{i} q{i} r{i}" for i in range(300)]
+    hashes = scan_words(*text_bytes(pa.array(phrases))).hashes
+    phrase = phrases[int(sequence_hashes(hashes, np.arange(0, 900, 3), np.full(300, 3)).argmin())].split()  # the minimiser of most windows that have it
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(x for _ in range(12) for x in (*rng.choices(vocabulary, k=9), *phrase)) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "id long, tag long, tag2 long, text string")
+    homes = substring.homes_for(rows, 13, 3, 8, 64, 1 << 20, 20_000)
+    sizes = {}
+    for of, where in (("plain", homes._replace(heavy=homes.heavy & False)), ("dealt", homes)):
+        cut = substring.super_kmers(pa.array(texts), 13, 3, 8, where)
+        bucket = np.where(cut.heavy, cut.home % np.uint64(homes.more) + np.uint64(64), cut.home % np.uint64(64)).astype(np.int64)
+        sizes[of] = np.bincount(bucket, cut.length)
+    assert sizes["plain"].max() > 3 * sizes["plain"].mean() and sizes["dealt"].max() < 100_000 < sizes["plain"].max()
+
+
+def test_null_identifiers(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(10**6)))), " ").alias("text"))
+    first = rows.limit(1).collect()[0].text
+    both = rows.union(spark.createDataFrame([(5, first)], "doc_id long, text string"))
+    gone = remove_repeats(both).where("n_removed > 0").collect()
+    assert [(r.doc_id, r.n_removed, r.kept) for r in gone] == [(None, 14, "")]
+
+
 def test_odd_rows(odd, none):
     extra = odd.withColumns({"id": F.lit("x"), "tag": F.lit(None).cast("int"), "spans": F.lit(1)})
     assert run(extra) == brute(odd.collect(), 13)
