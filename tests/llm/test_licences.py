@@ -1,50 +1,123 @@
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
-from quire.llm.licences import RULES, SENTENCES, Rule, known, normal, scan
+from quire.llm.licences import RULES, SENTENCES, scan
+
+STOPS = ".!?:"
+
+
+def sentences(text):
+    """Sentences as lists of their lines, character by character."""
+    lines = []
+    for line in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "").replace("\r", "")).split("\n"):
+        line = re.sub(r"^[ \t]*((//+|#+|/?\*+/?|;+|--+|%+|<!--)[ \t]*)?(\(?(\d{1,3}|[a-z]|[ivx]{2,4})[.)][ \t]+)?", "", line, flags=re.ASCII)
+        lines.append(line)
+    out, now = [], [""]
+
+    def end():
+        nonlocal now
+        if any(re.search("[a-z0-9]", x) for x in now):
+            out.append([x for x in (" ".join(re.findall("[a-z0-9]+", y)) for y in now) if x])
+        now = [""]
+
+    for n, line in enumerate(lines):
+        for i, c in enumerate(line):
+            now[-1] += c
+            if c in STOPS and (line[i + 1 : i + 2] in (" ", "\t") or i + 1 == len(line) and n + 1 < len(lines)):
+                end()
+        if n + 1 < len(lines):
+            if not line.strip(" \t") or re.match("copyright[ \t]", line):
+                end()
+            now.append("")
+    end()
+    return out
+
+
+NAMES, RUNS = {}, {}
+for number, known in SENTENCES.items():
+    RUNS[number] = [NAMES.setdefault(" ".join(x), len(NAMES) + 1) for x in sentences(known)]
 
 
 def brute(text):
-    names = known(SENTENCES)
-    parts = [normal(p) for p in re.split(r"\r?\n|[.!?:][ \t]+", text or "")]
-    ids = [names.get(p, 0) for p in parts if p]
-    n, left, found = len(ids), list(ids), set()
-    for rule in sorted(RULES, key=lambda r: -len(r.sentences)):
-        want, i = list(rule.sentences), 0
+    ids = []
+    found = sentences(text)
+    for lines in found:
+        whole = NAMES.get(" ".join(lines))
+        for n in [whole] if whole else [NAMES.get(x, 0) for x in lines]:
+            if n or not ids or ids[-1]:
+                ids.append(n)
+    left, hits, shown = list(ids), set(), " ".join(map(str, ids))
+    for rule in sorted(RULES, key=lambda r: -sum(len(RUNS[s]) for s in r.sentences)):
+        want, i = [n for s in rule.sentences for n in RUNS[s]], 0
         while i + len(want) <= len(left):
             if left[i : i + len(want)] == want:
-                found.add(rule)
+                hits.add(rule)
                 left[i : i + len(want)] = [0]
             i += 1
-    kinds = {r.kind for r in found}
-    kind = next((k for k in ("restricted", "copyleft", "permissive") if k in kinds), "none")
-    return n, ",".join(sorted({r.licence for r in found})), kind
+    kinds = {r.kind for r in hits}
+    return len(found), shown, ",".join(sorted({r.licence for r in hits})), next((k for k in ("restricted", "copyleft", "permissive") if k in kinds), "none")
 
 
 def check(df):
     rows = df.collect()
-    got = sorted(((r.doc_id, r.n_sentences, r.licences, r.licence_kind) for r in scan(df).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_sentences, r.sentence_ids, r.licences, r.licence_kind) for r in scan(df).collect()), key=repr)
     assert got == sorted(((r.doc_id, *brute(r.text)) for r in rows), key=repr)
-    return got
+    return {r[0]: r[3:] for r in got}
+
+
+def texts(spark, rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
 
 
 def test_documents(docs, odd, none):
     got = check(docs)
-    assert {"MIT", "Apache-2.0", "GPL-3.0-only", "CC-BY-NC-4.0", "proprietary"} >= {r[2] for r in got} - {""} and any(r[2] for r in got)
-    check(odd.withColumns({"id": F.lit("x"), "left": F.lit(1), "rule0": F.lit(None).cast("int")}))
+    assert {"MIT", "Apache-2.0", "GPL-3.0-only", "CC-BY-NC-4.0", "proprietary"} >= {r[0] for r in got.values()} - {""} and any(r[0] for r in got.values())
+    check(odd.withColumns({"id": F.lit("x"), "left": F.lit(1), "found": F.lit(None).cast("int")}))
     assert scan(none).count() == 0
 
 
 def test_rules(spark):
-    mit = f"MIT License\n\nCopyright (c) 2020 X\n\n{SENTENCES[3]}:\n\n{SENTENCES[4]}.\n\n{SENTENCES[5]}."
-    bsd = f"{SENTENCES[31]}:\n1. {SENTENCES[32]}.\n"
-    rows = [
-        (1, mit), (2, bsd), (3, f"{SENTENCES[31]}:\n{SENTENCES[32]}.\n{SENTENCES[33]}.\n{SENTENCES[34]}."), (4, f"{SENTENCES[31]}:\n{SENTENCES[32]}.\n{SENTENCES[33]}."),
-        (5, "text  Released under\tthe MIT  License."), (6, "released UNDER the mit licence."), (7, "RELEASED under the MIT License!  All rights reserved."),
-        (8, "Words before. Licensed under the Apache License, Version 2.0. Words after."), (9, f"{SENTENCES[3]}:\nNot so.\n{SENTENCES[4]}."),
-    ]
-    got = {r[0]: r[2:] for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
-    assert got[1] == ("MIT", "permissive") and got[2] == ("", "none") and got[3] == ("BSD-3-Clause", "permissive") and got[4] == ("BSD-2-Clause", "permissive")
-    assert got[5] == ("", "none") and got[6] == ("", "none") and got[7] == ("MIT,proprietary", "restricted") and got[8] == ("Apache-2.0", "permissive") and got[9] == ("", "none")
-    assert isinstance(RULES[0], Rule)
+    s = SENTENCES
+    got = check(texts(spark, [
+        f"MIT License\n\nCopyright (c) 2020 X\n\n{s[3]}:\n\n{s[4]}.\n\n{s[5]}.", f"{s[31]}:\n1. {s[32]}.\n", f"{s[31]}:\n{s[32]}.\n{s[33]}.\n{s[34]}.", f"{s[31]}:\n{s[32]}.\n{s[33]}.",
+        "text  Released under\tthe MIT  License.", "released UNDER the mit licence.", "RELEASED under the MIT License!  All rights reserved.",
+        "Words before. Licensed under the Apache License, Version 2.0. Words after.", f"{s[3]}:\nNot so.\n{s[4]}.", "A line of prose without a stop\nReleased under the MIT License\nand more prose.",
+    ]))
+    assert [got[i] for i in range(10)] == [
+        ("MIT", "permissive"), ("", "none"), ("BSD-3-Clause", "permissive"), ("BSD-2-Clause", "permissive"), ("", "none"), ("", "none"), ("MIT,proprietary", "restricted"), ("Apache-2.0", "permissive"), ("", "none"), ("MIT", "permissive"),
+    ]
+
+
+def test_parts_alone_mean_nothing(spark):
+    got = check(texts(spark, ["Version: 2.0", "MIT", "The licence is called:\nMIT\n", "ISC\n\n2.0", "SPDX-License-Identifier: unknown", "Mozilla Public License, v. 3.0"]))
+    assert set(got.values()) == {("", "none")}
+    got = check(texts(spark, ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-or-later", "see SPDX-License-Identifier: MIT"]))
+    assert [got[i][0] for i in range(3)] == ["MIT", "GPL-2.0-or-later", ""]
+
+
+def wrapped(*parts, width=72, lead=""):
+    return "\n".join(lead + line for part in parts for line in [*textwrap.wrap(part, width), ""])
+
+
+def test_wrapped_and_numbered(spark):
+    s = SENTENCES
+    mit = ("MIT License", "Copyright (c) 2020 A B", f"{s[3]}:", f"{s[4]}.", f"{s[5]}. {s[7]}.")
+    bsd = (f"Copyright (c) 2020, A B. {s[71]}.", f"{s[31]}:", f"1. {s[32]}.", f"2. {s[33]}.", f"3. {s[34]}.", f"{s[39]}.")
+    apache = ("Copyright 2020 A", f"{s[12]}. {s[13]}", s[14], "Unless required by applicable law or agreed to in writing, software is distributed on an \"AS IS\" BASIS.")
+    gpl = (f"{s[22]}.", f"{s[23]}.  {s[24]}.")
+    rows = [wrapped(*mit), wrapped(*mit, width=50, lead="// "), wrapped(*bsd), wrapped(*bsd, lead=" * "), wrapped(*apache, lead="# "), wrapped(*gpl, lead="   "), wrapped(*gpl, lead="# ").replace("\n", "\r\n"),
+            wrapped(f"{s[61]}. {s[65]}."), f"                    {s[86][:26]}\n                       Version 2, June 1991\n\n Copyright (C) 1989\n", wrapped(f"{s[111]}.", f"{s[23]}. {s[112]}.", lead="-- "),
+            wrapped(f"{s[91]}.", f"{s[92]}. {s[93]}."), wrapped(f"{s[41]}.", "THE SOFTWARE IS PROVIDED \"AS IS\""), wrapped(f"{s[131]}.", f"{s[132]}."), f"Copyright (c) 2021 Z\n{textwrap.fill(s[3], 60)}:\n{textwrap.fill(s[4], 60)}.",
+            wrapped(f"{s[8]}.", f"{s[5]}."), f"(a) {s[18]}:"]
+    got = check(texts(spark, rows))
+    assert [got[i][0] for i in range(len(rows))] == [
+        "MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "GPL-2.0", "AGPL-3.0-or-later", "LGPL-2.1-or-later", "ISC", "Unlicense", "MIT", "MIT-0", "Apache-2.0",
+    ]
+
+
+def test_every_rule_is_found(spark):
+    rows = [" . ".join(SENTENCES[n] for n in rule.sentences) for rule in RULES]
+    got = check(texts(spark, rows))
+    assert [rule.licence for i, rule in enumerate(RULES) if rule.licence not in got[i][0].split(",")] == []
