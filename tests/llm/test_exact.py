@@ -46,3 +46,20 @@ def test_dedup_keeps_whole_rows(odd):
 def test_normalised(spark):
     df = spark.createDataFrame([(1, "A b"), (2, "a B")], "doc_id long, text string")
     assert [r.doc_id for r in exact_dedup(df, normalise=F.lower, keep="smallest").collect()] == [1]
+
+
+def test_common_texts_are_stitched(spark):
+    rows = [(i, "common" if i % 3 else f"text {i % 40}") for i in range(900)] + [(None, "common")] * 3 + [(5, "common")] * 2 + [(10**6, "common")] * 2 + [(i, None if i % 2 else "") for i in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for keep in ("largest", "smallest"):
+        got = exact_groups(df, keep=keep).collect()
+        assert key((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == key(brute(df.collect(), keep == "largest"))
+        kept = sorted((r.text_sha256, r.doc_id) for r in got if r.kept)
+        assert kept == sorted({(r.text_sha256, r.keep_id) for r in got})
+        once = exact_dedup(df, keep=keep).collect()
+        assert sorted((hashlib.sha256((r.text or "").encode()).hexdigest(), r.doc_id) for r in once) == kept
+
+
+def test_one_shuffle_of_text(docs):
+    plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 2 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # the last one for heads of common texts alone
