@@ -162,26 +162,30 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
     common = weights.mean(axis=1) if langs else np.zeros(FEATURES)
     spoken = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0))
     seen = spoken.any(axis=1)
-    return Model(langs, (weights - common[:, None]).astype(np.float32), common.astype(np.float32), spoken | ~seen[:, None], seen)
+    return Model(langs, np.asfortranarray(weights - common[:, None], np.float32), common.astype(np.float32), spoken | ~seen[:, None], seen)
 
 
-def word_scores(words: Batch, model: Model) -> np.ndarray:
-    """Of each distinct word, for each language; minus a lot where the script rules a language out."""
-    out = np.zeros((len(words.letters), len(model.langs)), np.float32)
-    if len(words.grams):
-        first = np.searchsorted(words.gram_words, np.arange(len(words.letters)))
-        for i in range(len(model.langs)):
-            out[:, i] = np.add.reduceat(model.weights[words.grams, i], first)
-    return np.where(model.spoken[words.scripts], out, np.float32(-1e4))
+class Scores(NamedTuple):
+    """Of each distinct word, for each language."""
 
+    sums: np.ndarray  # of the weights of its n-grams
+    mean: np.ndarray  # log-likelihood of an n-gram
 
-def likelihoods(words: Batch, model: Model) -> np.ndarray:
-    """Of each distinct word, for each language: the mean log-likelihood of its n-grams."""
+
+def scores_of(words: Batch, model: Model) -> Scores:
+    shape = (len(words.letters), len(model.langs))
     if not len(words.grams):
-        return np.zeros((0, len(model.langs)))
-    first = np.searchsorted(words.gram_words, np.arange(len(words.letters)))
-    sums = [np.add.reduceat(model.weights[words.grams, i] + model.common[words.grams], first) for i in range(len(model.langs))]
-    return np.stack(sums, axis=1) / np.diff(np.append(first, len(words.grams)))[:, None]
+        return Scores(np.zeros(shape, np.float32), np.zeros(shape, np.float32))
+    first = np.searchsorted(words.gram_words, np.arange(shape[0]))
+    total = lambda of: np.add.reduceat(of[words.grams], first)
+    sums = np.stack([total(model.weights[:, i]) for i in range(shape[1])], axis=1)
+    counts = np.diff(np.append(first, len(words.grams))).astype(np.float32)
+    return Scores(sums, (sums + total(model.common)[:, None]) / counts[:, None])
+
+
+def allowed(sums: np.ndarray, words: Batch, model: Model) -> np.ndarray:
+    """The scores, minus a lot where the script rules a language out."""
+    return np.where(model.spoken[words.scripts], sums, np.float32(-1e4))
 
 
 def viterbi(scores: np.ndarray, distinct: np.ndarray, firsts: np.ndarray, penalty: float) -> np.ndarray:
@@ -210,10 +214,10 @@ def viterbi(scores: np.ndarray, distinct: np.ndarray, firsts: np.ndarray, penalt
     return label
 
 
-def labelled_letters(words: Batch, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_letters(words: Batch, model: Model, sums: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letters of each text and language, each word's language, its text)"""
     texts = len(words.firsts) - 1
-    label = viterbi(word_scores(words, model), words.distinct, words.firsts, penalty)
+    label = viterbi(allowed(sums, words, model), words.distinct, words.firsts, penalty)
     own = np.repeat(np.arange(texts), np.diff(words.firsts))
     size = len(model.langs)
     letters = np.bincount(own * size + label, words.letters[words.distinct], texts * size).reshape(texts, size)
@@ -232,7 +236,7 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
             best, share, spans = np.full(n, len(model.langs)), np.zeros(n), [[] for _ in range(n)]
             if model.langs:
                 words = read_words(batch.column("text"))
-                letters, label, own = labelled_letters(words, model, penalty)
+                letters, label, own = labelled_letters(words, model, scores_of(words, model).sums, penalty)
                 some = letters.sum(axis=1) > 0
                 best[some] = letters[some].argmax(axis=1)
                 share[some] = letters[some].max(axis=1) / letters[some].sum(axis=1)
@@ -266,7 +270,7 @@ def floors(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "te
             words = read_words(batch.column("text"))
             of = np.array([place.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)  # a language that the model lacks has no words
             of = np.repeat(of, np.diff(words.firsts))
-            each = likelihoods(words, model)[words.distinct, of] if len(of) else np.zeros(0)
+            each = scores_of(words, model).mean[words.distinct, of].astype(float)
             sums = [np.bincount(of, x, len(model.langs)).astype(float) for x in (np.ones(len(of)), each, each * each)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(model.langs)), pa.int64()), *map(pa.array, sums)], ["lang", "n", "x", "xx"])
 
@@ -296,9 +300,10 @@ def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
         model, limits = shared.value
         for batch in small_batches(batches, text, BATCH_BYTES):
             words = read_words(batch.column(text))
-            letters, label, own = labelled_letters(words, model, PENALTY)
+            scores = scores_of(words, model)
+            letters, label, own = labelled_letters(words, model, scores.sums, PENALTY)
             total = letters.sum(axis=1)
-            good = likelihoods(words, model) >= limits
+            good = scores.mean >= limits
             good[~model.seen[words.scripts]] = False
             found = np.bincount(own, words.letters[words.distinct] * good[words.distinct, label], len(batch))
             yield batch.filter(pa.array((total > 0) & (letters.max(axis=1) >= least * total) & (found >= likely * total)))
