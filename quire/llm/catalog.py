@@ -92,17 +92,17 @@ WITH sized AS (
 ), source_seats AS (
   SELECT rank, count(*) AS seats FROM (
     SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place
-    FROM (SELECT rank, target, unnest(range((2 * target / {BLOCK_WORDS})::BIGINT + 4)) AS k FROM targets WHERE target > 0)
+    FROM (SELECT rank, target, unnest(range({REPEATS} * source_blocks::BIGINT)) AS k FROM targets JOIN source_blocks USING (rank) WHERE target > 0)
   ) WHERE place <= (SELECT floor(sum(target) / {BLOCK_WORDS} + 0.5) FROM targets) GROUP BY rank
 ), source_quota AS (
-  SELECT rank, least({REPEATS} * source_blocks, coalesce(seats, 0)) AS source_quota FROM source_blocks LEFT JOIN source_seats USING (rank)
+  SELECT rank, coalesce(seats, 0) AS source_quota FROM source_blocks LEFT JOIN source_seats USING (rank)
 ), shard_seats AS (
   SELECT rank, shard, count(*) AS seats FROM (
     SELECT rank, shard, source_quota, row_number() OVER (PARTITION BY rank ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard, k) AS place
-    FROM (SELECT rank, shard, words, source_quota, unnest(range(4 * blocks + 4)) AS k FROM shards JOIN source_quota USING (rank) WHERE words > 0)
+    FROM (SELECT rank, shard, words, source_quota, unnest(range({REPEATS} * blocks)) AS k FROM shards JOIN source_quota USING (rank) WHERE words > 0)
   ) WHERE place <= source_quota GROUP BY rank, shard
 ), quotas AS (
-  SELECT rank, shard, words, blocks, least({REPEATS} * blocks, coalesce(seats, 0)) AS quota,
+  SELECT rank, shard, words, blocks, coalesce(seats, 0) AS quota,
     ('0x' || substr(md5('{SEED}:' || rank || ':' || shard), 1, 8))::BIGINT AS seeded
   FROM shards LEFT JOIN shard_seats USING (rank, shard)
 ), runs AS (

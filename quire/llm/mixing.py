@@ -7,8 +7,9 @@ order, some `shard_words` long, cut into equal blocks; its quota is taken as a r
 shard's end if need be, from a seeded first block on. So nearly all documents are taken whole, 0, 1 or 2 times.
 Blocks are never rows: a shard's quota and a document's place in it give the words taken in closed form.
 
-No shuffle carries text. The sizes are worked out once; the running total is within a shard, so that a source with
-a third of all rows is spread over many tasks. Tables of a row per source or per shard hold no documents.
+No shuffle of `mix` carries text. The sizes are worked out once; the running total is within a shard, and seats are
+apportioned by sums and bins, so that a source with a third of all rows is spread over many tasks. Tables of a row per
+source or per shard hold no documents; those of a row per source are ranked in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the last; a null identifier is an
 identifier like others. Documents of size 0 are never taken. Repeated rows are rows like others: among equal
@@ -32,6 +33,15 @@ SHARD_WORDS = 1 << 18
 SEED = 17
 
 
+def mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def key(column: Column) -> Column:
+    """A text for each identifier, null included."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
 def seeded(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
@@ -60,25 +70,43 @@ def fill(sources: DataFrame, share: float, repeats: int) -> DataFrame:
     return stepped.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).drop("cap", "level")
 
 
-def apportion(parties: DataFrame, group: Sequence[str], votes: str, seats: Column, order: Sequence[str], most: Column, name: str) -> DataFrame:
-    """Adds `name`: each party's seats of its group's, by highest quotients votes / (2k + 1), `most` at most.
+#: Bins of quotients, of which only one is ranked.
+BINS = 1 << 14
+
+
+def apportion(parties: DataFrame, votes: str, seats: str, cap: str, order: str, name: str, group: str = "rank") -> DataFrame:
+    """Adds `name`: each party's seats of its group's, by highest quotients votes / (2k + 1), cap at most.
 
-    With n parties, rounding votes by a divisor that is n/2 seats too large gives no party a seat too many, and by
-    one n/2 seats too small none too few. Only the seats in between, 2n or so, are ranked.
+    A seat that a party's cap keeps from it goes to the next quotient. With n parties, rounding votes by a divisor
+    that is n/2 seats too large gives no party a seat too many. Divisors for more and more seats are tried by sums over the group, and
+    the first that gives enough has none too few. Only seats in between are open. Their quotients are counted in bins; the bins before the
+    one in which the group's seats run out win whole, and only that one's quotients are ranked. So no task sees a group's parties.
     """
-    all_of = Window.partitionBy(*group)
-    bounded = parties.withColumns({"_n": F.count("*").over(all_of), "_v": F.sum(votes).over(all_of), "_q": seats})
-    per_seat = lambda q: F.floor(F.when(F.col("_v") > 0, F.col(votes) * q / F.col("_v")).otherwise(F.lit(0.0)) + F.lit(0.5))
-    sure = F.greatest(F.lit(0), per_seat(F.col("_q") - F.col("_n") / 2) - 1).cast("long")
-    bounded = bounded.withColumns({"_sure": sure, "_last": F.when(F.col("_v") > 0, F.greatest(sure, per_seat(F.col("_q") + F.col("_n") / 2) + 1)).otherwise(F.lit(0)).cast("long")})
-    bounded = bounded.withColumn("_open", F.col("_q") - F.sum("_sure").over(all_of))
-    seat = F.explode_outer(F.when(F.col("_last") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_last") - 1))).alias("_k")
-    tried = bounded.select("*", seat)
-    quotient = F.col(votes) / (2 * F.col("_k") + 1)
-    place = F.row_number().over(all_of.orderBy(F.col("_k").isNull(), quotient.desc(), *order))
-    tried = tried.withColumn("_won", (F.col("_k").isNotNull() & (place <= F.col("_open"))).cast("long"))
-    kept = [c for c in parties.columns]
-    return tried.groupBy(*[F.col(c) for c in kept]).agg(F.least(most, F.first("_sure") + F.sum("_won")).alias(name))
+    kept = parties.columns
+    total = parties.groupBy(group).agg(F.count("*").alias("_n"), F.sum(votes).alias("_v"), F.max(seats).alias("_q"))
+    rows = parties.join(total.withColumnRenamed(group, "_g"), F.col(group) == F.col("_g"))
+    by = lambda q: F.least(F.col(cap), F.when(F.col("_v") > 0, F.floor(F.col(votes) * q / F.col("_v") + F.lit(0.5))).otherwise(0).cast("long"))
+    steps = [F.col("_q") + F.col("_n") / 2 * 4**i for i in range(8)]
+    sums = rows.groupBy(F.col(group).alias("_s")).agg(*[F.sum(by(q)).alias(f"_t{i}") for i, q in enumerate(steps)])
+    rows = rows.join(sums, F.col(group) == F.col("_s"))
+    last = F.col(cap)
+    for i in reversed(range(8)):
+        last = F.when(F.col(f"_t{i}") >= F.col("_q"), by(steps[i]) + 1).otherwise(last)
+    bounded = rows.withColumn("_sure", F.greatest(F.lit(0), by(F.col("_q") - F.col("_n") / 2) - 1)).withColumn("_last", F.when(F.col(votes) > 0, F.least(F.col(cap), F.greatest("_sure", last))).otherwise(0))
+    bounded = cut(bounded.select(*kept, "_q", "_sure", "_last"))
+    tried = bounded.select(group, order, votes, F.explode(F.when(F.col("_last") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_last") - 1))).alias("_k"))
+    tried = tried.withColumn("_x", F.col(votes) / (2 * F.col("_k") + 1))
+    span = tried.groupBy(F.col(group).alias("_g")).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_high") - F.col("_x")) / (F.col("_high") - F.col("_low")) * BINS)).otherwise(0)
+    tried = tried.join(span, F.col(group) == F.col("_g")).select(group, order, "_k", "_x", place.alias("_bin"))
+    bins = tried.groupBy(group, "_bin").agg(F.count("*").alias("_c")).withColumn("_to", F.sum("_c").over(Window.partitionBy(group).orderBy("_bin")))
+    opened = bounded.groupBy(F.col(group).alias("_g")).agg((F.max("_q") - F.sum("_sure")).alias("_open"))
+    reached = bins.join(opened, F.col(group) == F.col("_g")).where("_to > _open").groupBy(F.col(group).alias("_g")).agg(F.min("_bin").alias("_edge"), (F.first("_open") - F.min(F.col("_to") - F.col("_c"))).alias("_rest"))
+    marked = tried.join(reached, F.col(group) == F.col("_g"), "left")
+    ranked = marked.where("_bin = _edge").withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(F.col("_x").desc(), order))).where("_nth <= _rest")
+    won = marked.where("_edge is null or _bin < _edge").select(group, order).unionByName(ranked.select(group, order)).groupBy(F.col(group).alias("_g"), F.col(order).alias("_p")).agg(F.count("*").alias("_won"))
+    out = bounded.join(won, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_p")), "left")
+    return out.select(*kept, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias(name))
 
 
 def mix(
@@ -90,7 +118,7 @@ def mix(
     whole: times that all of it is taken; first/second: up to two runs of words [from, to) taken once more.
     Sources in order of their names weigh weights[0], weights[1], ..., over and over.
     """
-    sized = cut(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    sized = cut(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mark(F.col(text)).alias("mark")))
     ranked = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
     targets = fill(ranked, share, repeats).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
@@ -98,17 +126,18 @@ def mix(
 
     digest = seeded(seed, id_text(F.col("id")))
     placed = sized.join(targets.select(F.col("source").alias("of"), "rank", "shards"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "id", "size", "rank", digest.alias("digest"), F.pmod(number(digest), F.col("shards")).alias("shard")
+        "id", "size", "mark", "rank", digest.alias("digest"), F.pmod(number(digest), F.col("shards")).alias("shard")
     )
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"))
     n_blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.floor((2 * F.col("words") + block_words) / (2 * block_words)))).otherwise(0).cast("long")
     shards = cut(shards.withColumn("blocks", n_blocks))
 
     all_blocks = shards.groupBy("rank").agg(F.sum("blocks").alias("source_blocks"))
-    seats = F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5)
-    by_source = apportion(targets.join(all_blocks, "rank").select("rank", "target", "source_blocks"), [], "target", seats, ["rank"], repeats * F.first("source_blocks"), "quota")
-    with_quota = shards.join(by_source.select("rank", F.col("quota").alias("source_quota")), "rank").withColumn("votes", F.col("words").cast("double"))
-    quotas = apportion(with_quota, ["rank"], "votes", F.col("source_quota"), ["shard"], repeats * F.first("blocks"), "quota")
+    seats = targets.agg(F.floor(F.sum("target") / block_words + 0.5).cast("long").alias("seats")).withColumn("all", F.lit(0))
+    by_source = targets.join(all_blocks, "rank").select("rank", "target", (repeats * F.col("source_blocks")).alias("cap"), F.lit(0).alias("all")).join(seats, "all")
+    by_source = apportion(by_source, "target", "seats", "cap", "rank", "source_quota", group="all")
+    with_quota = shards.join(by_source.select("rank", "source_quota"), "rank").withColumns({"votes": F.col("words").cast("double"), "cap": repeats * F.col("blocks")})
+    quotas = apportion(with_quota, "votes", "source_quota", "cap", "shard", "quota")
 
     # a run of quota mod blocks consecutive blocks, from a seeded one on, besides quota div blocks rounds of the shard
     per = F.nullif(F.col("blocks"), F.lit(0))
@@ -129,7 +158,7 @@ def mix(
     joined = spread.join(runs, (F.col("rank") == F.col("run_rank")) & (F.col("shard") == F.col("run_shard")))
     clip = lambda x: F.least(F.greatest(x, F.col("begin")), F.col("end")) - F.col("begin")
     taken = joined.select(
-        "id", "size", "rank", "whole",
+        "id", "size", "mark", "rank", "whole",
         clip(F.col("run_from")).alias("first_from"), clip(F.col("run_to")).alias("first_to"),
         clip(F.lit(0)).alias("second_from"), clip(F.col("wrap_to")).alias("second_to"),
     )
@@ -137,7 +166,7 @@ def mix(
     return out.select(
         F.col("id").alias(id), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("first_to") - F.col("first_from") + F.col("second_to") - F.col("second_from")).alias("taken"),
-        "whole", "first_from", "first_to", "second_from", "second_to",
+        "whole", "first_from", "first_to", "second_from", "second_to", "mark",
     )
 
 
@@ -145,15 +174,16 @@ def mixed_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """The mix itself, with the columns of docs: a row for each time that a document is taken, in whole or as a run of its words.
 
     A whole document keeps its text as it is; a run's words are joined by single spaces.
-    Rows are matched by identifier and size, so repeated rows share one decision, each taking it once.
+    Rows are matched by identifier, size and a hash of the text, so only rows that repeat one another choose among decisions. The text is moved once.
     """
     plan = mix(docs, id=id, text=text, source=source, **options).where("taken > 0")
-    w = Window.partitionBy("__id", "__size").orderBy("whole", "first_from", "first_to", "second_to")
-    plan = plan.select(F.col(id).alias("__id"), F.col("size").alias("__size"), "whole", "first_from", "first_to", "second_from", "second_to")
-    plan = plan.withColumn("__nth", F.row_number().over(w)).alias("plan")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id).alias("__of"), word_count(F.col(text)).alias("__words"))
-    rows = rows.withColumn("__row_nth", F.row_number().over(Window.partitionBy("__of", "__words").orderBy(F.xxhash64("__row"))))
-    joined = rows.join(plan, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__row_nth") == F.col("__nth")))
+    take = F.struct("whole", "first_from", "first_to", "second_from", "second_to")
+    plan = plan.select(key(F.col(id)).alias("__key"), F.col("size").alias("__size"), F.col("mark").alias("__mark"), take.alias("__take"))
+    plan = plan.groupBy("__key", "__size", "__mark").agg(F.sort_array(F.collect_list("__take")).alias("__takes"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key(F.col(id)).alias("__key"), word_count(F.col(text)).alias("__size"), mark(F.col(text)).alias("__mark"))
+    joined = rows.join(plan, ["__key", "__size", "__mark"])
+    nth = F.row_number().over(Window.partitionBy("__key", "__size", "__mark").orderBy(F.xxhash64("__row")))
+    joined = joined.withColumn("__nth", nth).where(F.col("__nth") <= F.size("__takes")).select("__row", "__size", F.element_at("__takes", F.col("__nth")).alias("__plan")).select("__row", "__size", "__plan.*")
     part = lambda a, b: F.when(F.col(b) > F.col(a), F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
     whole = F.struct(F.lit(0).cast("long").alias("a"), F.col("__size").alias("b"))
     takes = F.concat(F.array_repeat(whole, F.col("whole").cast("int")), F.array_compact(F.array(part("first_from", "first_to"), part("second_from", "second_to"))))

@@ -64,3 +64,32 @@ def test_mixed_documents(docs, odd):
         taken = mix(df).agg(F.sum("taken")).first()[0]
         words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect())
         assert words == taken
+
+
+def test_seats_by_brute_force(spark):
+    import random
+
+    from quire.llm.mixing import apportion
+
+    rng = random.Random(8)
+    parties = []
+    for group, n in enumerate((1, 7, 60, 60, 200, 5)):
+        votes = [rng.choice([0, 5, 5, rng.randint(1, 1000)]) for _ in range(n)]
+        caps = [0 if v == 0 else rng.randint(1, 6 + v // 20) for v in votes]
+        seats = [min(sum(caps), x) for x in (3, 11, 150, 10**6, 250, 0)][group]
+        parties += [(group, i, float(v), c, seats) for i, (v, c) in enumerate(zip(votes, caps, strict=True))]
+    df = spark.createDataFrame(parties, "rank int, shard int, votes double, cap long, seats long")
+    want = {}
+    for g in {p[0] for p in parties}:
+        own = [p for p in parties if p[0] == g]
+        quotients = sorted((-v / (2 * k + 1), i) for _, i, v, c, _ in own if v for k in range(c))[: own[0][4]]
+        want |= {(g, p[1]): sum(1 for _, i in quotients if i == p[1]) for p in own}
+    got = {(r.rank, r.shard): r.won for r in apportion(df, "votes", "seats", "cap", "shard", "won").collect()}
+    assert got == want
+
+
+def test_repeated_rows_and_null_identifiers(spark):
+    rows = [(None, f"a b c {i % 3}", "s", 7) for i in range(30)] + [(1, "x y z", "s", 5)] * 5 + [(1, "other words here", "t", 16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = mixed_documents(df, block_words=2, shard_words=20)
+    assert sum(len(r.text.split()) for r in out.collect()) == mix(df, block_words=2, shard_words=20).agg(F.sum("taken")).first()[0]
