@@ -28,7 +28,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), shingle=3, seed=42, most=3)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ is a start and those segments of the chain that must be equal in one of the ways
 with an equal key are tested along the whole ring, and what survives by the full Hamming distance.
 
 Copies and texts of equal fingerprint are one row from the first shuffle on. The fingerprints of one key are not
-paired off: they are walked in blocks, and only the links that join what was apart before leave the task (a
+paired off: long runs are split by parts of their other bits, what is left is walked in blocks, and only the links that join what was apart before leave the task (a
 forest, fewer links than fingerprints), which keeps every component. Components follow from these links by
 alternating large-star and small-star steps, in tables that are cut in the shared folder.
 
@@ -37,6 +37,8 @@ MOST = 3
 SEGMENTS = 8
 CHAIN = 5
 SLICE = 1 << 16
+#: A run of more fingerprints is split by further bits.
+LONG = 4096
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -95,14 +97,20 @@ def signed(x: int) -> int:
 
 
 def near(a: np.ndarray, b: np.ndarray, start: int, segments: int, most: int) -> np.ndarray:
-    """Which of a link with which of b: along the ring from start, then in all."""
-    differs = a[:, None] ^ b[None, :]
+    """Which of a link with which of b: along the ring from start, each chain only for what the shorter ones leave, then in all."""
+    differs = (a[:, None] ^ b[None, :]).reshape(-1)
     allowed = budgets(segments, most)
-    found = np.ones(differs.shape, bool)
-    for length in range(1, segments):
-        if allowed[length] > allowed[length - 1]:  # the longest chain of this budget
-            found &= np.bitwise_count(differs & np.uint64(chain_mask(start, range(length), segments))) <= allowed[length - 1]
-    return found & (np.bitwise_count(differs) <= most)
+    longest = [n for n in range(1, segments) if allowed[n] > allowed[n - 1]]  # of each budget but the last
+    left = None
+    for length in longest:
+        mask = np.uint64(chain_mask(start, range(length), segments))
+        some = differs if left is None else differs[left]
+        passed = np.flatnonzero(np.bitwise_count(some & mask) <= allowed[length - 1])
+        left = passed if left is None else left[passed]
+    left = np.arange(len(differs)) if left is None else left
+    found = np.zeros(len(differs), bool)
+    found[left[np.bitwise_count(differs[left]) <= most]] = True
+    return found.reshape(len(a), len(b))
 
 
 def forest(prints: np.ndarray, start: int, segments: int, most: int, block: int = 1024) -> list[tuple[int, int]]:
@@ -129,26 +137,60 @@ def forest(prints: np.ndarray, start: int, segments: int, most: int, block: int
     return [(int(prints[i]), int(prints[label[i]])) for i in np.flatnonzero(label != np.arange(len(prints)))]
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch], starts: list[int], segments: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows (way, key, print) in order: the links within each run of one way and key."""
-    held = None
+def run_links(prints: np.ndarray, start: int, free: list[int], segments: int, most: int, limit: int = LONG) -> list[tuple[int, int]]:
+    """Links within a run, whose fingerprints may differ in the bits `free`.
+
+    A run of more than `limit` is split: of most + 1 parts of the free bits, two near fingerprints have one in common, so
+    it is enough to look at those that agree in the first part, then at those in the second, and so on.
+    """
+    if len(prints) <= limit or len(free) < 2 * (most + 1):
+        return forest(prints, start, segments, most)
+    found = []
+    for i in range(most + 1):
+        part = free[i :: most + 1]
+        value = prints & np.uint64(sum(1 << b for b in part))
+        order = np.argsort(value, kind="stable")
+        edges = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1]))
+        rest = [b for b in free if b not in part]
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(prints)], strict=True):
+            if b - a > 1:
+                found += run_links(np.sort(prints[order[a:b]]), start, rest, segments, most, limit)
+    return found
+
+
+def links_of_runs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]], segments: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (way, key, print) in order: the links within each run of one way and key. A run that batches part is put together once."""
+    free = [[b for b in range(64) if not mask >> b & 1] for _, mask in masks]
+    held: list[np.ndarray] = []  # parts of the last run
+    last = None
+
+    def found(way: int, parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        prints = np.concatenate(parts).view(np.uint64)
+        return run_links(prints, masks[way][0], free[way], segments, most) if len(prints) > 1 else []
+
     for batch in _and_end(batches):
-        if batch is not None:
-            now = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("way", "key", "print")]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if held is None or not len(held[0]):
-            continue
-        way, key, prints = held
-        edges = np.flatnonzero(np.append(True, (way[1:] != way[:-1]) | (key[1:] != key[:-1])))
-        ends = np.append(edges[1:], len(way))
-        if batch is not None:  # the last run may go on
-            held, edges, ends = [x[edges[-1] :] for x in held], edges[:-1], ends[:-1]
-        found: list[tuple[int, int]] = []
-        for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
-            found += forest(prints[a:b].view(np.uint64), starts[way[a]], segments, most)
-        if found:
-            pairs = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        pairs: list[tuple[int, int]] = []
+        if batch is None:
+            if held:
+                pairs = found(last[0], held)
+        elif len(batch):
+            way, key, prints = (np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("way", "key", "print"))
+            edges = np.flatnonzero(np.append(True, (way[1:] != way[:-1]) | (key[1:] != key[:-1])))
+            ends = np.append(edges[1:], len(way))
+            if last != (way[0], key[0]) and held:
+                pairs += found(last[0], held)
+                held = []
+            if held and len(edges) > 1:  # the run of the batch before ends here
+                pairs += found(last[0], [*held, prints[: ends[0]]])
+                held, edges, ends = [], edges[1:], ends[1:]
+            for a, b in zip(edges[:-1].tolist(), ends[:-1].tolist(), strict=True):
+                if b - a > 1:
+                    pairs += found(way[a], [prints[a:b]])
+            held.append(prints[edges[-1] :])
+            last = (way[-1], key[-1])
+        if pairs:
+            both = np.array(pairs, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -159,11 +201,10 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 def links(prints: DataFrame, *, most: int = MOST, segments: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
     """(u, v): links of distinct fingerprints (column print) that have the components of all pairs `most` bits apart."""
     masks = key_masks(segments, most, chain)
-    starts = [s for s, _ in masks]
     ways = F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("key")) for i, (_, m) in enumerate(masks)]))
     keyed = prints.select("print", ways.alias("w")).select("w.way", "w.key", "print")
     runs = keyed.repartition("way", "key").sortWithinPartitions("way", "key", "print")
-    return runs.mapInArrow(lambda batches: links_of_runs(batches, starts, segments, most), "u long, v long").distinct()
+    return runs.mapInArrow(lambda batches: links_of_runs(batches, masks, segments, most), "u long, v long").distinct()
 
 
 def hex_print(column: Column) -> Column:
@@ -180,9 +221,3 @@ def near_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shin
     named = rooted.join(smallest, "component").select(F.col("print").alias("of"), "component_id")
     joined = rows.join(named, F.col("print") == F.col("of"))
     return joined.select(F.col("id").alias(id), hex_print(F.col("print")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs with the smallest identifier of their near-duplicate group; rows that share it all stay."""
-    kept = near_groups(docs, id=id, text=text, **options).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left_semi")

@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm.simhash import budgets, forest, key_masks, links, near_dedup, near_groups, signed
+from quire.llm.simhash import budgets, forest, key_masks, links, near_groups, run_links, signed
 
 
 def brute_print(text):
@@ -44,8 +44,6 @@ def test_documents(docs):
     assert len(got) == len(rows)
     assert {r.doc_id: r.fingerprint for r in got} == {k: f"{v:016x}" for k, v in prints.items()}
     assert {r.doc_id: r.component_id for r in got} == expected
-    kept = near_dedup(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
 def close_prints(n, seed):
@@ -89,6 +87,59 @@ def test_forest_in_blocks():
     assert budgets() == [0, 0, 1, 1, 1, 2, 2, 3] and len(key_masks()) == 24
 
 
+def test_long_runs_are_split():
+    import numpy as np
+
+    rng = random.Random(12)
+    start, mask = next((s, m) for s, m in key_masks() if s == 2)
+    free = [b for b in range(64) if not mask >> b & 1]
+    key = rng.getrandbits(64) & mask
+    prints = set()
+    while len(prints) < 1500:
+        x = rng.choice(sorted(prints)) if prints and rng.random() < 0.5 else key | sum(rng.getrandbits(1) << b for b in free)
+        for _ in range(rng.randint(0, 4)):
+            x ^= 1 << rng.choice(free)
+        prints.add(x)
+    prints = np.array(sorted(prints), np.uint64)
+    of = lambda found: brute_roots({int(p) for p in prints}, found)
+    whole = of(run_links(prints, start, free, 8, 3, limit=10**6))
+    assert of(run_links(prints, start, free, 8, 3, limit=16)) == whole == of(run_links(prints, start, free, 8, 3, limit=200))
+    assert 1 < len(set(whole.values())) < 1500
+
+
+def brute_roots(nodes, found):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in found:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_runs_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from quire.llm.simhash import links_of_runs
+
+    masks = key_masks()
+    prints = np.array(close_prints(300, 7), np.uint64)
+    rows = sorted({(w, int(np.uint64(p) & np.uint64(m)), int(p)) for w, (_, m) in enumerate(masks) for p in prints.tolist()})
+    arrays = [np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.uint64).view(np.int64), np.array([r[2] for r in rows], np.uint64).view(np.int64)]
+    table = pa.table([pa.array(x) for x in arrays], ["way", "key", "print"])
+    results = []
+    for size in (1, 5, 64, len(rows)):
+        out = list(links_of_runs(iter(table.to_batches(size)), masks, 8, 3))
+        found = {(u % (1 << 64), v % (1 << 64)) for b in out for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)}
+        results.append(brute_roots({int(p) for p in prints}, found))
+    assert all(r == results[0] for r in results) and results[0] == brute_components({int(p): int(p) for p in prints})
+
+
 def test_odd_rows(odd, none):
     extra = odd.withColumns({"id": F.lit("x"), "print": F.lit(1), "component": F.lit(None).cast("int")})
     rows = odd.collect()
@@ -96,5 +147,4 @@ def test_odd_rows(odd, none):
     assert sorted(r.fingerprint for r in got) == sorted(f"{brute_print(r.text):016x}" for r in rows)
     by = {r.doc_id: r for r in got}
     assert by[2].component_id == 1 and by[5].component_id == 3 and by[4].fingerprint == "0" * 16
-    assert near_dedup(extra).columns == extra.columns
-    assert near_groups(none).count() == 0 and near_dedup(none).count() == 0
+    assert near_groups(none).count() == 0
