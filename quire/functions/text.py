@@ -35,7 +35,7 @@ def chinese_number(text: Column) -> Column:
     def step(acc: Column, c: Column) -> Column:
         digit, unit = F.try_element_at(digits, c), F.try_element_at(units, c)
         return F.when(unit.isNotNull(), F.struct(
-            (acc.total + unit * F.when(acc.digit < 0, F.lit(1)).otherwise(acc.digit)).alias("total"), F.lit(-1).alias("digit"), acc.ok.alias("ok")
+            (acc.total + unit * F.when(acc.digit <= 0, F.lit(1)).otherwise(acc.digit)).alias("total"), F.lit(-1).alias("digit"), acc.ok.alias("ok")
         )).otherwise(F.struct(acc.total.alias("total"), F.coalesce(digit, F.lit(0)).alias("digit"), (acc.ok & digit.isNotNull()).alias("ok")))
 
     done = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)

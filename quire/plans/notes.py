@@ -13,7 +13,7 @@ from quire.operators.lineage import cut
 from quire.operators.matching import duplicate_numbers, first_by, unique_pair
 from quire.operators.ordered import narration
 from quire.plans.checks import finding, register_check, together
-from quire.plans.model import KEY, Publication, above, first_ids, in_spine
+from quire.plans.model import KEY, Publication, above, first_ids, in_spine, up_from
 from quire.sources.markup import attr
 
 NOTE_TAGS = ["aside", "section", "div", "li"]
@@ -24,6 +24,7 @@ class NoteGraph(NamedTuple):
     refs: DataFrame  # with status and note, the key of the note that it resolves to
     edges: DataFrame  # ref, note
     backlinks: DataFrame  # note, ref, external
+    sections: DataFrame  # book, doc of the chapters with a section of footnotes
 
 
 def role():
@@ -44,7 +45,8 @@ def note_graph(pub: Publication) -> NoteGraph:
     kind = attr("epub:type")
     section = F.when(any_token(kind, "endnotes"), "endnote").when(any_token(kind, "footnotes"), "footnote")
     elements = in_spine(pub).withColumns({"own": own_type(), "section": section})
-    placed = above(above(elements, elements.where("own is not null"), "note_up"), elements.where("section is not null"), "section_up")
+    flagged = elements.where("own is not null or section is not null").select(*KEY, "eid", F.col("own").isNotNull().alias("note_up"), F.col("section").isNotNull().alias("section_up"))
+    placed = above(elements, flagged, "note_up", "section_up")
     sections = elements.where("section is not null").select(*KEY, F.col("eid").alias("section_up"), F.col("section").alias("in_section"))
     placed = cut(placed.join(sections, [*KEY, "section_up"], "left").where("not in_nav and tag <> 'nav'"))
 
@@ -86,11 +88,11 @@ def note_graph(pub: Publication) -> NoteGraph:
     edges = refs.where("note is not null").select("book", "ref", "note")
 
     anchors = placed.where("tag = 'a' and map_contains_key(attrs, 'href')").withColumn("href", attr("href"))
-    inside = anchors.select(*KEY, "eid", "href", "text", F.explode(F.transform(F.filter(F.split("chain", " "), lambda x: x != ""), lambda x: x.cast("int"))).alias("_up"))
+    inside = anchors.select(*KEY, "eid", "href", "text").join(up_from(anchors).withColumnRenamed("up", "_up"), [*KEY, "eid"])
     inside = inside.join(notes.select(*KEY, F.col("eid").alias("_up"), "note"), [*KEY, "_up"]).withColumns({"external": is_external(F.col("href")), "target": resolve(F.col("doc"), F.col("href")), "frag": reference_parts(F.col("href"))[1]})
     firsts = first_by(refs.where("el_id is not null"), ["book", "doc", "el_id"], ["eid"]).select("book", F.col("doc").alias("target"), F.col("el_id").alias("frag"), "ref")
     backlinks = inside.where(F.col("external") | F.col("href").contains("#")).join(firsts, ["book", "target", "frag"], "left")
-    return NoteGraph(notes, refs, edges, backlinks.select(*KEY, "eid", "note", F.when(~F.col("external"), F.col("ref")).alias("ref"), "external", "href", F.substring("text", 1, 12).alias("text")))
+    return NoteGraph(notes, refs, edges, backlinks.select(*KEY, "eid", "note", F.when(~F.col("external"), F.col("ref")).alias("ref"), "external", "href", F.substring("text", 1, 12).alias("text")), elements.where(any_token(kind, "footnotes")).select(*KEY).distinct())
 
 
 def note_findings(graph: NoteGraph) -> DataFrame:
@@ -98,7 +100,7 @@ def note_findings(graph: NoteGraph) -> DataFrame:
     incoming = edges.groupBy("note").agg(F.count("*").alias("incoming"))
     counted = notes.join(incoming, "note", "left").withColumn("incoming", F.coalesce("incoming", F.lit(0)))
     linked = refs.where("note is not null").join(notes.select("note", F.col("doc").alias("note_doc"), "note_type", F.col("declared").alias("note_declared")), "note")
-    sections = notes.where("note_type = 'footnote'").select("book", "doc").distinct()
+    sections = graph.sections.withColumnRenamed("doc", "note_doc")
     lacking = linked.where("el_id is not null").join(graph.backlinks.where("ref is not null").select("note", "ref"), ["note", "ref"], "left_anti").join(incoming, "note")
     scope = F.when(F.col("note_type") == "footnote", F.col("doc")).otherwise("*")
     repeated = duplicate_numbers(notes.where("number is not null").withColumn("scope", scope), ["book", "note_type", "scope", "number"], ["spine_pos", "eid"])
@@ -112,7 +114,7 @@ def note_findings(graph: NoteGraph) -> DataFrame:
         finding(notes.where("not declared and not mixed"), check, "NOTE.UNDECL", "warning", number=F.col("number")),
         finding(refs.where("status = 'external'"), check, "NOTE.REF_EXTERNAL", "error", href=F.col("href")),
         finding(refs.where("declared and status = 'nonnote'"), check, "NOTE.TARGET_NOT_NOTE", "error", href=F.col("href")),
-        finding(linked.where("declared and note_type = 'footnote' and note_doc <> doc").join(sections, KEY, "left_semi"), check, "NOTE.CROSS_CHAPTER", "error", note=F.col("note")),
+        finding(linked.where("declared and note_type = 'footnote' and note_doc <> doc").join(sections, ["book", "note_doc"], "left_semi"), check, "NOTE.CROSS_CHAPTER", "error", note=F.col("note")),
         finding(linked.where("el_id is null"), check, "NOTE.REF_NO_ID", "warning", note=F.col("note")),
         finding(lacking.where("incoming > 1"), check, "NOTE.NO_BACKLINK_SHARED", "warning", note=F.col("note")),
         finding(lacking.where("incoming = 1"), check, "NOTE.NO_BACKLINK_SINGLE", "warning", note=F.col("note")),

@@ -17,7 +17,8 @@ STOPS = frozenset("ul ol table section div nav article aside body".split())
 SILENT = frozenset(("script", "style"))
 #: Elements that a task hands over at once, at least.
 BATCH_ROWS = 5000
-#: Characters of text that an element's row keeps; checks look at no more than its beginning.
+#: Elements whose rows keep their whole text; those of others, which hold these, keep its first TEXT characters. Both are parameters of `shred`.
+WHOLE = frozenset("p h1 h2 h3 h4 h5 h6 a td th caption dt dd title dc:title dc:language text navlabel figcaption pre".split())
 TEXT = 200
 
 ELEMENTS = (
@@ -29,9 +30,9 @@ ELEMENTS = (
 class Shredder(HTMLParser):
     """Elements of one document. soup: missing end tags are filled in as browsers do for common elements."""
 
-    def __init__(self, soup: bool):
+    def __init__(self, soup: bool, most: int = TEXT, whole: frozenset = WHOLE):
         super().__init__(convert_charrefs=True)
-        self.soup, self.rows, self.open, self.top = soup, [], [], {}
+        self.soup, self.rows, self.open, self.top, self.most, self.whole = soup, [], [], {}, most, whole
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.soup and tag in CLOSES:
@@ -81,32 +82,36 @@ class Shredder(HTMLParser):
         if self.open and self.rows[self.open[-1]]["tag"] not in SILENT:
             for eid in self.open:
                 lines = self.rows[eid]["lines"]
-                if lines and len(lines[-1]) < 2 * TEXT:
-                    lines[-1] += data[: 2 * TEXT]
+                if lines:
+                    lines[-1] += data
         part = data.strip()
         if not part or self.open and self.rows[self.open[-1]]["tag"] in SILENT:
             return
         for eid in self.open:
             row = self.rows[eid]
-            if row["size"] < 2 * TEXT:
-                row["spaced"].append(part[: 2 * TEXT])
-                row["size"] += len(part) + 1
+            if row["tag"] in self.whole:
+                row["spaced"].append(part)
+            elif row["size"] < self.most:
+                row["spaced"].append(part[: self.most])
+                row["size"] += len(part)
 
 
-def shred_text(text: str, soup: bool) -> list[dict]:
-    parser = Shredder(soup)
+def shred_text(text: str, soup: bool, most: int = TEXT, whole: frozenset = WHOLE) -> list[dict]:
+    parser = Shredder(soup, most, whole)
     parser.feed(text)
     parser.close()
     parser.close_from(0)
     for row in parser.rows:
-        row["lines"] = [x.strip()[:TEXT] for x in row["lines"]] if row["lines"] and len(row["lines"]) > 1 else None
-        row["text"], row["joined"] = " ".join(row["spaced"])[:TEXT], "".join(row["spaced"])[:TEXT]
+        row["lines"] = [x.strip() for x in row["lines"]] if row["lines"] and len(row["lines"]) > 1 else None
+        end = None if row["tag"] in whole else most
+        row["text"], row["joined"] = " ".join(row["spaced"])[:end], "".join(row["spaced"])[:end]
     return parser.rows
 
 
-def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Column, soup: bool = False) -> DataFrame:
+def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Column, soup: bool = False, most: int = TEXT, whole: frozenset = WHOLE) -> DataFrame:
     """The elements of all documents; lines are the parts of a paragraph that br children part, null without any. text: markup as a string or as UTF-8 bytes. Null markup has no element.
 
+    The tags of `whole` keep their whole text (their lines always do), other elements the first `most` characters of it.
     (eid, last) is an interval: d is below a iff a.eid < d.eid <= a.last. chain has the numbers of all above, the root first.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
@@ -119,7 +124,7 @@ def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Co
             for b, d, t in zip(*(batch.column(c).to_pylist() for c in ("book", "doc", "text")), strict=True):
                 if t is None:
                     continue
-                rows = shred_text(t.decode("utf-8-sig", "replace") if isinstance(t, bytes) else t, soup)
+                rows = shred_text(t.decode("utf-8-sig", "replace") if isinstance(t, bytes) else t, soup, most, whole)
                 for row in rows:
                     row["book"], row["doc"] = b, d
                 held += rows

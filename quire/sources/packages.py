@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -18,10 +19,14 @@ ENTRIES = "book string, name string, content binary, ord int, error string"
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """(book, name, content, ord, error) of all packages that path names, from any store that Spark reads.
 
+    A book is named by its file, or, where files of several folders share a name, by the whole path.
     A file that can't be unpacked is one row with an error and no name; it fails nothing else.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"^.*/|\.[eE][pP][uU][bB]$", "").alias("book"), "content")
-    return unpack(files)
+    files = spark.read.format("binaryFile").load(path)
+    base = F.regexp_replace("path", r"^.*/|\.[eE][pP][uU][bB]$", "")
+    twins = files.select(base.alias("base")).groupBy("base").count().where("count > 1").select(F.col("base").alias("twin"))
+    named = files.select("path", "content", base.alias("base")).join(twins, F.col("base") == F.col("twin"), "left")
+    return unpack(named.select(F.when(F.col("twin").isNull(), F.col("base")).otherwise(F.regexp_replace("path", r"\.[eE][pP][uU][bB]$", "")).alias("book"), "content"))
 
 
 def unpack(files: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def write_packages(books: DataFrame, uri: str) -> DataFrame:
                 part = f"{root}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(row["content"])
-                store.move(part, f"{root}/{row['book']}.epub")
+                store.move(part, f"{root}/{quote(row['book'], safe=' ')}.epub")
                 yield pa.RecordBatch.from_arrays([pa.array([row["book"]]), pa.array([len(row["content"])], pa.int64())], ["book", "n_bytes"])
 
     return books.mapInArrow(work, "book string, n_bytes long")
