@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import over_texts, small_batches
 
 UNIT = 64
 BATCH_BYTES = 8 << 20
@@ -243,7 +243,7 @@ def store(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id)
+    return over_texts(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id)
 
 
 PROBED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sample_rate int, seek_offsets array<long>"
@@ -270,4 +270,4 @@ def probe(media: DataFrame, *, column: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, others + names)
 
     schema = ", ".join([f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others] + [PROBED])
-    return media.mapInArrow(work, schema)
+    return over_texts(media, work, schema)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import over_texts, small_batches
 from quire.llm.ragged import U64, mixed, scan_words, text_bytes
 
 TRAIN_DOCS = 2000
@@ -150,7 +150,7 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "feature", "n"])
 
-    counted = labelled(docs, id, text, lang, bound).mapInArrow(count, "lang string, feature int, n long")
+    counted = over_texts(labelled(docs, id, text, lang, bound), count, "lang string, feature int, n long")
     table = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((FEATURES + len(SCRIPT_NAMES), len(langs)))
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
     rows = docs.select(F.col(id).alias("id"), held_out(id).alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, lang_pred string, score double" + ", spans array<struct<first: int, last: int, lang: string>>" * with_spans
-    return rows.mapInArrow(work, schema).withColumnRenamed("id", id)
+    return over_texts(rows, work, schema).withColumnRenamed("id", id)
 
 
 #: A word is likely if its likelihood is at most so many deviations under the mean of its language's training words.
@@ -274,7 +274,7 @@ def floors(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "te
             sums = [np.bincount(of, x, len(model.langs)).astype(float) for x in (np.ones(len(of)), each, each * each)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(model.langs)), pa.int64()), *map(pa.array, sums)], ["lang", "n", "x", "xx"])
 
-    sums = labelled(docs, id, text, lang, bound).mapInArrow(measure, "lang long, n double, x double, xx double").groupBy("lang").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
+    sums = over_texts(labelled(docs, id, text, lang, bound), measure, "lang long, n double, x double, xx double").groupBy("lang").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
     least = np.zeros(len(model.langs))
     for i, n, x, xx in sums.collect():
         least[i] = x / n - DEVIATIONS * max(xx / n - (x / n) ** 2, 0) ** 0.5 if n else 0
@@ -308,4 +308,4 @@ def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
             found = np.bincount(own, words.letters[words.distinct] * good[words.distinct, label], len(batch))
             yield batch.filter(pa.array((total > 0) & (letters.max(axis=1) >= least * total) & (found >= likely * total)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return over_texts(docs, keep, docs.schema)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import over_texts, small_batches
 from quire.llm.ragged import scan_words, spans, text_bytes
 
 SIZE = 2048
@@ -311,4 +311,4 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(work, schema).withColumnRenamed("id", id)
+    return over_texts(rows, work, schema).withColumnRenamed("id", id)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, over_texts
 from quire.operators.graph import connected_components
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
             prints = [fingerprint(x.as_py(), shingle, seed) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.int64())], ["id", "print"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, "id long, print long")
+    return over_texts(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), work, "id long, print long")
 
 
 def budgets(segments: int = SEGMENTS, most: int = MOST) -> list[int]:

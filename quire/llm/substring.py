@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import over_texts, small_batches
 from quire.llm.ragged import U64, Words, runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
 
 WINDOW = 13
@@ -218,7 +218,7 @@ def homes_for(rows: DataFrame, k: int, m: int, longer: int, buckets: int | None,
                 some, at = np.unique((found.home % U64(classes)).astype(np.int64), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, found.length).astype(np.int64))], ["class", "size"])
 
-    sizes = rows.select("text").mapInArrow(weigh, "class long, size long").groupBy("class").agg(F.sum("size").alias("size"))
+    sizes = over_texts(rows.select("text"), weigh, "class long, size long").groupBy("class").agg(F.sum("size").alias("size"))
     large = sizes.where(F.col("size") > most).toArrow()  # at most as many as classes, of which there are CLASSES for BUCKET_BYTES of text
     heavy = np.zeros(classes, bool)
     heavy[large.column("class").to_numpy()] = True
@@ -242,7 +242,7 @@ def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, longer: int =
             found = list(dealt(batch, k, m, longer, shared.value))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "blob"])
 
-    blobs = rows.mapInArrow(deal, "bucket long, blob binary")
+    blobs = over_texts(rows, deal, "bucket long, blob binary")
     return blobs.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, k), SPANS)
 
 
@@ -270,5 +270,5 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     by_row = found.groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag"), F.col("tag2").alias("of_tag2")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")) & (F.col("tag2") == F.col("of_tag2"))
     joined = rows.join(by_row, same, "left").select("id", "text", "spans")
-    out = joined.mapInArrow(lambda batches: apply_spans(batches, with_text), "id long, n_words long, n_removed long, kept string")
+    out = over_texts(joined, lambda batches: apply_spans(batches, with_text), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)
