@@ -34,26 +34,83 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Links whose start has a way in and whose end a way out; the others are on no cycle."""
+    ends, starts = links.select(F.col("v").alias("_n")).distinct(), links.select(F.col("u").alias("_n")).distinct()
+    return links.join(ends, F.col("u") == F.col("_n"), "left_semi").join(starts, F.col("v") == F.col("_n"), "left_semi")
+
+
+def _spliced(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(links, gone): nodes with one way in and one out are taken out of their chains, no two neighbours at once; gone has (x, a, b), its neighbours."""
+    into = links.groupBy(F.col("v").alias("x")).agg(F.first("u").alias("a"), F.count("*").alias("_in"))
+    out = links.groupBy(F.col("u").alias("x")).agg(F.first("v").alias("b"), F.count("*").alias("_out"))
+    thin = into.join(out, "x").where("_in = 1 and _out = 1 and x <> a and x <> b").select("x", "a", "b")
+    draw = lambda c: F.xxhash64(F.lit(turn), F.col(c))
+    beside = thin.select(F.col("x").alias("_n"))
+    rival = lambda c: thin.join(beside, F.col(c) == F.col("_n"), "left_semi").where(draw(c) >= draw("x")).select("x")
+    gone = cut(thin.join(rival("a").union(rival("b")).distinct(), "x", "left_anti"))
+    left = links.join(gone.select(F.col("x").alias("_n")), F.col("u") == F.col("_n"), "left_anti").join(gone.select(F.col("x").alias("_n")), F.col("v") == F.col("_n"), "left_anti")
+    return left.union(gone.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct(), gone
+
+
+def _least_before(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that reaches each node along links, itself included.
+
+    `via` is a node that reaches it too; looking at its label and going on to its via doubles the steps on a chain.
+    """
+    state, before, now = cut(nodes.select("node", F.col("node").alias("label"), F.col("node").alias("via"))), None, 1
+    while before != now:
+        came = links.join(state, F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg(F.min(F.struct("label", F.col("u").alias("via"))).alias("c"))
+        far = state.select(F.col("node").alias("_via"), F.col("label").alias("_label"), F.col("via").alias("_next"))
+        step = state.join(far, F.col("via") == F.col("_via")).join(came, "node", "left")
+        label = F.least("label", "_label", F.col("c.label"))
+        via = F.when(F.col("c.label") <= F.least("label", "_label"), F.col("c.via")).otherwise(F.col("_next"))
+        state = cut(step.select("node", label.alias("label"), via.alias("via")))
+        before, now = now, tuple(state.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
+    return state.select("node", "label")
+
+
 def cycle_members(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, component) for each node on a directed cycle, loops included; component is the smallest node of its cycle's.
 
-    Reachability by squaring: a round joins the paths so far end to end, so that rounds grow with the logarithm of the
-    longest path. Nodes without a way in or out are peeled off first, which leaves most graphs empty.
+    First nodes without a way in or out go, and nodes with one of each are taken out of their chains, a third of a chain a
+    round, so that long chains take few rounds. What is left is coloured by the smallest node that reaches each node; of a colour, the
+    nodes that reach that smallest one are a component, and the rest is coloured again. Nothing but links and one row a node is ever made.
+    Rounds of colouring grow with the longest path that isn't a chain, at worst.
     """
     links = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null").distinct())
-    size = links.count()
-    while size:
-        heads, tails = links.select(F.col("u").alias("_n")), links.select(F.col("v").alias("_n"))
-        links = cut(links.join(tails.distinct(), F.col("u") == F.col("_n"), "left_semi").join(heads.distinct(), F.col("v") == F.col("_n"), "left_semi"))
+    loops = links.where("u = v").select(F.col("u").alias("node"))
+    links, size, gone, turn = links.where("u <> v"), -1, [], 0
+    while True:
+        links, taken = _spliced(cut(_trimmed(links)), turn)
+        turned = links.where("u = v").select(F.col("u").alias("node"))
+        links, turn = cut(links), turn + 1
+        if taken.limit(1).count():
+            gone.append(taken)
+        loops = loops.union(turned)
+        links = links.where("u <> v")
         left = links.count()
-        if left == size:
+        if left == size or not left:
             break
         size = left
-    paths, before = links, 0
-    while size and size != before:
-        more = paths.alias("a").join(paths.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"))
-        paths = cut(paths.union(more).distinct())
-        before, size = size, paths.count()
-    back = paths.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    mutual = paths.join(back, ["u", "v"], "left_semi")
-    return mutual.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found = cut(links.where("false").select(F.col("u").alias("node"), F.col("u").alias("label")))
+    while left:
+        nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        colour = _least_before(links, nodes)
+        a, b = (colour.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"_{x}l")) for x in "uv")
+        within = cut(links.join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v")).where("_ul = _vl").select("u", "v"))
+        back = _least_before(within.select(F.col("v").alias("u"), F.col("u").alias("v")), nodes).withColumnRenamed("label", "reaches")
+        members = cut(colour.join(back, "node").where("reaches = label").select("node", "label"))
+        some = members.groupBy("label").count().where("count > 1").select("label")
+        found = cut(found.union(members.join(some, "label", "left_semi").select("node", "label")))
+        done = members.select(F.col("node").alias("_n"))
+        links = within.join(done, F.col("u") == F.col("_n"), "left_anti").join(done, F.col("v") == F.col("_n"), "left_anti")
+        links = cut(_trimmed(links))
+        left = links.count()
+    # nodes taken out come back where both of their neighbours are in one component, the last ones first
+    found = cut(found.union(loops.distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))))
+    for taken in reversed(gone):
+        a, b = (found.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
+        found = cut(found.union(taken.join(a, "a").join(b, "b").where("_a = _b").select("x", "_a")))
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(least, "label").select("node", "component")

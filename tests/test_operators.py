@@ -124,3 +124,14 @@ def test_reports(spark, tmp_path):
     report.write_changes(log, f"file://{tmp_path}/csv", ["id", "kind", "undone"], "id", {"edit": "Edit"}, limit=3)
     rows = spark.read.csv(f"file://{tmp_path}/csv", header=True).collect()
     assert [(r.id, r.kind, r.undone) for r in rows] == [("2", "Edit", "no"), ("3", "Edit", "yes"), ("4", "Edit", "no")]
+
+
+def test_cycles_of_chains(spark):
+    ring = [(i, (i + 1) % 400) for i in range(400)]  # one long cycle
+    tail = [(1000 + i, 1001 + i) for i in range(300)]  # a long way to nowhere
+    eight = [(2000, 2001), (2001, 2002), (2002, 2000), (2002, 2003), (2003, 2004), (2004, 2002)]  # two cycles with one node in common
+    bridge = [(399, 2000), (5, 1000)]
+    loop = [(3000, 3000), (3001, 3000), (3000, 3002)]
+    df = spark.createDataFrame(ring + tail + eight + bridge + loop, "a int, b int")
+    got = {r.node: r.component for r in graph.cycle_members(df, "a", "b").collect()}
+    assert got == {i: 0 for i in range(400)} | {i: 2000 for i in range(2000, 2005)} | {3000: 3000}
