@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,25 @@ def escaped(text: Column) -> Column:
     return out
 
 
-def html_report(findings: DataFrame, book: str, check: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(book, html): a table for each check with its count, checks in order of their names; values are escaped."""
+#: Rows of a table in one part of a report.
+PART_ROWS = 1000
+
+
+def html_report(findings: DataFrame, book: str, check: str, columns: Sequence[str], order: Sequence[str], rows: int = PART_ROWS) -> DataFrame:
+    """(book, check, part, n, html): tables of at most `rows` findings, numbered from 0; values are escaped. n is the check's count.
+
+    A book's page is its parts in order of check and part; its first parts have the heading. No group is put together whole.
+    """
     cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in columns], F.lit("</tr>"))
-    rows = findings.groupBy(book, check).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], cells.alias("_row")))).alias("_rows"))
-    head = "<tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
-    table = F.concat(F.lit("<h2>"), escaped(F.col(check)), F.lit(" ("), F.col("n").cast("string"), F.lit(f")</h2><table>{head}"), F.array_join(F.transform("_rows", lambda r: r["_row"]), ""), F.lit("</table>"))
-    per_book = rows.groupBy(book).agg(F.sum("n").alias("_n"), F.array_sort(F.collect_list(F.struct(F.col(check), table.alias("_t")))).alias("_tables"))
-    return per_book.select(book, F.concat(F.lit("<h1>"), escaped(F.col(book)), F.lit(": "), F.col("_n").cast("string"), F.lit("</h1>"), F.array_join(F.transform("_tables", lambda t: t["_t"]), "")).alias("html"))
+    of = Window.partitionBy(F.col(book), F.col(check)).orderBy(*order, "_row")
+    numbered = findings.withColumn("_row", cells).select(F.col(book).alias("book"), F.col(check).alias("check"), "_row", F.floor((F.row_number().over(of) - 1) / rows).cast("int").alias("part"), F.row_number().over(of).alias("_nth"))
+    parts = numbered.groupBy("book", "check", "part").agg(F.array_sort(F.collect_list(F.struct("_nth", "_row"))).alias("_rows"))
+    counts = findings.groupBy(F.col(book).alias("_b"), F.col(check).alias("_c")).agg(F.count("*").alias("n"))
+    joined = parts.join(counts, F.col("book").eqNullSafe(F.col("_b")) & F.col("check").eqNullSafe(F.col("_c")))
+    head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    title = F.when(F.col("part") == 0, F.concat(F.lit("<h2>"), escaped(F.col("book")), F.lit(": "), escaped(F.col("check")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h2>"))).otherwise("")
+    html = F.concat(title, F.lit(head), F.array_join(F.transform("_rows", lambda r: r["_row"]), ""), F.lit("</table>"))
+    return joined.select("book", "check", "part", "n", html.alias("html"))
 
 
 def write_changes(log: DataFrame, path: str, columns: Sequence[str], order: str, labels: dict[str, str], kind: str = "kind", limit: int = 10_000) -> None:

@@ -179,41 +179,49 @@ def group_dup_number(spark, d):
 
 @query("""
 SELECT l_suppkey, count(*) AS incoming, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice, l_linenumber) AS marks
-FROM lineitem WHERE l_quantity >= 48 GROUP BY l_suppkey HAVING count(*) > 3""")
+FROM lineitem GROUP BY l_suppkey HAVING count(*) > 3""")
 def multi_ref(spark, d):
-    lines = table(spark, d, "lineitem").where("l_quantity >= 48")
+    lines = table(spark, d, "lineitem")
     return matching.multi_referenced(lines, "l_suppkey", ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"], "l_linenumber", 3)
 
 
-EDGES_SQL = """SELECT DISTINCT c_nationkey AS u, s_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_discount >= 0.09 AND o_orderpriority = '1-URGENT'"""
-
-
-def trade(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R' and l_discount >= 0.09")
-    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v")).distinct()
-
-
-@query(f"WITH e AS ({EDGES_SQL}) SELECT u, v FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.u = e.v AND b.v = e.u)")
+@query("""
+SELECT DISTINCT o_custkey AS u, l_suppkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+EXCEPT SELECT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""")
 def missing_backlink(spark, d):
-    edges = trade(spark, d)
-    return matching.missing_back(edges, edges, "u", "v")
-
-
-@query(f"""
-WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
-SELECT a.u AS node, min(a.v) AS component FROM r a JOIN r b ON a.u = b.v AND a.v = b.u GROUP BY a.u""")
+    """Customers and the suppliers that they bought from; a way back is something returned."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
+    trade = lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    edges = trade.select(F.col("o_custkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+    backs = trade.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("u"), F.col("o_custkey").alias("v")).distinct()
+    return matching.missing_back(edges, backs, "u", "v")
+
+
+def order_ways(spark, d) -> DataFrame:
+    """Each customer's orders as a chain; of every third customer it is closed, and of every fifth the second order leads to the next customer's first one."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    placed = orders.withColumns({"next": F.lead("o_orderkey").over(w), "place": F.row_number().over(w)})
+    firsts = placed.where("place = 1").select(F.col("o_custkey").alias("of"), F.col("o_orderkey").alias("first"))
+    chain = placed.where("next is not null").select(F.col("o_orderkey").alias("u"), F.col("next").alias("v"))
+    closed = placed.where("next is null and o_custkey % 3 = 0").join(firsts, F.col("o_custkey") == F.col("of")).select(F.col("o_orderkey").alias("u"), F.col("first").alias("v"))
+    bridge = placed.where("place = 2 and o_custkey % 5 = 0").join(firsts, F.col("o_custkey") + 1 == F.col("of")).select(F.col("o_orderkey").alias("u"), F.col("first").alias("v"))
+    return chain.union(closed).union(bridge)
+
+
+@query("SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders WHERE o_custkey % 3 = 0")
 def cycle_members(spark, d):
-    return graph.cycle_members(trade(spark, d), "u", "v")
+    return graph.cycle_members(order_ways(spark, d), "u", "v")
 
 
-@query(f"""
-WITH RECURSIVE e AS ({EDGES_SQL}), f AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), r AS (SELECT u, v FROM f UNION SELECT r.u, f.v FROM r JOIN f ON r.v = f.u)
-SELECT u AS node, min(v) AS component FROM r GROUP BY u""")
+@query("""
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+grouped AS (
+  SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM placed q WHERE q.place = 2 AND q.o_custkey % 5 = 0 AND q.o_custkey + 1 = p.o_custkey) THEN p.o_custkey - 1 ELSE p.o_custkey END AS whole FROM placed p
+), wholes AS (SELECT *, count(*) OVER (PARTITION BY whole) AS size, min(o_orderkey) OVER (PARTITION BY whole) AS component FROM grouped)
+SELECT o_orderkey AS node, component FROM wholes WHERE size > 1 OR (n = 1 AND o_custkey % 3 = 0 AND size > 1)""")
 def linked_components(spark, d):
-    return graph.connected_components(trade(spark, d), "u", "v")
+    return graph.connected_components(order_ways(spark, d), "u", "v")
 
 
 @query("""
@@ -251,26 +259,29 @@ def bag_difference(spark, d):
 @query("""
 SELECT conv_id, kind, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub)::INT AS line FROM (
   SELECT conv_id, turn, 0 AS sub, 'who' AS kind, role AS said FROM conversations UNION ALL
-  SELECT conv_id, turn, 1, CASE WHEN length(text) = 0 THEN 'warn' ELSE 'text' END, substr(text, 1, 40) FROM conversations)""")
+  SELECT conv_id, turn, 1, CASE WHEN length(text) = 0 THEN 'warn' ELSE 'text' END, text FROM conversations)""")
 def narration(spark, d):
     turns = table(spark, d, "conversations")
     who = turns.select("conv_id", "turn", F.lit(0).alias("sub"), F.lit("who").alias("kind"), F.col("role").alias("said"))
-    text = turns.select("conv_id", "turn", F.lit(1).alias("sub"), F.when(F.length("text") == 0, "warn").otherwise("text").alias("kind"), F.substring("text", 1, 40).alias("said"))
+    text = turns.select("conv_id", "turn", F.lit(1).alias("sub"), F.when(F.length("text") == 0, "warn").otherwise("text").alias("kind"), F.col("text").alias("said"))
     return ordered.narration([who, text], ["conv_id"], ["turn", "sub"]).select("conv_id", "kind", "said", "line")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, ['num', 'paren', 'alpha', NULL][l_linenumber % 4 + 1] AS kind,
-  CASE l_linenumber % 4 WHEN 0 THEN l_linenumber WHEN 1 THEN l_suppkey % 100 WHEN 2 THEN l_suppkey % 26 + 1 END::INT AS number,
-  CASE WHEN l_linenumber % 4 = 1 THEN l_suppkey % 100 WHEN l_linenumber % 4 = 0 THEN l_linenumber END::INT AS note
-FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_partkey, ['num', 'paren', 'alpha', NULL, 'circ', 'cn', 'bullet', 'dash'][k + 1] AS kind,
+  CASE k WHEN 0 THEN l_linenumber WHEN 1 THEN l_suppkey % 100 WHEN 2 THEN l_suppkey % 26 + 1 WHEN 4 THEN l_partkey % 20 + 1 WHEN 5 THEN 10 + l_partkey % 9 + 1 END::INT AS number,
+  CASE k WHEN 1 THEN l_suppkey % 100 WHEN 0 THEN l_linenumber END::INT AS note
+FROM (SELECT *, (l_partkey + l_linenumber) % 8 AS k FROM lineitem)""")
 def marker_parse(spark, d):
-    mark = (
-        F.when(F.col("l_linenumber") % 4 == 0, F.concat("l_linenumber", F.lit(". item"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("（"), F.col("l_suppkey") % 100, F.lit("） 項")))
-        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.char(F.lit(97) + F.col("l_suppkey") % 26), F.lit(") item"))).otherwise(F.concat("l_linenumber", F.lit(".5 is no marker")))
-    )
-    lines = table(spark, d, "lineitem").withColumn("text", mark)
-    found = lines.withColumns({"m": list_marker(F.col("text")), "note": F.when(F.col("l_linenumber") % 4 < 2, note_number(F.col("text")))})
+    """A line of each kind of marker, by the line's numbers."""
+    k, part, supplier = (F.col("l_partkey") + F.col("l_linenumber")) % 8, F.col("l_partkey"), F.col("l_suppkey")
+    lines = table(spark, d, "lineitem").withColumn("k", k)
+    texts = [
+        F.concat("l_linenumber", F.lit(". item")), F.concat(F.lit("（"), supplier % 100, F.lit("） 項")), F.concat(F.char(F.lit(97) + supplier % 26), F.lit(") item")), F.concat("l_linenumber", F.lit(".5 is no marker")),
+        F.concat(F.substring(F.lit("".join(chr(0x2460 + i) for i in range(20))), (part % 20 + 1).cast("int"), F.lit(1)), F.lit(" item")), F.concat(F.lit("十"), F.substring(F.lit("一二三四五六七八九"), (part % 9 + 1).cast("int"), F.lit(1)), F.lit("、項")),
+        F.lit("• item"), F.lit("-  item"),
+    ]
+    found = lines.withColumn("text", F.element_at(F.array(*texts), (F.col("k") + 1).cast("int"))).withColumns({"m": list_marker(F.col("text")), "note": F.when(F.col("k") < 2, note_number(F.col("text")))})
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "m.kind", "m.number", "note")
 
 
@@ -290,12 +301,13 @@ def topk(spark, d):
     return ordered.top_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 20)
 
 
-@query("SELECT p_partkey, p_size + (p_partkey % 10 * 100)::INT AS value FROM part")
+@query("SELECT p_partkey, p_size + (p_partkey % 10 * 100)::INT AS value, 10 + (p_partkey % 10)::INT AS tens FROM part")
 def chinese_numbers(spark, d):
     sign = lambda n: F.element_at(F.array(*[F.lit(c) for c in "零一二三四五六七八九"]), n + 1)
     h, t, o = (F.col("p_partkey") % 10).cast("int"), F.floor(F.col("p_size") / 10).cast("int"), (F.col("p_size") % 10).cast("int")
     text = F.concat(F.when(h > 0, F.concat(sign(h), F.lit("百"))).otherwise(""), F.when(t > 0, F.concat(sign(t), F.lit("十"))).otherwise(""), F.when(o > 0, sign(o)).otherwise(""))
-    return table(spark, d, "part").select("p_partkey", chinese_number(text).alias("value"))
+    tens = F.concat(F.lit("零十"), F.when(h > 0, sign(h)).otherwise(""))  # a zero before a sign of ten counts as nothing
+    return table(spark, d, "part").select("p_partkey", chinese_number(text).alias("value"), chinese_number(tens).alias("tens"))
 
 
 @query("SELECT doc_id, 'a/d' || doc_id % 3 || '/t' || doc_id || '.xhtml' AS target, 'f' || doc_id % 5 AS frag, '../' || CASE WHEN doc_id % 2 = 0 THEN '../' ELSE '' END || 'd' || doc_id % 3 || '/t' || doc_id || '.xhtml#f' || doc_id % 5 AS ref FROM documents")
@@ -364,18 +376,27 @@ def page_checks(spark, d):
     return found.groupBy("book", "doc", "rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+WITH hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS book, page_id::VARCHAR AS doc, page_id, html FROM pages),
+links AS (SELECT book, doc, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM hosts),
+found AS (
+  SELECT book, 'broken_anchor' AS "check", doc, 'LINK.NO_FILE' AS rule FROM links WHERE NOT EXISTS (SELECT 1 FROM hosts h WHERE h.book = links.book AND '/' || h.doc = links.href)
+  UNION ALL SELECT book, 'toc', doc, 'TOC.NO_CHAPTER' FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_id) - 1 AS pos FROM hosts) WHERE pos % 3 = 2
+), placed AS (SELECT *, row_number() OVER (PARTITION BY book, "check" ORDER BY doc, rule) - 1 AS nth, count(*) OVER (PARTITION BY book, "check") AS n FROM found)
+SELECT book, "check", (nth // 5)::INT AS part, n, CASE WHEN nth // 5 = 0 THEN '<h2>' || book || ': ' || "check" || ' (' || n || ')</h2>' ELSE '' END || '<table><tr><th>doc</th><th>rule</th></tr>'
+  || string_agg('<tr><td>' || doc || '</td><td>' || rule || '</td></tr>', '' ORDER BY nth) || '</table>' AS html FROM placed GROUP BY book, "check", nth // 5, n""")
 def issue_report(spark, d):
-    found = checks.run_checks(page_publication(spark, d), ["heading_hierarchy", "lang", "broken_anchor", "toc"]).withColumn("args", F.to_json("args"))
-    return report.html_report(found, "book", "check", ["doc", "path", "rule", "severity", "args"], ["doc", "path", "rule"])
+    found = checks.run_checks(page_publication(spark, d), ["heading_hierarchy", "lang", "broken_anchor", "toc"])
+    return report.html_report(found, "book", "check", ["doc", "rule"], ["doc", "rule"], rows=5)
 
 
-def made_publication(documents: DataFrame) -> Publication:
-    """A publication whose documents (book, doc, html) are given, all in reading order and none in the contents."""
+def made_publication(documents: DataFrame, spine: DataFrame | None = None, contents: DataFrame | None = None) -> Publication:
+    """A publication whose documents (book, doc, html) are given, all in reading order and none in the contents, unless told."""
     elements = stored(shred(documents, "book", "doc", "html"))
-    spine = documents.select("book", "doc").withColumn("pos", F.lit(0)).select("book", "pos", "doc")
+    spine = documents.select("book", "doc").withColumn("pos", F.lit(0)).select("book", "pos", "doc") if spine is None else spine
     manifest = spine.select("book", F.col("doc").alias("id"), F.col("doc").alias("href"), F.lit("application/xhtml+xml").alias("media_type"), F.array().cast("array<string>").alias("properties"))
-    contents = spine.where("false").select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
+    if contents is None:
+        contents = spine.where("false").select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
     return Publication(documents.select("book", F.col("doc").alias("name")), elements, manifest, spine, contents)
 
 
@@ -444,14 +465,120 @@ def note_checks(spark, d):
     return by_rule(notes.note_a11y(made_publication(pages)))
 
 
+def variants(spark, d, key: str, bodies: list, lang: str = " lang='en'") -> DataFrame:
+    """(book, doc, html): an order's document is the body of its number's remainder."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    body = F.element_at(F.array(*[F.lit(x) for x in bodies]), (F.col("o_orderkey") % len(bodies) + 1).cast("int"))
+    doc = F.concat("o_orderkey", F.lit(".xhtml"))
+    return orders.select(F.concat(F.lit("b"), F.col("o_orderkey") % 97).alias("book"), doc.alias("doc"), F.concat(F.lit(f"<html{lang}><body>"), F.replace(body, F.lit("{doc}"), doc), F.lit("</body></html>")).alias("html"))
+
+
+def variants_sql(n: int, rules: list[tuple[int, str, int]]) -> str:
+    """For each order the rules of its number's remainder by n, and their counts."""
+    listed = ", ".join(f"({r}, '{rule}', {count})" for r, rule, count in rules)
+    return f"SELECT o_orderkey || '.xhtml' AS doc, rule, n::BIGINT AS n FROM orders JOIN (VALUES {listed}) AS t(v, rule, n) ON o_orderkey % {n} = v"
+
+
+TABLES = [
+    "<table><caption>c</caption><tr><td><b>A</b></td><td><strong>B</strong></td></tr><tr><td>1</td><td>2</td></tr></table>",
+    "<table><caption>c</caption><tr><th scope='COL' colspan='2'>A</th></tr><tr><td>1</td><td>2</td></tr></table>",
+    "<table><caption>c</caption><tr><th>H</th><th>I</th></tr><tr><th scope=' Row ' rowspan='1500'>r</th><td>1</td></tr>" + "<tr><td>2</td></tr>" * 1 + "</table>",
+    "<p id='out'>x</p><table><caption>c</caption><tr><th>H</th></tr><tr><td headers='out'>1</td></tr></table>",
+    "<table><caption>c</caption><tr><th id='a' headers='b'>A</th><th id='b' headers='a'>B</th></tr><tr><td>1</td><td>2</td></tr></table>",
+    "<table><caption>c</caption><tr><th>H</th></tr><tr><td id='d'>1</td></tr><tr><td headers='d'>2</td></tr></table>",
+    "<table><caption>c</caption><tr><td headers=''>1</td><td headers=' '>2</td></tr></table>",
+    "<table><tr><th>H</th></tr><tr><td scope=' '>1</td></tr></table>",
+]
+
+
+@query(variants_sql(8, [(0, "TBL.BOLD_TD_HEADER", 1), (0, "TBL.NO_HEADER", 2), (1, "TBL.COL_SPAN", 1), (2, "TBL.ROW_SPAN", 1), (3, "TBL.REF_OUTSIDE", 1), (4, "TBL.REF_CYCLE", 1), (5, "TBL.REF_ONLY_TD", 1), (6, "TBL.NO_HEADER", 2), (7, "TBL.NO_CAPTION", 1)]))
+def table_rules(spark, d):
+    """Each order as a table with one of eight defects; scopes in any case, blank ones and empty references among them."""
+    return by_rule(checks.run_checks(made_publication(variants(spark, d, "o_orderkey", TABLES)), ["table_a11y"]))
+
+
+LISTS = [
+    "<ul><ul><li>deep</li></ul></ul>", "<ol><p>x</p><li>a</li></ol>", "<ol start='x'><li>a</li></ol>", "<ul><li>a</li></ul><ul><li>b</li></ul>", "<div><li>a</li><li>b</li></div>", "<p>1. a</p><p>2. b</p><p>3. c</p>",
+    "<p>• a</p><p style='margin-left: 3em'>• b</p><p style='margin-left: 1em'>• c</p>", "<p>" + " " * 400 + "a) x<br/>b) y</p>",
+]
+
+
+@query(variants_sql(8, [(0, "LST.NESTED_DIRECT", 1), (1, "LST.BAD_CHILD", 1), (2, "LST.BAD_START", 1), (3, "LST.SPLIT", 1), (4, "LST.ORPHAN_LI", 1), (5, "LST.PARA_RUN", 1), (6, "LST.PARA_RUN", 1), (6, "LST.LEVEL_JUMP", 2), (7, "LST.BR_LINES", 1)]))
+def list_rules(spark, d):
+    """Each order as a list, or what looks like one, with one of eight defects."""
+    return by_rule(checks.run_checks(made_publication(variants(spark, d, "o_orderkey", LISTS)), ["list_a11y"]))
+
+
+def ref_to(id: str, target: str, number: int = 1) -> str:
+    return f"<p>t<a epub:type='noteref' id='{id}' href='{target}'>[{number}]</a></p>"
+
+
+def note_at(id: str, number: int, inner: str) -> str:
+    return f"<aside epub:type='footnote' id='{id}'>{number}. x {inner}</aside>"
+
+
+BACK = "<a href='#r1'>b</a>"
+NOTES = [
+    "<p>t<a id='r1' href='#n1'>[1]</a></p>" + note_at("n1", 1, BACK), "<p>t<sup>[5]</sup></p>", "<section epub:type='footnotes'><ul><li>just an item</li></ul></section>",
+    "<section epub:type='footnotes'><div id='d'>6. Sixth</div></section>", "<p id='plain'>x</p>" + ref_to("r1", "#plain"), ref_to("r1", "x-{doc}#n1"),
+    "<p>t<a epub:type='noteref' href='#n1'>[1]</a></p>" + note_at("n1", 1, ""), ref_to("r1", "#n1") + ref_to("r2", "#n1") + note_at("n1", 1, ""), ref_to("r1", "#n1") + note_at("n1", 1, BACK + "<a href='http://example.org'>o</a>"),
+    ref_to("r1", "#n1") + note_at("n1", 1, BACK + note_at("n2", 2, "")),
+    ref_to("r1", "#n1") + note_at("n1", 1, "<a epub:type='noteref' id='c1' href='#n2'>[2]</a>" + BACK) + note_at("n2", 2, "<a epub:type='noteref' id='c2' href='#n1'>[1]</a><a href='#c1'>b</a>"),
+    ref_to("r1", "y-{doc}#n1") + "<section epub:type='footnotes'>" + note_at("m1", 7, BACK) + "</section>",
+]
+
+
+@query(variants_sql(12, [
+    (0, "NOTE.REF_UNDECL_LINKED", 1), (1, "NOTE.REF_UNDECL", 1), (2, "NOTE.MIXED_LI", 1), (3, "NOTE.UNDECL", 1), (3, "NOTE.ORPHAN", 1), (4, "NOTE.TARGET_NOT_NOTE", 1), (5, "NOTE.CROSS_CHAPTER", 1), (6, "NOTE.REF_NO_ID", 1),
+    (7, "NOTE.MULTI_REF", 1), (7, "NOTE.NO_BACKLINK_SHARED", 2), (8, "NOTE.BACKLINK_EXTERNAL", 1), (9, "NOTE.NESTED", 1), (10, "NOTE.CYCLE", 2), (10, "NOTE.MULTI_REF", 1), (10, "NOTE.NO_BACKLINK_SHARED", 1), (11, "NOTE.ORPHAN", 1),
+]))
+def note_rules(spark, d):
+    """Each order as references and notes with one of eleven defects. References of two variants lead to another chapter, which has a section of footnotes for one of them only."""
+    from quire.plans import notes  # registers the check
+
+    pages = variants(spark, d, "o_orderkey", NOTES)
+    key = F.regexp_extract("doc", r"^(\d+)", 1).cast("long") % 12
+    far = F.concat(F.lit("<html lang='en'><body><section epub:type='"), F.when(key == 5, "footnotes").otherwise("chapter"), F.lit("'><aside epub:type='footnote' id='n1'>1. x <a href='"), F.col("doc"), F.lit("#r1'>b</a></aside></section></body></html>"))
+    others = pages.where(key.isin(5, 11)).select("book", F.concat(F.when(key == 5, "x-").otherwise("y-"), F.col("doc")).alias("doc"), far.alias("html"))
+    return by_rule(notes.note_a11y(made_publication(pages.union(others))))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_nationkey::VARCHAR AS book, c_custkey || '.xhtml' AS doc FROM customer)
+SELECT book, doc, rule, n::BIGINT AS n FROM (
+  SELECT book, doc, 'LANG.MISSING' AS rule, 1 AS n FROM c WHERE k % 5 = 0
+  UNION ALL SELECT book, doc, 'HEAD.JUMP', 1 FROM c WHERE k % 4 = 0
+  UNION ALL SELECT book, doc, 'IMG.NO_ALT', CASE WHEN k % 14 = 0 THEN 2 ELSE 1 END FROM c WHERE k % 7 = 0
+  UNION ALL SELECT book, doc, 'ID.DUP', 1 FROM c WHERE k % 9 = 0
+  UNION ALL SELECT book, doc, 'LINK.NO_FRAGMENT', 1 FROM c WHERE k % 8 = 0
+  UNION ALL SELECT book, doc, 'LINK.NO_FILE', 1 FROM c WHERE k % 10 = 0
+  UNION ALL SELECT book, doc, 'TOC.NO_CHAPTER', 1 FROM c WHERE k % 3 = 2
+  UNION ALL SELECT book, doc, 'TOC.NO_HEADING', (k % 3 = 2)::INT + (k % 6 = 1 AND k % 4 <> 0)::INT FROM c WHERE k % 3 = 2 OR (k % 6 = 1 AND k % 4 <> 0)
+  UNION ALL SELECT book, NULL, 'TOC.ORDER', 1 FROM (SELECT book FROM c WHERE k % 3 <> 2 GROUP BY book HAVING count(*) > 1 AND book::INT % 2 = 1))""")
+def document_rules(spark, d):
+    """Each customer as a chapter of its nation's book, with defects of heads, images, languages, identifiers, links and contents by its number."""
+    k = F.col("c_custkey")
+    when = lambda condition, yes, no="": F.when(condition, F.lit(yes) if isinstance(yes, str) else yes).otherwise(F.lit(no) if isinstance(no, str) else no)
+    head = F.concat(F.lit("<h1 id='h"), k, F.lit("'>"), F.col("c_name"), F.lit("</h1>"))
+    second = when(k % 4 == 0, "<h3>x</h3>", when(k % 6 == 1, "<h2 id='second'>x</h2>", "<h2>x</h2>"))
+    images = when(k % 7 == 0, when(k % 14 == 0, "<img src='a'/><img src='b'/>", "<img src='a'/>"), "<img src='a' alt=''/>")
+    twice = when(k % 9 == 0, F.concat(F.lit("<p id='h"), k, F.lit("'>again</p>")))
+    html = F.concat(F.lit("<html"), when(k % 5 == 0, "", " lang='en'"), F.lit("><body>"), head, second, images, twice, when(k % 8 == 0, "<a href='#none'>x</a>"), when(k % 10 == 0, "<a href='none.xhtml#x'>x</a>"), F.lit("</body></html>"))
+    pages = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("book"), F.concat(k, F.lit(".xhtml")).alias("doc"), html.alias("html"))
+    spine = pages.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("c_custkey")) - 1).alias("pos"), "doc", "c_custkey")
+    named = spine.where("c_custkey % 3 <> 2").select("book", F.when(F.col("book").cast("int") % 2 == 1, -F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.lit("").alias("text"), "doc", F.lit("").alias("frag"))
+    found = checks.run_checks(made_publication(pages.drop("c_custkey"), spine.drop("c_custkey"), named), ["img_alt", "heading_hierarchy", "lang", "duplicate_id", "broken_anchor", "toc"])
+    return found.groupBy("book", "doc", "rule").agg(F.count("*").alias("n"))
+
+
 @query("""
 SELECT page_id, tag, count(*) AS n FROM (
-  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '^.*?</nav>', '', 's'), '<(p|h1)>', 1)) AS tag FROM pages) GROUP BY page_id, tag""")
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '^.*?</nav>', '', 's'), '<(p|h[1-6]|img|figure|aside|table|ul|ol|blockquote|pre|div|section)(?: [^>]*)?>', 1)) AS tag FROM pages) GROUP BY page_id, tag""")
 def reading_nodes(spark, d):
-    """Headings and paragraphs among the pages' reading nodes."""
+    """The pages' reading nodes; all their div elements have a class."""
     from quire.plans.model import reading_nodes as nodes_of
 
-    found = nodes_of(page_elements(spark, d)).where("tag in ('p', 'h1')")
+    found = nodes_of(page_elements(spark, d))
     return found.groupBy(F.col("doc").cast("long").alias("page_id"), "tag").agg(F.count("*").alias("n"))
 
 
