@@ -6,9 +6,9 @@ skip; the payload lies there. The unit of storage is the frame: the last one tak
 rest, and the tag tells where the payload ends.
 
 The reader parses ID3v2 and ID3v1 tags, finds frames by their headers (a header counts if it is like that of the
-frame before it or of the one after it, or the stream ends there; else it looks on from the next byte), checks the checksums of Layer III frames, reads Xing/Info and
-VBRI tables and the encoder's delay and padding, and gives the exact duration as samples and sample rate, with the
-byte offset of every frame.
+frame before it or of the one after it, or the stream ends there; else it looks on from the next byte), checks the checksums of
+all layers, reads Xing/Info and VBRI tables whole (frames, bytes, places to seek to) and holds them against the frames that it found,
+reads the encoder's delay and padding, and gives the exact duration as samples and sample rate, with the byte offset of every frame.
 
 Edge cases: a null or empty text is stored as 64 zero bytes. A null or damaged stream reads as what can be found in it;
 without a frame there are 0 samples. Very long texts have more frames. Null and repeated identifiers pass as they are;
@@ -88,6 +88,58 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+#: Fixed values of Layer II: bits of the allocation of subbands 0, 1, ...: of MPEG-1's four tables, and of MPEG-2's.
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19,
+}
+
+
+def allocation_of(h: Header) -> list[int]:
+    each = h.kbits // (1 if h.mono else 2)
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 3:
+        return ALLOCATION["low"]
+    if 56 <= each and (h.rate == 48000 or each <= 80):
+        return ALLOCATION["a"]
+    if each >= 96:
+        return ALLOCATION["b"]
+    return ALLOCATION["c" if h.rate != 32000 and each <= 48 else "d"]
+
+
+def guarded_bits(frame: bytes, h: Header) -> int:
+    """The bits after the checksum that it guards: the side information, or the allocation with Layer II's scale factor selectors."""
+    if h.layer == 3:
+        return 8 * h.side
+    widths, channels = allocation_of(h), 1 if h.mono else 2
+    mode, extension = frame[3] >> 6, frame[3] >> 4 & 3
+    joint = min(len(widths), 4 * (extension + 1)) if mode == 1 else len(widths)
+    value, total = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    place = selectors = 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < joint else 1):
+            place += width
+            if h.layer == 2 and total >= place and value >> (total - place) & ((1 << width) - 1):
+                selectors += channels if band >= joint else 1
+    return place + 2 * selectors
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The checksum that a protected frame should have."""
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    n = guarded_bits(frame, h)
+    head = frame[6 : 6 + (n + 7) // 8]
+    crc = 0xFFFF
+    for byte in frame[2:4] + head[: n // 8]:
+        crc = (crc << 8 & 0xFF00) ^ CRC_TABLE[crc >> 8 ^ byte]
+    rest = n % 8
+    if rest and len(head) > n // 8:
+        for i in range(7, 7 - rest, -1):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ head[n // 8] >> i) & 1 else 0)) & 0xFFFF
+    return crc
+
+
 def synchsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -134,6 +186,61 @@ def write_stream(payload: bytes) -> bytes:
     return b"".join([b"ID3\x03\x00\x00", synchsafe(len(field)), field, bytes(table), *frames])
 
 
+class Table(NamedTuple):
+    """A variable-bitrate table; -1 and None for what it lacks."""
+
+    name: str  # Xing, Info, VBRI or none
+    start: int  # of the frame that it is in
+    frames: int = -1
+    size: int = -1  # bytes, of that frame and all after it
+    quality: int = -1
+    places: list[int] | None = None  # Xing: 256ths of the bytes at each 100th of the duration; VBRI: bytes from one entry to the next
+    step: int = 0  # VBRI: frames of an entry
+
+
+NO_TABLE = Table("none", 0)
+
+
+def xing_table(data: bytes, start: int, at: int) -> tuple[Table, int]:
+    """(the table, where it ends)"""
+    flags, place, found = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8, {}
+    for bit, name in ((1, "frames"), (2, "size")):
+        if flags & bit:
+            found[name], place = int.from_bytes(data[place : place + 4], "big"), place + 4
+    if flags & 4:
+        found["places"], place = list(data[place : place + 100]), place + 100
+    if flags & 8:
+        found["quality"], place = int.from_bytes(data[place : place + 4], "big"), place + 4
+    return Table(data[at : at + 4].decode(), start, **found), place
+
+
+def vbri_table(data: bytes, start: int) -> Table:
+    at = start + 36
+    quality, size, frames, entries, scale, width, step = (int.from_bytes(data[at + a : at + b], "big") for a, b in ((8, 10), (10, 14), (14, 18), (18, 20), (20, 22), (22, 24), (24, 26)))
+    raw = data[at + 26 : at + 26 + entries * width]
+    return Table("VBRI", start, frames, size, quality, [scale * int.from_bytes(raw[i * width : (i + 1) * width], "big") for i in range(entries)] if width else [], step)
+
+
+def judged(table: Table, offsets: list[int], end: int) -> dict[str, bool | None]:
+    """Whether a table's frames, bytes and places agree with the frames found; None for what it lacks. A place may be one unit off."""
+    out: dict[str, bool | None] = {"frames": None, "bytes": None, "places": None}
+    if table.name == "none" or not offsets:
+        return out
+    if table.frames >= 0:
+        out["frames"] = table.frames == len(offsets)
+    if table.size >= 0:
+        out["bytes"] = table.size == end - table.start
+    if table.places and table.name == "VBRI":
+        ends, at = [*offsets, end], 0
+        out["places"] = table.step > 0
+        for i, size in enumerate(table.places):
+            at += size
+            out["places"] &= abs(offsets[0] + at - ends[min((i + 1) * table.step, len(offsets))]) <= max(table.places) // 100 + 4 * (i + 1)
+    elif table.places and table.size > 0:
+        out["places"] = len(table.places) == 100 and all(abs(p - min(255, 256 * (offsets[i * len(offsets) // 100] - table.start) // table.size)) <= 1 for i, p in enumerate(table.places))
+    return out
+
+
 class Stream(NamedTuple):
     tags: dict[str, str]
     offsets: list[int]  # of the audio frames
@@ -143,8 +250,8 @@ class Stream(NamedTuple):
     skipped: int  # bytes passed over to find a frame
     samples: int
     rate: int
-    table: str  # Xing, Info, VBRI or none
-    table_frames: int
+    table: Table
+    agrees: dict[str, bool | None]  # as `judged` tells
 
 
 def kind(h: Header) -> tuple:
@@ -153,19 +260,24 @@ def kind(h: Header) -> tuple:
 
 
 def id3v2(data: bytes, start: int) -> tuple[int, dict[str, str]]:
-    """(where the tag ends, its text fields), for versions 2.3 and 2.4."""
+    """(where the tag ends, its text fields), for versions 2.3 and 2.4; unsynchronised ones are read as they were before that."""
     if data[start : start + 3] != b"ID3" or len(data) < start + 10:
         return start, {}
     major, flags = data[start + 3], data[start + 5]
     end = start + 10 + from_synchsafe(data[start + 6 : start + 10])
-    place, tags = start + 10, {}
+    inner, tags, place = data[start + 10 : end], {}, 0
+    if flags & 0x80 and major < 4:
+        inner = inner.replace(b"\xff\0", b"\xff")
     if flags & 0x40:
-        n = data[place : place + 4]
+        n = inner[:4]
         place += from_synchsafe(n) if major == 4 else 4 + int.from_bytes(n, "big")
-    while place + 10 <= min(end, len(data)) and data[place]:
-        name, raw = data[place : place + 4].decode("latin-1"), data[place + 4 : place + 8]
+    while place + 10 <= len(inner) and inner[place]:
+        name, raw, form = inner[place : place + 4].decode("latin-1"), inner[place + 4 : place + 8], inner[place + 9]
         n = from_synchsafe(raw) if major == 4 else int.from_bytes(raw, "big")
-        body = data[place + 10 : place + 10 + n]
+        body = inner[place + 10 : place + 10 + n]
+        if major == 4:
+            body = body[4:] if form & 1 else body
+            body = body.replace(b"\xff\0", b"\xff") if form & 2 else body
         if name[:1] == "T" and body:
             text = body[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
             if name == "TXXX":
@@ -184,7 +296,7 @@ def read_stream(data: bytes | None) -> Stream:
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             tags.setdefault(name, data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip())
     offsets, headers, checked, damaged, skipped, locked, last = [], [], 0, 0, 0, False, None
-    table, table_frames, trim = "none", 0, 0
+    table, trim, last_end = NO_TABLE, 0, 0
     while place + 4 <= end:
         h = header(data[place : place + 4])
         following = place + h.size if h else 0
@@ -198,30 +310,33 @@ def read_stream(data: bytes | None) -> Stream:
             place += 1
             continue
         locked, last = True, kind(h)
-        if not offsets and table == "none" and h.layer == 3:
+        last_end = following
+        if not offsets and table.name == "none" and h.layer == 3:
             at = place + 4 + 2 * h.protected + h.side
             if data[at : at + 4] in (b"Xing", b"Info"):
-                table = data[at : at + 4].decode()
-                flags = int.from_bytes(data[at + 4 : at + 8], "big")
-                table_frames = int.from_bytes(data[at + 8 : at + 12], "big") if flags & 1 else 0
-                more = at + 8 + 4 * (flags & 1) + 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
+                table, more = xing_table(data, place, at)
                 if more + 24 <= following and data[more : more + 4] in (b"LAME", b"Lavc", b"Lavf"):
                     gap = int.from_bytes(data[more + 21 : more + 24], "big")
                     trim = (gap >> 12) + (gap & 0xFFF)
                 place = following
                 continue
             if data[place + 36 : place + 40] == b"VBRI":
-                table, table_frames = "VBRI", int.from_bytes(data[place + 50 : place + 54], "big")
+                table = vbri_table(data, place)
                 place = following
                 continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             checked += 1
-            damaged += crc16(data[place + 2 : place + 4] + data[place + 6 : place + 6 + h.side]) != int.from_bytes(data[place + 4 : place + 6], "big")
+            damaged += checksum(data[place:following], h) != int.from_bytes(data[place + 4 : place + 6], "big")
         offsets.append(place)
         headers.append(h)
         place = following
     skipped += max(0, end - place) if not locked or place < end else 0
-    return Stream(tags, offsets, headers, checked, damaged, skipped, max(0, sum(h.samples for h in headers) - trim), headers[0].rate if headers else 0, table, table_frames)
+    return Stream(tags, offsets, headers, checked, damaged, skipped, max(0, sum(h.samples for h in headers) - trim), headers[0].rate if headers else 0, table, judged(table, offsets, last_end))
+
+
+def told(s: Stream) -> str:
+    """The table and what of it agrees with the frames."""
+    return " ".join([s.table.name, *(f"{k} {'right' if v else 'wrong'}" for k, v in s.agrees.items() if v is not None)])
 
 
 def payload_of(data: bytes, stream: Stream) -> bytes:
@@ -263,7 +378,7 @@ def probe(media: DataFrame, *, column: str = "media") -> DataFrame:
                 payload = payload_of(data, s)
                 kinds = "+".join(f"MPEG-{ {3: '1', 2: '2', 0: '2.5'}[v] } layer {n}" for v, n in sorted({(h.version, h.layer) for h in s.headers}, reverse=True)) or "none"
                 kbits = sorted({h.kbits for h in s.headers})
-                feature = f"{kinds}; {s.samples}/{s.rate or 1} s; frames {len(s.offsets)}; kbit/s {kbits[0] if kbits else 0}-{kbits[-1] if kbits else 0}; table {s.table} {s.table_frames}; checksums {s.checked - s.damaged} of {s.checked}; skipped {s.skipped}"
+                feature = f"{kinds}; {s.samples}/{s.rate or 1} s; frames {len(s.offsets)}; kbit/s {kbits[0] if kbits else 0}-{kbits[-1] if kbits else 0}; table {told(s)}; checksums {s.checked - s.damaged} of {s.checked}; skipped {s.skipped}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.samples, s.rate, s.offsets))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             columns = [batch.column(c) for c in others] + [pa.array(list(x), t) for x, t in zip(list(zip(*rows, strict=True)) or [()] * 9, types, strict=True)]

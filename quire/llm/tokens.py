@@ -1,7 +1,8 @@
 """Token counts through a cache of digests.
 
 Each text's SHA-256 and the digest of the tokenizer (its file, library version and way of use) are looked up in a
-stored table of counts. Of the misses one text each is encoded: copies go out within a task first, then texts are dealt
+stored table of counts, before any text moves: if `FEW` distinct texts or fewer are missing, their digests are broadcast and only
+texts of these go on; if none is, none does. Of the misses one text each is encoded: copies go out within a task first, then texts are dealt
 by digest, which brings what is left of a group of copies to one task, a row a task of the first step at most. The new
 counts are appended to the table in one committed write, and every row gets its count by a join on the digest. A run
 that fails leaves the table as it was or with whole counts; counts that two runs append are equal, one is read.
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stored
+from quire.llm.common import over_texts, small_batches, stored
 
 LIMIT = 4096
 BATCH_BYTES = 4 << 20
+#: Digests that are broadcast, at most.
+FEW = 1 << 17
 CACHE = "digest string, tokenizer string, n_tokens long"
 
 
@@ -73,8 +76,8 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
-def fill_cache(docs: DataFrame, path: str, cache: str, *, text: str = "text", normalise=None) -> None:
-    """Encodes the distinct texts that the cache lacks, and appends their counts."""
+def fill_cache(docs: DataFrame, path: str, cache: str, *, text: str = "text", normalise=None, digests: DataFrame | None = None, few: int = FEW) -> int:
+    """Encodes the distinct texts that the cache lacks, and appends their counts; their number. digests: those of docs, if they are at hand."""
     tokenizer = tokenizer_digest(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +87,19 @@ def fill_cache(docs: DataFrame, path: str, cache: str, *, text: str = "text", no
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     body = content(text, normalise)
+    wanted = docs.select(F.sha2(body, 256).alias("digest")) if digests is None else digests.select("digest")
+    missing = stored(wanted.distinct().join(cached(docs.sparkSession, cache, tokenizer), "digest", "left_anti"))
+    count = missing.count()
+    if not count:
+        return 0
     texts = docs.select(F.sha2(body, 256).alias("digest"), body.alias("text"))
-    dealt = texts.mapInArrow(once, "digest string, text string").repartition("digest")
-    missing = dealt.join(cached(docs.sparkSession, cache, tokenizer), "digest", "left_anti")
-    missing.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    if count <= few:
+        texts = texts.join(F.broadcast(missing), "digest", "left_semi")
+    dealt = over_texts(texts, once, "digest string, text string").repartition("digest")
+    if count > few:
+        dealt = dealt.join(missing, "digest", "left_semi")
+    over_texts(dealt, encode, CACHE).write.mode("append").parquet(cache)
+    return count
 
 
 def content(text: str, normalise):
@@ -99,6 +111,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id",
     """One row per row: (id, n_bytes, n_tokens, over_limit). path: of the tokenizer's file; cache: folder of the stored counts."""
     body = content(text, normalise)
     rows = stored(docs.select(F.col(id).alias("id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest")))
-    fill_cache(docs, path, cache, text=text, normalise=normalise)
+    fill_cache(docs, path, cache, text=text, normalise=normalise, digests=rows)
     counted = rows.join(stored(cached(docs.sparkSession, cache, tokenizer_digest(path))), "digest")  # Spark splits a digest of many rows
     return counted.select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

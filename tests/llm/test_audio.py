@@ -35,8 +35,8 @@ def test_round_trip(n):
     data = write_stream(payload)
     s = read_stream(data)
     assert payload_of(data, s) == payload and s.damaged == s.skipped == 0 and s.checked == len(s.offsets)
-    assert s.table == ("Xing" if n else "none") or n == 0
-    assert not n or s.table_frames == len(s.offsets)
+    assert s.table.name == ("Xing" if n else "none") or n == 0
+    assert not n or s.table.frames == len(s.offsets) and s.agrees == {"frames": True, "bytes": True, "places": True}
 
 
 def test_payload_like_headers_and_tags():
@@ -87,9 +87,85 @@ def test_tags_and_tables():
     audio = (frame + bytes(size - 4)) * 3
     tag = b"TAG" + b"Song".ljust(30, b"\0") + b"Singer".ljust(30, b"\0") + bytes(65)
     s = read_stream(bytes(lame) + audio + tag)
-    assert (s.table, s.table_frames, s.samples, s.tags["TIT2"], s.tags["TPE1"]) == ("Info", 3, 3 * 1152 - 1576, "Song", "Singer")
+    assert (s.table.name, s.table.frames, s.samples, s.tags["TIT2"], s.tags["TPE1"]) == ("Info", 3, 3 * 1152 - 1576, "Song", "Singer")
+    assert s.agrees == {"frames": True, "bytes": None, "places": None} and read_stream(bytes(lame) + audio[:size]).agrees["frames"] is False
     vbri = bytearray(frame + bytes(size - 4))
-    vbri[36:40] = b"VBRI"
-    vbri[50:54] = (3).to_bytes(4, "big")
-    t = read_stream(bytes(vbri) + audio)
-    assert (t.table, t.table_frames, len(t.offsets)) == ("VBRI", 3, 3)
+    body = b"VBRI" + bytes(4) + (78).to_bytes(2, "big") + (size * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (2, 1, 2, 2)) + (2 * size).to_bytes(2, "big") * 2
+    vbri[36 : 36 + len(body)] = body
+    t = read_stream(bytes(vbri) + audio + audio[:size])
+    assert (t.table.name, t.table.frames, t.table.quality, t.table.places, len(t.offsets)) == ("VBRI", 4, 78, [2 * size, 2 * size], 4)
+    assert t.agrees == {"frames": True, "bytes": True, "places": True}
+    vbri[36 + 26 : 36 + 28] = size.to_bytes(2, "big")
+    assert read_stream(bytes(vbri) + audio).agrees == {"frames": False, "bytes": False, "places": False}
+
+
+def test_wrong_seek_table():
+    data = bytearray(write_stream(random.Random(3).randbytes(200_000)))
+    at = data.index(b"Xing") + 16
+    assert read_stream(bytes(data)).agrees["places"] and read_stream(bytes(data)).table.places == list(data[at : at + 100])
+    data[at + 50] = 3
+    assert read_stream(bytes(data)).agrees == {"frames": True, "bytes": True, "places": False}
+
+
+def bits_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15
+        crc = crc << 1 & 0xFFFF
+        if top != int(b):
+            crc ^= 0x8005
+    return crc
+
+
+#: (second and following header bytes, widths of the subbands' allocations, channels)
+OTHER_LAYERS = [
+    (bytes([0xFE, 0xC4, 0x00]), [4] * 32, 2, 32),  # layer I, 384 kbit/s, 48 kHz, stereo
+    (bytes([0xFE, 0x84, 0xC0]), [4] * 32, 1, 32),
+    (bytes([0xFC, 0xA0, 0x00]), [4] * 11 + [3] * 12 + [2] * 7, 2, 30),  # layer II, 192 kbit/s, 44.1 kHz
+    (bytes([0xFC, 0xA0, 0x50]), [4] * 11 + [3] * 12 + [2] * 7, 2, 8),  # joint stereo from subband 8 on
+    (bytes([0xFC, 0x44, 0xC0]), [4] * 11 + [3] * 12 + [2] * 4, 1, 27),  # 64 kbit/s, 48 kHz, mono
+    (bytes([0xFC, 0x20, 0xC0]), [4] * 2 + [3] * 6, 1, 8),  # 48 kbit/s, 44.1 kHz, mono
+    (bytes([0xFC, 0x28, 0xC0]), [4] * 2 + [3] * 10, 1, 12),  # at 32 kHz
+    (bytes([0xF4, 0x84, 0x00]), [4] * 4 + [3] * 7 + [2] * 19, 2, 30),  # MPEG-2
+]
+
+
+@pytest.mark.parametrize("tail,widths,channels,joint", OTHER_LAYERS)
+def test_checksums_of_other_layers(tail, widths, channels, joint):
+    rng = random.Random(len(widths) * channels + joint)
+    head = b"\xff" + tail
+    h = header(head)
+    frames = []
+    for _ in range(4):
+        allocation, selectors = "", ""
+        for band, width in enumerate(widths):
+            for _ in range(channels if band < joint else 1):
+                value = rng.choice([0, rng.randrange(1, 1 << width)])
+                allocation += f"{value:0{width}b}"
+                if value and h.layer == 2:
+                    selectors += "".join(rng.choice("01") for _ in range(2 * (channels if band >= joint else 1)))
+        guarded = allocation + selectors
+        crc = bits_crc("".join(f"{b:08b}" for b in head[2:]) + guarded)
+        body = guarded + "".join(rng.choice("01") for _ in range(8 * (h.size - 6) - len(guarded)))
+        frames.append(head + crc.to_bytes(2, "big") + int(body, 2).to_bytes(h.size - 6, "big"))
+    s = read_stream(b"".join(frames))
+    assert (len(s.offsets), s.checked, s.damaged) == (4, 4, 0)
+    broken = bytearray(b"".join(frames))
+    broken[h.size + 6] ^= 0x80
+    assert read_stream(bytes(broken)).damaged == 1
+
+
+def test_unsynchronised_tags():
+    def field(name, body, raw=4):
+        size = len(body).to_bytes(4, "big") if raw == 3 else bytes(len(body) >> n & 127 for n in (21, 14, 7, 0))
+        return name, size, body
+
+    text = b"\x01\xff\xfeA\0\xff\0"  # UTF-16 with a byte order mark
+    name, size, body = field(b"TIT2", text, 3)
+    inner = (name + size + b"\0\0" + body).replace(b"\xff", b"\xff\0")
+    old = b"ID3\x03\0\x80" + bytes(len(inner) >> n & 127 for n in (21, 14, 7, 0)) + inner
+    assert read_stream(old).tags["TIT2"] == "Aÿ"
+    body = text.replace(b"\xff", b"\xff\0")
+    name, size, body = field(b"TIT2", bytes([0, 0, 0, len(text)]) + body)
+    new = b"ID3\x04\0\0" + bytes([0, 0, 0, len(body) + 10]) + name + size + b"\0\x03" + body
+    assert read_stream(new).tags["TIT2"] == "Aÿ"

@@ -3,7 +3,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.tokens import cached, count_tokens, tokenizer_digest
+from quire.llm.tokens import cached, count_tokens, fill_cache, tokenizer_digest
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,17 @@ def test_counts_and_cache(docs, tmp_path, spark):
     assert spark.read.parquet(cache).count() == docs.select("text").distinct().count()
 
 
+def test_only_missing_texts_move(docs, tmp_path, spark):
+    for few in (0, 10, 1 << 17):
+        cache = f"file://{tmp_path}/cache{few}"
+        distinct = docs.select("text").distinct().count()
+        some = docs.where("doc_id < 50")
+        first = fill_cache(some, PIECES, cache, few=few)
+        assert first == some.select("text").distinct().count()
+        assert fill_cache(docs, PIECES, cache, few=few) == distinct - first and spark.read.parquet(cache).count() == distinct
+        assert fill_cache(docs, PIECES, cache, few=few) == 0
+
+
 def test_a_tokenizer_has_its_own_counts(docs, tmp_path, spark):
     cache = f"file://{tmp_path}/cache"
     few = docs.limit(20)
