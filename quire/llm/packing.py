@@ -48,8 +48,8 @@ GRID = 256
 #: The shortest sequence that a power of two ends early, and what a sequence more is held to cost.
 LEAST_EVEN = 512
 EVEN_PENALTY = 8
-CACHE_WORDS = 1_000_000
-BATCH_BYTES = 4 << 20
+CACHE_WORDS = 200_000
+BATCH_BYTES = 2 << 20
 
 
 #: How a tokenizer's file describes text handling that makes words, and letters and stops, independent.
