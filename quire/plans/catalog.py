@@ -543,6 +543,35 @@ def note_rules(spark, d):
     return by_rule(notes.note_a11y(made_publication(pages.union(others))))
 
 
+@query("""
+SELECT o_orderkey || '.xhtml' AS doc, t.first, t.last, t.reason, t.n::BIGINT AS n FROM orders JOIN (VALUES
+  (0, 1, 2, '', 2), (1, 1, 1, '', 1), (1, 3, 3, '', 1), (2, 1, 1, 'number repeated in the chapter', 2), (3, 5, 5, 'no only note of the number', 1)
+) AS t(v, first, last, reason, n) ON o_orderkey % 4 = v""")
+def note_batches(spark, d):
+    """Each order as undeclared references and notes: a run of two, two runs of one, a repeated number, a number without a note."""
+    from quire.plans import notes
+
+    marks = lambda *numbers: "".join(f"<p>t<sup>[{n}]</sup></p>" for n in numbers)
+    held = lambda *numbers: "<section epub:type='footnotes'>" + "".join(f"<div>{n}. note</div>" for n in numbers) + "</section>"
+    graph = notes.note_graph(made_publication(variants(spark, d, "o_orderkey", [marks(1, 2) + held(1, 2), marks(1, 3) + held(1, 3), marks(1, 1) + held(1), marks(5) + held(6)])))
+    runs = notes.batches(graph).groupBy("doc", F.col("start").alias("first"), F.col("end").alias("last")).agg(F.max("reason").alias("reason"), F.count("*").alias("n"))
+    return runs.unionByName(notes.unmatched(graph).groupBy("doc", F.col("number").alias("first"), F.col("number").alias("last"), "reason").agg(F.count("*").alias("n")))
+
+
+@query("""
+SELECT l_orderkey::VARCHAR AS doc, max(l_linenumber::INT + (l_quantity::INT % 4 + 1) - 1)::INT AS reach, count(*) AS cells FROM lineitem GROUP BY l_orderkey""")
+def grid_extents(spark, d):
+    """Each line as a table of its own row: how far down its cells reach, the largest of an order; spans go beyond the last row."""
+    from quire.plans.model import table_cells
+    from quire.plans.views import grid_extent
+
+    lines = table(spark, d, "lineitem").withColumn("down", F.col("l_quantity").cast("int") % 4 + 1)
+    part = F.concat(F.lit("<table>"), F.repeat(F.lit("<tr></tr>"), F.col("l_linenumber").cast("int") - 1), F.lit("<tr><td rowspan='"), "down", F.lit("'>x</td></tr></table>"))
+    pages = page_of(lines, "l_orderkey", LINES, part, F.lit(""), F.lit(""))
+    extent = grid_extent(table_cells(made_publication(pages).elements))
+    return extent.groupBy("doc").agg(F.max("rows").alias("reach"), F.count("*").alias("cells"))
+
+
 @query("""
 WITH c AS (SELECT c_custkey AS k, c_nationkey::VARCHAR AS book, c_custkey || '.xhtml' AS doc FROM customer)
 SELECT book, doc, rule, n::BIGINT AS n FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import any_token, is_external, note_mark, note_number, reference_parts, resolve
 from quire.operators.graph import cycle_members
 from quire.operators.lineage import cut
-from quire.operators.matching import duplicate_numbers, first_by, unique_pair
+from quire.operators.matching import duplicate_numbers, first_by
 from quire.operators.ordered import narration
 from quire.plans.checks import finding, register_check, together
 from quire.plans.model import KEY, Publication, above, first_ids, in_spine, up_from
@@ -127,22 +127,61 @@ def note_findings(graph: NoteGraph) -> DataFrame:
     ])
 
 
+def with_context(pub: Publication, refs: DataFrame) -> DataFrame:
+    """Adds context: the first 40 characters of the text of what a reference stands in."""
+    placed = in_spine(pub)
+    up = refs.select("ref", *KEY, "eid").join(placed.select(*KEY, "eid", "parent"), [*KEY, "eid"])
+    texts = placed.select(*KEY, F.col("eid").alias("parent"), F.substring("text", 1, 40).alias("context"))
+    return refs.join(up.join(texts, [*KEY, "parent"]).select("ref", "context"), "ref", "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def model_json(pub: Publication, graph: NoteGraph) -> DataFrame:
+    """(book, kind, key, json): references, notes, links and batches as JSON objects, one a row."""
+    refs = with_context(pub, graph.refs)
+    backs = graph.backlinks.groupBy("note").agg(F.array_sort(F.collect_list(F.struct("href", "external", "ref", "text"))).alias("backlinks"))
+    held = graph.edges.groupBy("note").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    notes = graph.notes.join(backs, "note", "left").join(held, "note", "left").withColumn("orphan", F.col("refs").isNull() & ~F.col("mixed") & ~F.col("nested"))
+    as_json = lambda df, kind, key, *columns: df.select("book", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.to_json(F.struct(*columns)).alias("json"))
+    return together([
+        as_json(refs, "ref", "ref", "ref", "doc", "path", "tag", "el_id", "declared", "number", "marker", "href", "external", "within", "note", "status", "context", "spine_pos"),
+        as_json(notes, "note", "note", "note", "doc", "path", "tag", "el_id", "declared", "note_type", "number", "marker", "nested", "text", "refs", "backlinks", "orphan", "mixed", "spine_pos"),
+        as_json(graph.edges, "edge", "ref", "ref", "note"),
+        as_json(batches(graph), "batch", "ref", "batch", "start", "end", "applicable", "number", "note_type", "ref", "note", "reason"),
+    ])
+
+
+def paired(graph: NoteGraph) -> DataFrame:
+    """Undeclared numbered references of the text with the only note of their number, or why there is none: (..., note, note_type, reason).
+
+    Footnotes pair within a chapter, endnotes in the whole book; undeclared notes come first, and only where there is none, declared ones without references.
+    """
+    free = graph.refs.where("not declared and number is not null and within is null and not external and note is null").drop("note")
+    free = free.withColumn("_same", F.count("*").over(Window.partitionBy(*KEY, "number")))
+    candidates = graph.notes.join(graph.edges.select("note").distinct().withColumn("_used", F.lit(True)), "note", "left").select("book", "number", "note", "note_type", "declared", "mixed", "_used", F.col("doc").alias("note_doc"))
+    pairs = free.where("_same = 1").select("ref", *KEY, "number").join(candidates, ["book", "number"]).where("note_type = 'endnote' or note_doc = doc")
+    tier = F.when(~F.col("declared") & ~F.col("mixed"), 0).when(F.col("declared") & F.col("_used").isNull(), 1)
+    best = pairs.withColumn("tier", tier).where("tier is not null").groupBy("ref", "tier").agg(F.count("*").alias("n"), F.first(F.struct("note", "note_type")).alias("c")).groupBy("ref").agg(F.min_by(F.struct("n", "c"), "tier").alias("b"))
+    joined = free.join(best, "ref", "left").withColumn("c", F.when(F.col("b.n") == 1, F.col("b.c")))
+    reason = F.when(F.col("_same") > 1, "number repeated in the chapter").when(F.col("c").isNull(), "no only note of the number")
+    return joined.select(*free.drop("_same").columns, "c.note", "c.note_type", reason.alias("reason"))
+
+
+def unmatched(graph: NoteGraph) -> DataFrame:
+    """(book, doc, path, number, reason) of the references that no batch has."""
+    return paired(graph).where("reason is not null").select(*KEY, "path", "number", "reason")
+
+
 def batches(graph: NoteGraph) -> DataFrame:
-    """Pairs of an undeclared reference and the only note of its number, in runs of rising numbers of one chapter and type.
+    """Paired references in runs of rising numbers of one chapter and type: (book, doc, batch, start, end, applicable, number, note_type, ref, note, reason).
 
-    Footnotes pair within a chapter, endnotes in the whole book; undeclared notes come first, then declared ones without references.
+    A run's items are of one type, so that all of them are applicable.
     """
-    free = graph.refs.where("not declared and number is not null and within is null and not external and note is null")
-    one = free.withColumn("_same", F.count("*").over(Window.partitionBy(*KEY, "number"))).where("_same = 1").drop("_same", "note")
-    candidates = graph.notes.join(graph.edges.select("note").distinct().withColumn("_used", F.lit(True)), "note", "left")
-    pairs = one.select("ref", *KEY, "number").join(candidates.drop("eid", "path").withColumnRenamed("doc", "note_doc"), ["book", "number"]).where("note_type = 'endnote' or note_doc = doc")
-    undeclared = pairs.where("not declared and not mixed").select("ref", "note")
-    declared = pairs.where("declared and _used is null").select("ref", "note").join(undeclared.select("ref").distinct(), "ref", "left_anti")
-    matched = unique_pair(one, [undeclared, declared], "ref", "note").where("note is not null").join(graph.notes.select("note", "note_type"), "note")
+    matched = paired(graph).where("reason is null")
     w = Window.partitionBy(*KEY).orderBy("number", "note_type", "eid")
     new = (F.col("number") != F.lag("number").over(w) + 1) | (F.col("note_type") != F.lag("note_type").over(w))
     runs = matched.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("batch", F.sum("_new").over(w))
-    return runs.select(*KEY, "batch", "number", "note_type", "ref", "note")
+    run = Window.partitionBy(*KEY, "batch")
+    return runs.select(*KEY, "batch", F.min("number").over(run).alias("start"), F.max("number").over(run).alias("end"), F.lit(True).alias("applicable"), "number", "note_type", "ref", "note", F.lit("").alias("reason"))
 
 
 def listening_order(graph: NoteGraph) -> DataFrame:

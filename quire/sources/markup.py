@@ -147,28 +147,58 @@ def attr(name: str) -> Column:
 
 
 class Rewriter(HTMLParser):
-    """Copies markup but for the start tags that edits name, and for the names in their end tags."""
+    """Copies markup but for the start tags that edits name, and for the names in their end tags.
+
+    Of an edit's names, `before` is markup in front of the element, `append` markup that goes to its end, `text` what takes the place
+    of all that is in it, `wrap` a start tag's inside (its name and
+    attributes) of a new element around it, and `remove` leaves the element out; the others are as in `changes.set_attributes`.
+    """
 
     def __init__(self, edits: dict[str, dict[str, str | None]]):
         super().__init__(convert_charrefs=False)
-        self.edits, self.out, self.open, self.top, self.done = edits, [], [], {}, set()
+        self.edits, self.kept, self.open, self.top, self.done, self.removed = edits, [], [], {}, set(), None
+
+    @property
+    def out(self) -> list:
+        """Where markup goes; nowhere within an element that is left out."""
+        return self.kept if self.removed is None else []
 
     def start(self, tag: str, attrs: list, closed: bool) -> None:
         seen = self.open[-1][2] if self.open else self.top
         seen[tag] = seen.get(tag, 0) + 1
         path = (self.open[-1][1] + "/" if self.open else "") + f"{tag}[{seen[tag]}]"
-        raw, name = self.get_starttag_text(), tag
+        raw, name, after = self.get_starttag_text(), tag, ""
         if path in self.edits:
             self.done.add(path)
             change = dict(self.edits[path])
+            if "remove" in change:
+                if not closed and self.removed is None:
+                    self.removed = path
+                    self.open.append((tag, path, {}, name, ""))
+                elif not closed:
+                    self.open.append((tag, path, {}, name, ""))
+                return
+            wrap, appended, before = (change.pop(x, None) for x in ("wrap", "append", "before"))
+            text = change.pop("text", None)
             level = change.pop("heading_level", None)
             name = f"h{level}" if level and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else change.pop("tag", None) or tag
             change.pop("tag", None)
             kept = {k: v for k, v in dict(attrs).items() if k not in change} | {k: v for k, v in change.items() if v is not None}
-            raw = f"<{name}" + "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in kept.items()) + ("/>" if closed else ">")
+            if change or name != tag or appended and closed:
+                raw = f"<{name}" + "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in kept.items()) + ("/>" if closed and not appended else ">")
+            raw = (before or "") + (f"<{wrap}>{raw}" if wrap else raw)
+            after = f"</{wrap.split()[0]}>" if wrap else ""
+            if appended and closed:
+                raw += f"{appended}</{name}>{after}"
+            elif closed:
+                raw += after
+        else:
+            appended = text = None
         self.out.append(raw)
         if not closed:
-            self.open.append((tag, path, {}, name))
+            self.open.append((tag, path, {}, name, (escape(text, quote=False) if text is not None else appended or "", after)))
+            if text is not None and self.removed is None:
+                self.removed = path
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.start(tag, attrs, False)
@@ -177,13 +207,19 @@ class Rewriter(HTMLParser):
         self.start(tag, attrs, True)
 
     def handle_endtag(self, tag: str) -> None:
-        name = tag
+        name, appended, after = tag, "", ""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                name = self.open[i][3]
+                ends = self.open[i:]
+                name = ends[0][3]
+                appended, after = ends[0][4] or ("", "")
                 del self.open[i:]
+                if any(path == self.removed for _, path, *_ in ends):
+                    self.removed = None
+                    if ends[0][1] in self.edits and "remove" in self.edits[ends[0][1]]:
+                        return
                 break
-        self.out.append(f"</{name}>")
+        self.out.append(f"{appended}</{name}>{after}")
 
     def handle_data(self, data: str) -> None:
         self.out.append(data)
@@ -211,7 +247,7 @@ def rewrite_text(text: str, edits: dict[str, dict[str, str | None]]) -> str:
     parser = Rewriter(edits)
     parser.feed(text)
     parser.close()
-    return "".join(parser.out)
+    return "".join(parser.kept)
 
 
 def rewrite_entries(entries: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import changes
-from quire.plans import model, notes, views
+from quire.plans import edits, model, notes, views
 from quire.plans.checks import AFFECTED, CHECKS, run_checks
 from quire.sources import packages
 from quire.sources.markup import rewrite_entries, rewrite_text, shred, shred_text
@@ -210,3 +210,103 @@ def test_rewritten_markup(spark, pub):
     by_edit, _ = changes.set_attributes(pub.elements, edits)
     want = run_checks(pub._replace(elements=by_edit), ["img_alt", "heading_hierarchy"]).collect()
     assert sorted((r.book, r.rule) for r in run_checks(mended, ["img_alt", "heading_hierarchy"]).collect()) == sorted((r.book, r.rule) for r in want)
+
+
+def test_structural_rewrites():
+    text = '<body><p id="a">one <b>two</b><br/></p><sup>1</sup><aside>note <i>x</i></aside><table><tr><td>v</td></tr></table><img src="i"/></body>'
+    edits = {
+        "body[1]/p[1]": {"append": "<i>end</i>"}, "body[1]/sup[1]": {"wrap": 'a href="#n"'}, "body[1]/aside[1]": {"remove": ""}, "body[1]/table[1]/tr[1]": {"before": "<caption>c</caption>"}, "body[1]/img[1]": {"alt": "x"},
+    }
+    assert rewrite_text(text, edits) == '<body><p id="a">one <b>two</b><br/><i>end</i></p><a href="#n"><sup>1</sup></a><table><caption>c</caption><tr><td>v</td></tr></table><img src="i" alt="x"/></body>'
+    assert rewrite_text(text, {"body[1]/p[1]": {"text": "a < b"}, "body[1]/img[1]": {"remove": ""}}) == text.replace('one <b>two</b><br/>', "a &lt; b").replace('<img src="i"/>', "")
+    assert rewrite_text("<a><b>x<b>y</b></b>z</a>", {"a[1]/b[1]": {"remove": ""}}) == "<a>z</a>"
+
+
+def test_note_edits(spark, pub):
+    graph = notes.note_graph(pub)
+    at = {(r.doc, r.el_id, r.path.rsplit("/", 1)[-1]): r for r in graph.refs.where("book = 'trades'").collect()}
+    note = {r.el_id or r.path: r.note for r in graph.notes.where("book = 'trades'").collect()}
+    ref = {(r.el_id or r.tag + (r.marker or "")): r.ref for r in at.values()}
+    asked = spark.createDataFrame([
+        ("delete", None, note["n1"], None, None), ("delete", None, note["n9"], None, None), ("mark", None, note["n6"], "footnote", None), ("mark", None, note["n6"], "chapter", None), ("unmark", None, note["own"], "footnote", None),
+        ("link", ref["sup[6]"], note["n2"], None, None), ("link", ref["sup[7]"], note["n7"], None, None), ("link", ref["r5"], note["n2"], "http://x.org/#a", None), ("backlink", ref["q1"], note["n1"], None, "go < back"),
+        ("unlink", ref["r3"], None, None, None), ("mark", ref["r3"], "trades|text/four.xhtml|9999", "footnote", None), ("frame", None, None, None, None),
+    ], edits.ASKED)
+    made, refused = edits.note_edits(pub, graph, asked)
+    reasons = Counter((r.kind, (r.reason or "").split(" by ")[0]) for r in refused.collect())
+    assert reasons == {("delete", "referred to"): 1, ("mark", "type"): 1, ("link", "not declared"): 1, ("link", "external"): 1, ("mark", "nothing there"): 1, ("frame", "kind"): 1}
+    entries = rewrite_entries(pub.entries.where("book = 'trades'"), made)
+    again = notes.note_graph(model.publication(entries.where("name is not null")))
+    after = {r.el_id: r for r in again.notes.collect()}
+    assert "n9" not in after and after["n6"].declared and not after["own"].declared
+    linked = {r.marker: r for r in again.refs.where("tag = 'a'").collect()}
+    assert linked["[6]"].href == "#n2" and linked["[6]"].declared and linked["[6]"].status == "note"
+    assert linked["[3]"].href is None
+    assert ("go < back",) in [(r.text,) for r in again.backlinks.where("ref is not null").collect()]
+    held = edits.incoming_sources(pub, pub.elements.where("book = 'trades' and doc = 'text/four.xhtml' and tag = 'aside'").select("book", "doc", "eid"))
+    assert held.where("text = '[1]' and from_doc = 'text/five.xhtml'").count() == 1
+
+
+def test_change_log(spark, pub, tmp_path):
+    path = f"file://{tmp_path}/log"
+    asked = [("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/p[1]/img[1]", "alt", "a pier"), ("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/h4[1]", "heading_level", "3")]
+    rows = spark.createDataFrame(asked, "book string, doc string, path string, name string, value string")
+    one = pub.elements.where("book = 'trades'")
+    assert edits.read_log(spark, path).count() == 0
+    edits.append_change(path, edits.inverse_of(one, rows), "edit", "first")
+    changed, _ = changes.set_attributes(one, rows)
+    more = rows.withColumn("value", F.lit("2"))
+    edits.append_change(path, edits.inverse_of(changed, more), "edit", "second")
+    log = edits.read_log(spark, path)
+    assert [(r.id, r.summary) for r in log.orderBy("id").collect()] == [(1, "first"), (2, "second")] and log.where("at rlike '^\\\\d{4}-\\\\d\\\\d-\\\\d\\\\dT[0-9:]{8}$'").count() == 2
+    assert {(r.name, r.value) for r in edits.last_inverse(log).collect()} == {("alt", "a pier"), ("heading_level", "3")}
+    undone = log.unionByName(log.where("id = 2").withColumns({"id": F.lit(3).cast("long"), "kind": F.lit("undo")}))
+    back, _ = changes.set_attributes(changed, edits.last_inverse(undone))
+    assert {(r.name, r.value) for r in edits.last_inverse(undone).collect()} == {("alt", None), ("heading_level", "4")}
+    same = lambda df: sorted((r.path, r.tag, tuple(sorted(r.attrs.items()))) for r in df.collect())
+    assert same(back) == same(one)
+
+
+def test_table_edits_and_extent(spark, pub):
+    two = pub.elements.where("book = 'trades' and doc = 'text/two.xhtml'")
+    cells = model.table_cells(two).cache()
+    tables = sorted({r.table_eid for r in cells.collect()})
+    extent = {r.table_eid: (r.rows, r.cols) for r in views.grid_extent(cells).collect()}
+    assert extent[tables[0]] == (2, 2) and extent[tables[1]] == (3, 3)
+    key = ("trades", "text/two.xhtml")
+    captions = spark.createDataFrame([(*key, tables[0], "Wool & more"), (*key, tables[1], "Other"), (*key, 9999, "x")], "book string, doc string, table_eid int, caption string")
+    changed = spark.createDataFrame([(*key, tables[0], 0, 0, "th", "col"), (*key, tables[0], 1, 1, None, ""), (*key, tables[0], 7, 7, "th", None)], "book string, doc string, table_eid int, row int, col int, tag string, scope string")
+    heads = spark.createDataFrame([(*key, tables[0], 1, 0, 0, 0), (*key, tables[0], 1, 0, 0, 1), (*key, tables[0], 1, 0, 1, 0)], "book string, doc string, table_eid int, row int, col int, header_row int, header_col int")
+    made, skipped = views.table_edits(cells, two, captions, changed, heads)
+    assert Counter(r.reason for r in skipped.collect()) == {"no table": 1, "no cell": 1, "itself": 1}
+    entries = rewrite_entries(pub.entries.where("book = 'trades'"), made)
+    after = model.publication(entries.where("name is not null")).elements.where("doc = 'text/two.xhtml'")
+    assert [r.text for r in after.where("tag = 'caption'").orderBy("eid").collect()][:2] == ["Wool & more", "Other"]
+    got = {(r.table_eid, r.row, r.col): r for r in model.table_cells(after).collect()}
+    first = min(t for t, _, _ in got)
+    assert (got[first, 0, 0].tag, got[first, 0, 0].scope, got[first, 1, 1].scope) == ("th", "col", None)
+    assert got[first, 1, 0].headers == [got[first, 0, 0].id, got[first, 0, 1].id] and all(got[first, 1, 0].headers)
+
+
+def test_batches_in_full(pub):
+    graph = notes.note_graph(pub)
+    runs = notes.batches(graph).where("book = 'trades'").collect()
+    assert {(r.start, r.end, r.applicable, r.number) for r in runs} == {(6, 7, True, 6), (6, 7, True, 7)}
+    assert notes.unmatched(graph).where("book = 'trades'").count() == 0
+    kinds = {r.kind: r.json for r in notes.model_json(pub, graph).where("book = 'trades'").collect()}
+    assert set(kinds) == {"ref", "note", "edge", "batch"} and '"context":' in kinds["ref"]
+    found = run_checks(pub, ["heading_hierarchy", "img_alt"])
+    place = pub.elements.where("tag = 'section' and doc = 'text/one.xhtml'").select("book", "doc", "path")
+    from quire.plans.checks import inside
+
+    assert inside(found, place).where("book = 'trades'").count() == 2
+    assert views.illegal_lists(pub.elements.where("book = 'trades' and doc = 'text/three.xhtml'")).where("illegal").count() >= 1
+
+
+def test_books_of_one_name(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.epub").write_bytes(publications.package())
+    (tmp_path / "a" / "y.EPUB").write_bytes(publications.package())
+    names = {r.book for r in packages.read_packages(spark, f"file://{tmp_path}/*/*").select("book").distinct().collect()}
+    assert "y" in names and len(names) == 3 and {n.rsplit("/", 2)[-2] for n in names - {"y"}} == {"a", "b"}
