@@ -59,3 +59,30 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.agg(F.max("length")).first()[0] <= 2048 and out.count() > 0
+
+
+def run_stages(spark, df):
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        assert name == "pack_sequences" or out.columns == df.columns
+        df = spark.createDataFrame(out.collect(), out.schema)
+        counts.append(df.count())
+    return counts, df
+
+
+def test_odd_rows(spark, docs, odd, none):
+    clashing = {"id": F.lit("x"), "key": F.lit(1), "ref": F.lit(None).cast("int"), "rank": F.lit(2), "component": F.lit("c"), "lead": F.lit(3), "hash": F.lit(4), "whole": F.lit(5)}
+    counts, pieces = run_stages(spark, odd.union(docs.limit(40)).withColumns(clashing))
+    assert all(counts) and pieces.agg(F.max("length")).first()[0] <= 2048
+    counts, _ = run_stages(spark, none.withColumns(clashing))
+    assert counts == [0] * 5
+
+
+def test_odd_rows_stage_by_stage(spark, odd):
+    """Rows that the first stage rejects are no trouble to the later ones."""
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, odd, SF)
+        assert out.count() > 0 and (name == "pack_sequences" or out.columns == odd.columns)
+    assert {r.doc_id for r in corpus_pipeline.exact_copies(spark, odd, SF).collect()} == {2, 4, 5, 6, 7}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, odd, SF).collect()} == {1, 3, 7}
