@@ -36,12 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import over_texts, small_batches
+from quire.llm.common import over_texts, partitions_for, small_batches
 from quire.llm.ragged import U64, Words, runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
 
 WINDOW = 13
 MINIMISER = 3
 LONGER = 8
+#: Buckets of a task, so that tasks grow in number, not in size.
+TASK_BUCKETS = 4
 #: Classes of minimisers for each bucket.
 CLASSES = 4
 CHUNK_BYTES = 4 << 20
@@ -235,7 +237,8 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", *
 
 def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, longer: int = LONGER, buckets: int | None = None, chunk: int = CHUNK_BYTES, most: int = BUCKET_BYTES) -> DataFrame:
     longer = max(m, min(longer, k))
-    shared = rows.sparkSession.sparkContext.broadcast(homes_for(rows, k, m, longer, buckets, chunk, most))
+    homes = homes_for(rows, k, m, longer, buckets, chunk, most)
+    shared = rows.sparkSession.sparkContext.broadcast(homes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", chunk):
@@ -243,6 +246,7 @@ def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, longer: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "blob"])
 
     blobs = over_texts(rows, deal, "bucket long, blob binary")
+    blobs = blobs.repartition(partitions_for(rows, (homes.buckets + homes.more) // TASK_BUCKETS), "bucket")
     return blobs.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, k), SPANS)
 
 

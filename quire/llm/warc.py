@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_dir, small_batches, stored
+from quire.llm.common import partitions_for, shared_dir, small_batches, stored
 
 LEAST = 100
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 4
+#: Archives of a task that reads records, so that tasks grow in number, not in size.
+TASK_ARCHIVES = 8
 DATE = "2000-01-01T00:00:00Z"  # crawl times aren't among the inputs; a fixed one keeps reruns equal
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -225,7 +227,8 @@ def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     entries = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("entries"))
-    return archives.select("archive", "bytes").join(entries, "archive").select("bytes", "entries").mapInArrow(work, RECORDS)
+    dealt = archives.select("archive", "bytes").repartition(partitions_for(archives, archives.count() // TASK_ARCHIVES), "archive")
+    return dealt.join(entries, "archive").select("bytes", "entries").mapInArrow(work, RECORDS)
 
 
 def write_tables(pages: DataFrame, folder: str, **options) -> tuple[str, str, str]:
