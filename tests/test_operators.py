@@ -118,8 +118,10 @@ def test_replace_and_new_only(spark):
 
 def test_reports(spark, tmp_path):
     found = spark.createDataFrame([("b", "c2", "<x>"), ("b", "c1", 'a&"'), ("b", "c1", None)], "book string, check string, msg string")
-    html = report.html_report(found, "book", "check", ["msg"], ["msg"]).first().html
-    assert "&lt;x&gt;" in html and "a&amp;&quot;" in html and html.index("c1 (2)") < html.index("c2 (1)") and ": 3</h1>" in html
+    parts = report.html_report(found, "book", "check", ["msg"], ["msg"], rows=1).orderBy("check", "part").collect()
+    assert [(r.check, r.part, r.n) for r in parts] == [("c1", 0, 2), ("c1", 1, 2), ("c2", 0, 1)]
+    assert parts[0].html == "<h2>b: c1 (2)</h2><table><tr><th>msg</th></tr><tr><td></td></tr></table>"
+    assert parts[1].html == "<table><tr><th>msg</th></tr><tr><td>a&amp;&quot;</td></tr></table>" and "&lt;x&gt;" in parts[2].html
     log = spark.createDataFrame([(i, "edit", i % 2) for i in range(5)], "id int, kind string, undone int")
     report.write_changes(log, f"file://{tmp_path}/csv", ["id", "kind", "undone"], "id", {"edit": "Edit"}, limit=3)
     rows = spark.read.csv(f"file://{tmp_path}/csv", header=True).collect()
