@@ -48,7 +48,7 @@ GRID = 256
 #: The shortest sequence that a power of two ends early, and what a sequence more is held to cost.
 LEAST_EVEN = 512
 EVEN_PENALTY = 8
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 BATCH_BYTES = 2 << 20
 
 
