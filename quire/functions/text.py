@@ -44,7 +44,7 @@ def chinese_number(text: Column) -> Column:
 
 
 #: The kinds of markers, each with the pattern of its number or sign (group 2) in the marker (group 1).
-NUMERAL = "零〇一二两三四五六七八九十"
+NUMERAL = "".join(DIGITS) + "十"
 MARKERS = {
     "circ": r"(([①-⑳]))",
     "paren": rf"([（(]\s*(\d{{1,3}}|[{NUMERAL}]{{1,4}})\s*[）)])",

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_external, reference_parts, relative, resolve, tokens
+from quire.functions.text import is_external, relative, tokens
 from quire.operators.changes import EDITABLE, apply_undo
 from quire.operators.lineage import cut
 from quire.operators.report import escaped
