@@ -14,6 +14,7 @@ from quire.llm.exact import exact_groups
 from quire.llm.language import identify, train
 from quire.llm.mixing import BLOCK_WORDS, REPEATS, SEED, SHARD_WORDS, SHARE, mix
 from quire.llm.packing import pack
+from quire.llm.periods import find_runs, with_planted_runs
 from quire.llm.simhash import near_groups
 from quire.llm.substring import remove_repeats
 from quire.llm.tokens import count_tokens
@@ -66,6 +67,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(with_planted_runs(documents(spark, sf_dir)))
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -153,7 +158,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts, op9_warc_normaliser, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts, op9_warc_normaliser, op10_licence_scan, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
