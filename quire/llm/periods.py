@@ -176,7 +176,7 @@ def candidates(texts: Texts, found: Suffixes, least: int) -> tuple[np.ndarray, n
     low = max(0, (least // 3).bit_length() - 1)  # blocks of so many words find all shorter periods, too
     longest = int(np.diff(texts.firsts).max(initial=0))
     places, distances = [], []
-    if low >= len(found.ranks):
+    if low >= len(found.ranks) or 3 << low > longest:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     repeats = found.sizes[low] > 1
     order = found.order[repeats[found.order]]  # what occurs once is in no range that is asked about
