@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import audio, conversations, licences, warc
+from quire.llm.classes import score
 from quire.llm.common import shared_dir
 from quire.llm.exact import exact_groups
 from quire.llm.language import identify, train
@@ -67,6 +68,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -162,7 +167,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts, op9_warc_normaliser, op10_licence_scan, op12_repair_conversations, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash_groups, op3_pack_sequences, op4_exact_dedup, op5_substring_dedup, op6_mpeg_audio, op7_language_id, op8_token_counts, op9_warc_normaliser, op10_licence_scan, op11_class_lm, op12_repair_conversations, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
