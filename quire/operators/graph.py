@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.lineage import cut
+from quire.operators.lineage import cut, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,16 +17,17 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
     Alternating large-star and small-star steps: each keeps the components and moves links nearer to the smallest
     node, until every link is one to it. Loops and rows with a null end are no links. Rounds grow with the logarithm
-    of the longest path; a round shuffles the links, no group of them is ever gathered.
+    of the longest path; a round shuffles the links, no group of them is ever gathered. The smallest neighbours are stored tables of a row a node, so
+    that adaptive execution splits the links of a node that very many have.
     """
     links = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
     links = cut(links)
     before, now = None, _mark(links)
     while before != now:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
+        # of a node without a smaller neighbour, so of every star's centre, the links stay as they are: it has no row in least
+        least = stored(links.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")))
+        large = stored(links.join(least, F.col("v") == F.col("of"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        least = stored(large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")))
         small = large.join(least, F.col("u") == F.col("of")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         links = cut(small.select("e.*").where("u > v").distinct())
         before, now = now, _mark(links)
@@ -80,19 +81,17 @@ def cycle_members(edges: DataFrame, u: str, v: str) -> DataFrame:
     """
     links = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null").distinct())
     loops = links.where("u = v").select(F.col("u").alias("node"))
-    links, size, gone, turn = links.where("u <> v"), -1, [], 0
+    links, gone, turn, size = links.where("u <> v"), [], 0, None
     while True:
-        links, taken = _spliced(cut(_trimmed(links)), turn)
-        turned = links.where("u = v").select(F.col("u").alias("node"))
-        links, turn = cut(links), turn + 1
-        if taken.limit(1).count():
-            gone.append(taken)
-        loops = loops.union(turned)
-        links = links.where("u <> v")
+        links = cut(_trimmed(links))
         left = links.count()
-        if left == size or not left:
+        if not left or size is not None and left > 0.9 * size:
             break
-        size = left
+        spliced, taken = _spliced(links, turn)
+        spliced, size, turn = cut(spliced), left, turn + 1
+        # a chain that led back to its start is a loop now: a cycle that its node stands for
+        gone.append((taken, spliced.where("u = v").select(F.col("u").alias("node"))))
+        links = spliced.where("u <> v")
     found = cut(links.where("false").select(F.col("u").alias("node"), F.col("u").alias("label")))
     while left:
         nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -107,10 +106,12 @@ def cycle_members(edges: DataFrame, u: str, v: str) -> DataFrame:
         links = within.join(done, F.col("u") == F.col("_n"), "left_anti").join(done, F.col("v") == F.col("_n"), "left_anti")
         links = cut(_trimmed(links))
         left = links.count()
+    alone = lambda nodes: nodes.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
     # nodes taken out come back where both of their neighbours are in one component, the last ones first
-    found = cut(found.union(loops.distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))))
-    for taken in reversed(gone):
+    for taken, turned in reversed(gone):
+        found = cut(found.union(alone(turned)))
         a, b = (found.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
         found = cut(found.union(taken.join(a, "a").join(b, "b").where("_a = _b").select("x", "_a")))
+    found = cut(found.union(alone(loops)))
     least = found.groupBy("label").agg(F.min("node").alias("component"))
     return found.join(least, "label").select("node", "component")

@@ -509,6 +509,23 @@ def list_rules(spark, d):
     return by_rule(checks.run_checks(made_publication(variants(spark, d, "o_orderkey", LISTS)), ["list_a11y"]))
 
 
+@query("""
+SELECT o_orderkey || '.xhtml' AS doc, rule, 1::BIGINT AS n FROM (
+  SELECT o_orderkey, CASE WHEN first = last AND first < 2 AND between = 0 THEN 'LST.SPLIT' WHEN first = last AND first < 2 AND between IN (2, 3, 4) THEN 'LST.INTERRUPTED' WHEN first = 2 AND last = 2 AND between IN (0, 2, 3, 4) THEN 'LST.PARA_RUN' END AS rule
+  FROM (SELECT o_orderkey, o_custkey % 3 AS first, o_orderkey // 3 % 6 AS between, day(o_orderdate) % 3 AS last FROM orders)
+) WHERE rule IS NOT NULL""")
+def list_neighbours(spark, d):
+    """Each order as a list or numbered paragraph, something or nothing, and another; by its customer, number and day."""
+    pick = lambda choices, by: F.element_at(F.array(*[F.lit(x) for x in choices]), (by + 1).cast("int"))
+    whole = ["<ul><li>a</li></ul>", "<ol><li>a</li></ol>"]
+    between = ["", "<nav><p>n</p></nav>", "<aside epub:type='footnote'>f</aside>", "<aside>s</aside>", "<h2>h</h2>", "<p>plain</p>"]
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    body = F.concat(pick([*whole, "<p>1. one</p>"], F.col("o_custkey") % 3), pick(between, F.floor(F.col("o_orderkey") / 3) % 6), pick([*whole, "<p>2. two</p>"], F.dayofmonth("o_orderdate") % 3))
+    html = F.concat(F.lit("<html lang='en'><body>"), body, F.lit("</body></html>"))
+    pages = orders.select(F.concat(F.lit("b"), F.col("o_orderkey") % 97).alias("book"), F.concat("o_orderkey", F.lit(".xhtml")).alias("doc"), html.alias("html"))
+    return by_rule(checks.run_checks(made_publication(pages), ["list_a11y"]))
+
+
 def ref_to(id: str, target: str, number: int = 1) -> str:
     return f"<p>t<a epub:type='noteref' id='{id}' href='{target}'>[{number}]</a></p>"
 

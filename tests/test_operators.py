@@ -79,9 +79,9 @@ def test_graphs(spark):
                 reach[a] |= {y for x, y in edges if x in reach[a]} | {x for x, y in edges if y in reach[a] and x is not None}
         df = spark.createDataFrame(edges, "a int, b int")
         cycles = {a: min(b for b in range(n) if b in way[a] and a in way[b]) for a in range(n) if a in way[a]}
-        assert {r.node: r.component for r in graph.cycle_members(df, "a", "b").collect()} == cycles
+        assert sorted(map(tuple, graph.cycle_members(df, "a", "b").collect())) == sorted(cycles.items())
         linked = {a: min(reach[a]) for a in range(n) if len(reach[a]) > 1}
-        assert {r.node: r.component for r in graph.connected_components(df, "a", "b").collect()} == linked
+        assert sorted(map(tuple, graph.connected_components(df, "a", "b").collect())) == sorted(linked.items())
 
 
 def test_long_path_is_one_component(spark):
@@ -135,5 +135,36 @@ def test_cycles_of_chains(spark):
     bridge = [(399, 2000), (5, 1000)]
     loop = [(3000, 3000), (3001, 3000), (3000, 3002)]
     df = spark.createDataFrame(ring + tail + eight + bridge + loop, "a int, b int")
-    got = {r.node: r.component for r in graph.cycle_members(df, "a", "b").collect()}
+    rows = graph.cycle_members(df, "a", "b").collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got)
     assert got == {i: 0 for i in range(400)} | {i: 2000 for i in range(2000, 2005)} | {3000: 3000}
+
+
+def reachable(edges):
+    nodes = sorted({x for e in edges for x in e})
+    way = {a: {b for x, b in edges if x == a} for a in nodes}
+    for _ in nodes:
+        way = {a: way[a].union(*[way[b] for b in way[a]]) for a in nodes}
+    return sorted((a, min(b for b in nodes if b in way[a] and a in way[b])) for a in nodes if a in way[a])
+
+
+def test_loops_within_cycles(spark):
+    """A node with a loop is one row, whether chains take it out or not."""
+    draw = random.Random(11)
+    graphs = [[(3, 3), (1, 3), (3, 2), (2, 1)], [(1, 1), (2, 1), (1, 3), (3, 2)], [(5, 6), (6, 5), (6, 6), (6, 7), (7, 8), (8, 6), (5, 5)], [(9, 9), (9, 10), (10, 11)]]
+    graphs += [[(draw.randrange(9), draw.randrange(9)) for _ in range(draw.randrange(4, 14))] for _ in range(12)]
+    # side by side in one table: numbers far apart
+    edges = [(a + 1000 * k, b + 1000 * k) for k, g in enumerate(graphs) for a, b in g]
+    edges += [(a + 1000 * k + 30, b + 1000 * k + 30) for k, g in enumerate(graphs) for a, b in g]  # other numbers, another draw of who leaves a chain first
+    want = sorted(r for k, g in enumerate(graphs) for shift in (1000 * k, 1000 * k + 30) for r in reachable([(a + shift, b + shift) for a, b in g]))
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, graph.cycle_members(df, "a", "b").collect())) == want
+
+
+def test_a_star_of_links(spark):
+    """The links of a centre, smallest or largest of its component, spread over tasks."""
+    n = 3000
+    star = spark.range(1, n).selectExpr("id AS a", "0 AS b").union(spark.range(n + 1, 2 * n).selectExpr(f"{2 * n} AS a", "id AS b"))
+    got = {(r.node, r.component) for r in graph.connected_components(star, "a", "b").collect()}
+    assert got == {(i, 0) for i in range(n)} | {(i, n + 1) for i in range(n + 1, 2 * n + 1)}
