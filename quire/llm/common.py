@@ -28,9 +28,9 @@ def id_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("null"))
 
 
-def partitions_for(rows: DataFrame, wanted: int, most: int = 20_000) -> int:
-    """A number of partitions that grows with the data: `wanted`, but no less than the session's own and at most `most`."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, most))
+def partitions_for(rows: DataFrame, wanted: int) -> int:
+    """A number of partitions that grows with the data: `wanted`, but no less than the session's own."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 #: Rows of texts that go to a Python worker at once, at most; Spark's own default, 10,000, is for short rows.

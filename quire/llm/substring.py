@@ -7,9 +7,10 @@ the strings of a chunk that go to one bucket are compressed together. In the buc
 equal hashes are compared in full, byte by byte, and each window's smallest document follows exactly.
 
 Common phrases: a minimiser of many windows, each in other surroundings, would make a bucket as large as its share of
-the corpus. So a first pass sums what goes to each of many classes of minimisers; windows of a class of more than a
-bucket's size are led by the smallest hash of their longer runs, of `LONGER` words, instead. Which of the two it is depends on
-the window's words alone, so that equal windows still meet. What is broadcast is a bit a class: one for each half MB of text.
+the corpus. So a first pass sums what goes to each of CLASSES classes of minimisers, and to each class of longer ones, the smallest hashes of
+runs of `LONGER` words. Windows of a heavy class, of more than a bucket's size or four times the mean, go by their longer minimiser, and where that one's class
+is heavy as well, by the hash of all their words, each on its own. Which of the three it is depends on
+the window's words alone, so that equal windows still meet. What is broadcast is two bits a class, whatever the size of the corpus.
 
 Common passages: where a chunk of text has a super-k-mer in several documents, only the smallest of them goes to
 the bucket. The chunk itself decides about the others, which that document suffices to condemn. So a bucket gets
@@ -44,8 +45,8 @@ MINIMISER = 3
 LONGER = 8
 #: Buckets of a task, so that tasks grow in number, not in size.
 TASK_BUCKETS = 4
-#: Classes of minimisers for each bucket.
-CLASSES = 4
+#: Classes of minimisers that are weighed.
+CLASSES = 1 << 22
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null identifier
@@ -102,28 +103,40 @@ def leaders(hashes: np.ndarray, docs: np.ndarray, body: np.ndarray, starts: np.n
 
 
 class Homes(NamedTuple):
-    """Where windows go: to one of `buckets` by their minimiser, those of a heavy class to one of `more` by their longer one."""
+    """Where windows go: to one of buckets[0] by their minimiser, those of a heavy class to one of buckets[1] by their longer one, and those of two to one of buckets[2] by all their words."""
 
-    buckets: int
-    heavy: np.ndarray  # of each class of minimisers
-    more: int
+    buckets: tuple[int, int, int]
+    heavy: tuple[np.ndarray, np.ndarray]  # a bit for each class of minimisers and of longer ones
+
+
+def is_heavy(bits: np.ndarray, of: np.ndarray) -> np.ndarray:
+    at = of % U64(8 * len(bits))
+    return bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 == 1
+
+
+def least_runs(hashes: np.ndarray, k: int, width: int) -> np.ndarray:
+    """The smallest hash of the runs of `width` words in the window of k words that begins at each word."""
+    n = len(hashes) - width + 1
+    return sliding_min(sequence_hashes(hashes, np.arange(n), np.full(n, width)), k - width + 1)
 
 
 def homes_of(hashes: np.ndarray, k: int, m: int, longer: int, homes: Homes) -> tuple[np.ndarray, np.ndarray]:
-    """(minimiser, whether it is of the longer runs) of the windows that begin at each word."""
-    n = len(hashes)
-    runs = lambda width: sliding_min(sequence_hashes(hashes, np.arange(n - width + 1), np.full(n - width + 1, width)), k - width + 1)
-    least = runs(m)
-    heavy = homes.heavy[(least % U64(len(homes.heavy))).astype(np.int64)]
-    return (np.where(heavy, runs(longer), least) if heavy.any() else least), heavy
+    """(what leads the windows that begin at each word, which of the three it is)"""
+    least = least_runs(hashes, k, m)
+    heavy = is_heavy(homes.heavy[0], least)
+    if not heavy.any():
+        return least, heavy.astype(np.int8)
+    long = least_runs(hashes, k, longer)
+    both = heavy & is_heavy(homes.heavy[1], long)
+    return np.where(both, least_runs(hashes, k, k), np.where(heavy, long, least)), heavy.astype(np.int8) + both
 
 
 class Cut(NamedTuple):
     words: Words
     first: np.ndarray  # word of each super-k-mer
     count: np.ndarray  # its windows
-    home: np.ndarray  # its minimiser
-    heavy: np.ndarray
+    home: np.ndarray  # what leads it
+    level: np.ndarray  # which of the three that is
     start: np.ndarray  # its first byte
     length: np.ndarray
 
@@ -133,10 +146,10 @@ def super_kmers(texts: pa.Array, k: int, m: int, longer: int, homes: Homes) -> C
     n = len(words.starts)
     if n < k:
         return None
-    least, heavy = homes_of(words.hashes, k, m, longer, homes)
+    least, level = homes_of(words.hashes, k, m, longer, homes)
     valid = np.arange(n - k + 1) + k <= words.firsts[words.text[: n - k + 1] + 1]
     new = valid.copy()
-    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (heavy[1:] != heavy[:-1])
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (level[1:] != level[:-1])
     edges = np.flatnonzero(new | ~valid)
     first = edges[valid[edges]]
     if not len(first):
@@ -144,7 +157,12 @@ def super_kmers(texts: pa.Array, k: int, m: int, longer: int, homes: Homes) -> C
     count = np.diff(np.append(edges, n - k + 1))[valid[edges]]
     last = first + count + k - 2
     start = words.starts[first]
-    return Cut(words, first, count, least[first], heavy[first], start, words.starts[last] + words.lengths[last] - start)
+    return Cut(words, first, count, least[first], level[first], start, words.starts[last] + words.lengths[last] - start)
+
+
+def bucket_of(home: np.ndarray, level: np.ndarray, homes: Homes) -> np.ndarray:
+    sizes = np.array(homes.buckets, U64)
+    return (home % sizes[level] + np.concatenate([[U64(0)], np.cumsum(sizes)])[level]).astype(np.int64)
 
 
 def dealt(batch: pa.RecordBatch, k: int, m: int, longer: int, homes: Homes) -> Iterator[tuple[int, bytes]]:
@@ -152,16 +170,16 @@ def dealt(batch: pa.RecordBatch, k: int, m: int, longer: int, homes: Homes) -> I
     found = super_kmers(batch.column("text"), k, m, longer, homes)
     if found is None:
         return
-    words, first, count, home, heavy, start, length = found
+    words, first, count, home, level, start, length = found
     text = words.text[first]
     at = (first - words.firsts[text]).astype(np.int32)
     owner, *tags = (batch.column(c).fill_null(LAST).to_numpy()[text] for c in ("id", "tag", "tag2"))
     smallest, _ = leaders(sequence_hashes(words.hashes, first, count + k - 1), owner, words.packed, start, length)
     beaten = owner > smallest
     done = [owner[beaten], *(t[beaten] for t in tags), at[beaten], (at[beaten] + count[beaten] + k - 1).astype(np.int32)]
-    bucket = np.where(heavy, U64(homes.buckets) + home % U64(homes.more), home % U64(homes.buckets)).astype(np.int64)
+    bucket = bucket_of(home, level, homes)
     if len(done[0]):
-        yield int(words.hashes[0] % U64(homes.buckets)), seal([x[:0] for x in (owner, *tags, at, at)], words.packed[:0], done)
+        yield int(words.hashes[0] % U64(homes.buckets[0])), seal([x[:0] for x in (owner, *tags, at, at)], words.packed[:0], done)
     rest = np.flatnonzero(~beaten)
     rest = rest[np.argsort(bucket[rest], kind="stable")]
     own = bucket[rest]
@@ -206,25 +224,29 @@ def tagged(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def homes_for(rows: DataFrame, k: int, m: int, longer: int, buckets: int | None, chunk: int, most: int) -> Homes:
-    """Sums the bytes of each class of minimisers over all rows; a class of more than `most` bytes is heavy."""
-    if buckets is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(16, -(-size // BUCKET_BYTES))
-    classes = CLASSES * buckets
-    plain = Homes(buckets, np.zeros(classes, bool), 1)
+    """Sums, over all rows, the bytes of each class of minimisers and of longer ones; of equal strings in a chunk one counts."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(16, -(-size // BUCKET_BYTES))
+    light = np.zeros(CLASSES // 8, np.uint8)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", chunk):
-            found = super_kmers(batch.column("text"), k, m, longer, plain)
-            if found is not None:
-                some, at = np.unique((found.home % U64(classes)).astype(np.int64), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, found.length).astype(np.int64))], ["class", "size"])
+            for level, width in enumerate((m, longer)):
+                found = super_kmers(batch.column("text"), k, width, longer, Homes((1, 1, 1), (light, light)))
+                if found is None:
+                    continue
+                _, one = np.unique(sequence_hashes(found.words.hashes, found.first, found.count + k - 1), return_index=True)
+                some, at = np.unique((found.home[one] % U64(CLASSES)).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some + level * CLASSES), pa.array(np.bincount(at, found.length[one]).astype(np.int64))], ["class", "size"])
 
     sizes = over_texts(rows.select("text"), weigh, "class long, size long").groupBy("class").agg(F.sum("size").alias("size"))
-    large = sizes.where(F.col("size") > most).toArrow()  # at most as many as classes, of which there are CLASSES for BUCKET_BYTES of text
-    heavy = np.zeros(classes, bool)
-    heavy[large.column("class").to_numpy()] = True
-    return Homes(buckets, heavy, max(1, -(-2 * int(large.column("size").to_numpy().sum()) // max(most, 1 << 14))))
+    large = sizes.where(F.col("size") > (max(most, 4 * size // CLASSES) if most else 0)).toArrow()  # at most two rows a class
+    at, size = large.column("class").to_numpy(), large.column("size").to_numpy()
+    heavy = np.zeros(2 * CLASSES, bool)
+    heavy[at] = True
+    more = [max(1, -(-2 * int(size[at // CLASSES == level].sum()) // max(most, 1 << 14))) for level in (0, 1)]
+    # a window that goes on its own has k words, where a super-k-mer has about two a window
+    return Homes((buckets, more[0], min(more[0], more[1]) * k // 2 + 1), tuple(np.packbits(x, bitorder="little") for x in np.split(heavy, 2)))
 
 
 def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -246,7 +268,7 @@ def spans_of(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, longer: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "blob"])
 
     blobs = over_texts(rows, deal, "bucket long, blob binary")
-    blobs = blobs.repartition(partitions_for(rows, (homes.buckets + homes.more) // TASK_BUCKETS), "bucket")
+    blobs = blobs.repartition(partitions_for(rows, sum(homes.buckets) // TASK_BUCKETS), "bucket")
     return blobs.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, k), SPANS)
 
 

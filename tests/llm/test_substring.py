@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import substring
@@ -46,27 +47,33 @@ def test_heavy_minimisers(docs):
     assert run(docs, k=5, m=2, most=3000) == brute(docs.collect(), 5)
 
 
-def test_a_common_phrase_is_dealt_out(spark):
+@pytest.mark.parametrize("size", [3, 8, 12])
+def test_a_common_phrase_is_dealt_out(spark, size):
+    """A phrase that many documents have, with other words around it, whose runs are the minimisers of most windows that have them."""
     import random
 
     import pyarrow as pa
 
     from quire.llm.ragged import scan_words, sequence_hashes, text_bytes
 
-    phrases = [f"p{i} q{i} r{i}" for i in range(300)]
-    hashes = scan_words(*text_bytes(pa.array(phrases))).hashes
-    phrase = phrases[int(sequence_hashes(hashes, np.arange(0, 900, 3), np.full(300, 3)).argmin())].split()  # the minimiser of most windows that have it
+    width = min(size, 8)
+    phrases = [[f"p{i}n{j}" for j in range(size)] for i in range(300)]
+    least = lambda p, w: min(sequence_hashes(h := scan_words(*text_bytes(pa.array([" ".join(p)]))).hashes, np.arange(len(h) - w + 1), np.full(len(h) - w + 1, w)))
+    phrase = min(phrases, key=lambda p: least(p, width))
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = [" ".join(x for _ in range(12) for x in (*rng.choices(vocabulary, k=9), *phrase)) for _ in range(1500)]
     rows = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "id long, tag long, tag2 long, text string")
     homes = substring.homes_for(rows, 13, 3, 8, 64, 1 << 20, 20_000)
+    assert all(len(x) == substring.CLASSES // 8 for x in homes.heavy)
     sizes = {}
-    for of, where in (("plain", homes._replace(heavy=homes.heavy & False)), ("dealt", homes)):
+    for of, where in (("plain", homes._replace(heavy=(homes.heavy[0] & 0,) * 2)), ("two", homes._replace(heavy=(homes.heavy[0], homes.heavy[1] & 0))), ("dealt", homes)):
         cut = substring.super_kmers(pa.array(texts), 13, 3, 8, where)
-        bucket = np.where(cut.heavy, cut.home % np.uint64(homes.more) + np.uint64(64), cut.home % np.uint64(64)).astype(np.int64)
-        sizes[of] = np.bincount(bucket, cut.length)
-    assert sizes["plain"].max() > 3 * sizes["plain"].mean() and sizes["dealt"].max() < 100_000 < sizes["plain"].max()
+        sizes[of] = np.bincount(substring.bucket_of(cut.home, cut.level, where), cut.length)
+    assert sizes["plain"].max() > 2 * sizes["plain"].mean() and sizes["dealt"].max() < 100_000 < sizes["plain"].max()
+    assert size < 8 or sizes["two"].max() > 2 * sizes["dealt"].max()
+    few = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:60])], "doc_id long, text string")
+    assert run(few, most=20_000, buckets=16) == brute(few.collect(), 13)
 
 
 def test_null_identifiers(spark):
