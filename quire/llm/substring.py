@@ -7,10 +7,10 @@ the strings of a chunk that go to one bucket are compressed together. In the buc
 equal hashes are compared in full, byte by byte, and each window's smallest document follows exactly.
 
 Common phrases: a minimiser of many windows, each in other surroundings, would make a bucket as large as its share of
-the corpus. So a first pass sums what goes to each of CLASSES classes of minimisers, and to each class of longer ones, the smallest hashes of
-runs of `LONGER` words. Windows of a heavy class, of more than a bucket's size or four times the mean, go by their longer minimiser, and where that one's class
+the corpus. So a first pass estimates, from a part of all strings, what goes to each of many classes of minimisers, and to each class of longer ones, the
+smallest hashes of runs of `LONGER` words. Windows of a heavy class, of more than a bucket's size or four times the mean, go by their longer minimiser, and where that one's class
 is heavy as well, by the hash of all their words, each on its own. Which of the three it is depends on
-the window's words alone, so that equal windows still meet. What is broadcast is two bits a class, whatever the size of the corpus.
+the window's words alone, so that equal windows still meet. What is broadcast is two bits a class, of at most MOST_CLASSES.
 
 Common passages: where a chunk of text has a super-k-mer in several documents, only the smallest of them goes to
 the bucket. The chunk itself decides about the others, which that document suffices to condemn. So a bucket gets
@@ -38,15 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import over_texts, partitions_for, small_batches
-from quire.llm.ragged import U64, Words, runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
+from quire.llm.ragged import U64, Words, mixed, runs_of, scan_words, sequence_hashes, sliding_min, spans, text_bytes
 
 WINDOW = 13
 MINIMISER = 3
 LONGER = 8
 #: Buckets of a task, so that tasks grow in number, not in size.
 TASK_BUCKETS = 4
-#: Classes of minimisers that are weighed.
-CLASSES = 1 << 22
+#: Classes of minimisers: CLASSES for each bucket, but at most MOST_CLASSES, which bounds what is broadcast.
+CLASSES = 4
+MOST_CLASSES = 1 << 24
+#: One in so many strings is weighed. It decides about the way of windows, not about the result.
+SAMPLE = 16
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null identifier
@@ -224,10 +227,11 @@ def tagged(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def homes_for(rows: DataFrame, k: int, m: int, longer: int, buckets: int | None, chunk: int, most: int) -> Homes:
-    """Sums, over all rows, the bytes of each class of minimisers and of longer ones; of equal strings in a chunk one counts."""
+    """Estimates the bytes of each class of minimisers and of longer ones, over all rows; of equal strings in a chunk one counts."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(16, -(-size // BUCKET_BYTES))
-    light = np.zeros(CLASSES // 8, np.uint8)
+    classes = min(MOST_CLASSES, 1 << max(12, (CLASSES * buckets - 1).bit_length()))
+    light = np.zeros(classes // 8, np.uint8)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", chunk):
@@ -235,16 +239,17 @@ def homes_for(rows: DataFrame, k: int, m: int, longer: int, buckets: int | None,
                 found = super_kmers(batch.column("text"), k, width, longer, Homes((1, 1, 1), (light, light)))
                 if found is None:
                     continue
-                _, one = np.unique(sequence_hashes(found.words.hashes, found.first, found.count + k - 1), return_index=True)
-                some, at = np.unique((found.home[one] % U64(CLASSES)).astype(np.int64), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(some + level * CLASSES), pa.array(np.bincount(at, found.length[one]).astype(np.int64))], ["class", "size"])
+                hashes, one = np.unique(sequence_hashes(found.words.hashes, found.first, found.count + k - 1), return_index=True)
+                one = one[mixed(hashes + found.start[one].astype(U64)) % U64(SAMPLE) == 0]
+                some, at = np.unique((found.home[one] % U64(classes)).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some + level * classes), pa.array((SAMPLE * np.bincount(at, found.length[one])).astype(np.int64))], ["class", "size"])
 
     sizes = over_texts(rows.select("text"), weigh, "class long, size long").groupBy("class").agg(F.sum("size").alias("size"))
-    large = sizes.where(F.col("size") > (max(most, 4 * size // CLASSES) if most else 0)).toArrow()  # at most two rows a class
+    large = sizes.where(F.col("size") > (max(most, 4 * size // classes) if most else 0)).toArrow()  # at most two rows a class
     at, size = large.column("class").to_numpy(), large.column("size").to_numpy()
-    heavy = np.zeros(2 * CLASSES, bool)
+    heavy = np.full(2 * classes, not most)
     heavy[at] = True
-    more = [max(1, -(-2 * int(size[at // CLASSES == level].sum()) // max(most, 1 << 14))) for level in (0, 1)]
+    more = [max(1, -(-2 * int(size[at // classes == level].sum()) // max(most, 1 << 14))) for level in (0, 1)]
     # a window that goes on its own has k words, where a super-k-mer has about two a window
     return Homes((buckets, more[0], min(more[0], more[1]) * k // 2 + 1), tuple(np.packbits(x, bitorder="little") for x in np.split(heavy, 2)))
 
