@@ -9,6 +9,9 @@ are matched against ordered rules, each a run of neighbouring identifiers and th
 rules come first, and what one rule has matched is no longer there for the next, so a licence that contains
 another's sentences isn't reported as both.
 
+Some sentences have places for names, of holders or of who disclaims. Before a text is cut, each such place, of at most GAP characters, gets the
+words that the table has there, so that neither a name nor a stop in it (`Inc.`) matters: a licence with a clause about someone's name isn't taken for the one without.
+
 The tables are fixed and small; they are literals of the plan. Nothing is shuffled.
 
 Edge cases: a null or empty text has no sentences and no licence. A text of one very long sentence is one unknown
@@ -36,6 +39,7 @@ SENTENCES = {
     7: "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     8: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     9: "This project is licensed under the MIT License",
+    10: "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
     11: "Licensed under the Apache License, Version 2.0",
     12: "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
     13: "You may obtain a copy of the License at",
@@ -135,7 +139,7 @@ def rules_of(kind: str, **licences: list) -> list[Rule]:
 
 #: The rules, in the order in which they are tried among rules of equally many sentences. A name's _ is -, its __ is a point.
 RULES = [
-    *rules_of("permissive", MIT=[(3, 4, 5, 7), (3, 4, 5), (3, 4), 1, 2, 6, 9], MIT_0=[(8, 5, 7), (8, 5)], Apache_2__0=[(12, 13, 14), (12, 19), (12, 20), 12, 11, 15, 16, 17, 18]),
+    *rules_of("permissive", MIT=[(3, 4, 5, 7), (3, 4, 5), (3, 4), 1, 2, 6, 9], MIT_0=[(8, 5, 7), (8, 5)], Apache_2__0=[(12, 13, 14), (12, 19), (12, 20), (10, 13, 14), 12, 10, 11, 15, 16, 17, 18]),
     *rules_of("permissive", BSD_4_Clause=[(71, 31, 32, 33, 37), (31, 32, 33, 37)], BSD_3_Clause=[(71, 31, 32, 33, 34), (31, 32, 33, 34), 36], BSD_2_Clause=[(71, 31, 32, 33), (31, 32, 33), 35], ISC=[(41, 5), 41, 43, 42], **{"0BSD": [(44, 5), 44, 45]}),
     *rules_of("permissive", CC_BY_4__0=[52, 54, 57], CC0_1__0=[121, 122, 123, 124], Unlicense=[(131, 132), 131, 133], BSL_1__0=[141, 142, 143]),
     *rules_of("copyleft", GPL_3__0_or_later=[(22, 23, 24), 22, 26], GPL_3__0_only=[21, 25], GPL_3__0=[(27, 28), 27, 28, 29], GPL_2__0_or_later=[(81, 23, 24), 81, 85], GPL_2__0_only=[82, 83, 84], GPL_2__0=[86, 88]),
@@ -144,6 +148,17 @@ RULES = [
     *rules_of("restricted", CC_BY_NC_4__0=[51, 55, 59], proprietary=[71]),
 ]
 
+#: Characters of a name.
+GAP = 300
+#: Sentences with a place for a name: a word that they have, what stands before the name and after it, and the words that the table has in between. A blank is any white space.
+SLOTS = [
+    ("endorse", "neither the (?:names?|trademarks?) (?:of )?", "may be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("endorse", "the names? of ", "may not be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("liable", "in no event shall ", "be liable for any claim, damages or other liability", "in no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
+    ("express", "this software is provided by ", "and any express", 'this software is provided by the copyright holders and contributors "as is" and any express'),
+    ("waived", "to the extent possible under law, ", "has waived all copyright", "to the extent possible under law, the author has waived all copyright"),
+]
+
 #: What a line loses at its beginning: a comment sign and a list number. Lines end at \n; the flags of Java's patterns say so.
 LEADERS = r"(?md)^[ \t]*(?:(?://+|#+|/?\*+/?|;+|--+|%+|<!--)[ \t]*)?(?:\(?(?:[0-9]{1,3}|[a-z]|[ivx]{2,4})[.)][ \t]+)?"
 COPYRIGHT = r"(?md)^(copyright[ \t][^\n]*)\n"
@@ -152,6 +167,10 @@ ENDS = r"[.!?:][ \t]*\n|[.!?:][ \t]+|\n[ \t]*\n"
 KINDS = ("restricted", "copyleft", "permissive")
 
 
+def slot_pattern(before: str, after: str) -> str:
+    return f"{before}.{{1,{GAP}}}?{after}".replace(" ", r"[ \t\n]+")
+
+
 def sentences_of(text: str) -> list[str]:
     """The normalised sentences of a table's text: the same cuts as a document's, with Python's patterns."""
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -178,6 +197,8 @@ def sequence(text: Column, sentences: Mapping[int, str]) -> tuple[Column, Column
     names = known(sentences)[0]
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz")
     plain = F.regexp_replace(F.regexp_replace(lowered, LEADERS, ""), COPYRIGHT, "$1\n\n")
+    for hint, before, after, words in SLOTS:
+        plain = F.when(F.contains(plain, F.lit(hint)), F.regexp_replace(plain, "(?s)" + slot_pattern(before, after), words)).otherwise(plain)
     clean = lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " "))
     table = F.create_map(*[F.lit(x) for name, n in names.items() for x in (name, f",{n};")])
     of = lambda p: F.try_element_at(table, clean(p))
@@ -212,6 +233,7 @@ def scan_sql(sentences: Mapping[int, str] = SENTENCES, rules: Sequence[Rule] = R
     """The same as DuckDB SQL over documents, from the two tables alone: the SQL cuts and numbers the known sentences itself."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     texts = ", ".join(f"({n}, {quoted(t)})" for n, t in sentences.items())
+    w = "[ \\t\\n]+"
     listed = ", ".join(f"({i}, {quoted(r.licence)}, {quoted(r.kind)}, {list(r.sentences)})" for i, r in enumerate(rules))
     return f"""
 WITH RECURSIVE table_texts(number, body) AS (VALUES {texts}), table_rules(place, licence, kind, numbers) AS (VALUES {listed}),
@@ -221,8 +243,15 @@ bodies AS (
 ), bare AS (
   SELECT is_table, id, nth, regexp_replace(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz'),
     '(?m)^[ \\t]*(?:(?://+|#+|/?\\*+/?|;+|--+|%+|<!--)[ \\t]*)?(?:\\(?(?:[0-9]{{1,3}}|[a-z]|[ivx]{{2,4}})[.)][ \\t]+)?', '', 'g'), '(?m)^(copyright[ \\t][^\\n]*)\\n', E'\\\\1\\n\\n', 'g') AS body FROM bodies
+), endorsed AS (
+  SELECT is_table, id, nth, regexp_replace(body, '(?s)(neither{w}the{w}(name|trademark)s?{w}(of{w})?.{{1,{GAP}}}?may|the{w}names?{w}of{w}.{{1,{GAP}}}?may{w}not){w}be{w}used{w}to{w}endorse{w}or{w}promote{w}products{w}derived{w}from{w}this{w}(software|material|program)',
+    'neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software', 'g') AS body FROM bare
+), disclaimed AS (
+  SELECT is_table, id, nth, regexp_replace(regexp_replace(regexp_replace(body, '(?s)in{w}no{w}event{w}shall{w}.{{1,{GAP}}}?be{w}liable{w}for{w}any{w}claim,{w}damages{w}or{w}other{w}liability', 'in no event shall the authors or copyright holders be liable for any claim damages or other liability', 'g'),
+    '(?s)this{w}software{w}is{w}provided{w}by{w}.{{1,{GAP}}}?and{w}any{w}express', 'this software is provided by the copyright holders and contributors as is and any express', 'g'),
+    '(?s)to{w}the{w}extent{w}possible{w}under{w}law,{w}.{{1,{GAP}}}?has{w}waived{w}all{w}copyright', 'to the extent possible under law the author has waived all copyright', 'g') AS body FROM endorsed
 ), pieces AS (
-  SELECT is_table, id, nth, list_filter(regexp_split_to_array(body, '[.!?:][ \\t]*\\n|[.!?:][ \\t]+|\\n[ \\t]*\\n'), lambda p: regexp_matches(p, '[a-z0-9]')) AS pieces FROM bare
+  SELECT is_table, id, nth, list_filter(regexp_split_to_array(body, '[.!?:][ \\t]*\\n|[.!?:][ \\t]+|\\n[ \\t]*\\n'), lambda p: regexp_matches(p, '[a-z0-9]')) AS pieces FROM disclaimed
 ), placed AS (
   SELECT is_table, id, nth, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS spot FROM pieces
 ), cleaned AS (

@@ -14,6 +14,7 @@ def sentences(text):
     for line in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "").replace("\r", "")).split("\n"):
         line = re.sub(r"^[ \t]*((//+|#+|/?\*+/?|;+|--+|%+|<!--)[ \t]*)?(\(?(\d{1,3}|[a-z]|[ivx]{2,4})[.)][ \t]+)?", "", line, flags=re.ASCII)
         lines.append(line)
+    lines = named("\n".join(lines)).split("\n")
     out, now = [], [""]
 
     def end():
@@ -35,6 +36,36 @@ def sentences(text):
     return out
 
 
+def between(text, first, last, new):
+    """Puts new in place of the words first, at most 300 characters, and the words last, word by word."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n]+", text)]
+    words = [text[a:b] for a, b in tokens]
+    i = 0
+    while i < len(words):
+        n = next((len(f) for f in first if words[i : i + len(f)] == f), 0)
+        if n:
+            for j in range(i + n, len(words)):
+                gap = tokens[j][0] - tokens[i + n][0]
+                if gap > 301:
+                    break
+                m = next((len(x) for x in last if words[j : j + len(x) - 1] == x[:-1] and len(words) > j + len(x) - 1 and words[j + len(x) - 1].startswith(x[-1])), 0)
+                if m and j > i + n:
+                    end = tokens[j + m - 1][0] + max(len(x[-1]) for x in last if len(x) == m and words[j + m - 1].startswith(x[-1]))
+                    return text[: tokens[i][0]] + new + between(text[end:], first, last, new)
+        i += 1
+    return text
+
+
+def named(text):
+    own = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    promote = [f"be used to endorse or promote products derived from this {x}".split() for x in ("software", "material", "program")]
+    text = between(text, [["neither", "the", x, "of"] for x in ("name", "names", "trademark", "trademarks")] + [["neither", "the", x] for x in ("name", "names")], [["may", *p] for p in promote], own)
+    text = between(text, [["the", "name", "of"], ["the", "names", "of"]], [["may", "not", *p] for p in promote], own)
+    text = between(text, [["in", "no", "event", "shall"]], ["be liable for any claim, damages or other liability".split()], "in no event shall the authors or copyright holders be liable for any claim, damages or other liability")
+    text = between(text, [["this", "software", "is", "provided", "by"]], [["and", "any", "express"]], 'this software is provided by the copyright holders and contributors "as is" and any express')
+    return between(text, [["to", "the", "extent", "possible", "under", "law,"]], [["has", "waived", "all", "copyright"]], "to the extent possible under law, the author has waived all copyright")
+
+
 NAMES, RUNS = {}, {}
 for number, known in SENTENCES.items():
     RUNS[number] = [NAMES.setdefault(" ".join(x), len(NAMES) + 1) for x in sentences(known)]
@@ -121,3 +152,74 @@ def test_every_rule_is_found(spark):
     rows = [" . ".join(SENTENCES[n] for n in rule.sentences) for rule in RULES]
     got = check(texts(spark, rows))
     assert [rule.licence for i, rule in enumerate(RULES) if rule.licence not in got[i][0].split(",")] == []
+
+
+BSD = """Copyright (c) 2019, %s
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY %s "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NEITHER = """
+3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+X11 = """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE FOO
+CONSORTIUM, Inc. BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_texts_with_names(spark):
+    """Texts as they are found, with holders' names in them; none is built from the tables."""
+    third = [NEITHER % name for name in ("the copyright holder", "Foo Inc.", "the University", "the University of Somewhere, Inc. (\"Some. U.\")", "A. B. Builder\n   & Sons Ltd.")]
+    third += ["\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n", "\n* The names of its contributors may not be used to endorse or promote products\n  derived from this software without specific prior written permission.\n"]
+    third.append("\n3. Neither the names of Foo GmbH, nor any of\n   their employees may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n")
+    four = "\n3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n   This product includes software developed by Foo Inc.\n" + NEITHER.replace("3.", "4.") % "Foo Inc."
+    by = ["THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "Foo Inc. AND CONTRIBUTORS", "THE REGENTS", "A. B., C. D. ''AND OTHERS''", "X", "Y", "Z", "W"]
+    rows = [BSD % ("Foo Inc.", x, y) for x, y in zip(third, by, strict=True)] + [BSD % ("Foo Inc.", "", "Foo Inc."), BSD % ("Foo", four, "Foo Inc."), X11, X11.replace("\n", "\n// ")]
+    rows += ["# The ASF licenses this file to You under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.  You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"]
+    rows += ["To the extent possible under law, Foo B. Baz has waived all copyright and related or neighboring rights to this work.", "Neither the name of the rose " + "x" * 400 + " may be used to endorse or promote products derived from this software without specific prior written permission."]
+    got = check(texts(spark, rows))
+    names = [",".join(n for n in got[i][0].split(",") if n != "proprietary") for i in range(len(rows))]
+    assert names == ["BSD-3-Clause"] * 8 + ["BSD-2-Clause", "BSD-4-Clause", "MIT", "MIT", "Apache-2.0", "CC0-1.0", ""]
+
+
+def test_the_sql_says_the_same(spark):
+    import duckdb
+
+    from quire.llm.licences import scan_sql
+
+    rows = [BSD % ("Foo", NEITHER % "Foo Inc.", "Foo Inc."), X11, X11.replace("\n", "\r\n"), "MIT", "", None, BSD % ("A", "", "A")]
+    docs = texts(spark, rows)
+    with duckdb.connect() as db:
+        documents = docs.toArrow()
+        db.register("documents", documents)
+        want = {tuple(r) for r in db.sql(scan_sql()).fetchall()}
+    assert {tuple(r) for r in scan(docs).collect()} == want
