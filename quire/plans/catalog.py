@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import chinese_number, list_marker, note_number, reference_parts, relative, resolve
-from quire.operators import changes, graph, matching, ordered, report
-from quire.operators.lineage import stored
-from quire.plans import checks
+from quire.operators import changes, graph, matching, ordered, report, versions
+from quire.operators.lineage import shared_dir, stored
+from quire.plans import checks, refresh
 from quire.plans.model import Publication
 from quire.sources import packages
 from quire.sources.markup import attr, shred
@@ -628,6 +629,53 @@ def reading_nodes(spark, d):
     return found.groupBy(F.col("doc").cast("long").alias("page_id"), "tag").agg(F.count("*").alias("n"))
 
 
+@query("""
+SELECT p_partkey::VARCHAR AS doc, rule, 1::BIGINT AS n FROM part, (VALUES ('IMG.NO_ALT'), ('HEAD.JUMP'), ('LANG.MISSING')) AS t(rule)
+WHERE NOT (rule = 'IMG.NO_ALT' AND p_size % 3 = 0) AND NOT (rule = 'HEAD.JUMP' AND p_size % 5 = 0) AND NOT (rule = 'LANG.MISSING' AND length(p_name) % 2 = 0)""")
+def refreshed_findings(spark, d):
+    """Each part as a page with three findings, stored; then edits of some pages by their size and name, and checks of what these touched."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size", "p_name")
+    html = "<html><body><h1>a</h1><h3>b</h3><img src='i'/></body></html>"
+    pages = parts.select(F.concat(F.lit("b"), F.col("p_partkey") % 97).alias("book"), F.col("p_partkey").cast("string").alias("doc"), F.lit(html).alias("html"))
+    at = parts.select(F.concat(F.lit("b"), F.col("p_partkey") % 97).alias("book"), F.col("p_partkey").cast("string").alias("doc"), "p_size", F.length("p_name").alias("long"))
+    edit = lambda some, path, name, value: at.where(some).select("book", "doc", F.lit(path).alias("path"), F.lit(name).alias("name"), F.lit(value).alias("value"))
+    edits = edit("p_size % 3 = 0", "html[1]/body[1]/img[1]", "alt", "x").unionByName(edit("p_size % 5 = 0", "html[1]/body[1]/h3[1]", "heading_level", "2")).unionByName(edit("long % 2 = 0", "html[1]", "lang", "en"))
+    pub = made_publication(pages)
+    pub = pub._replace(toc=pub.spine.select("book", "pos", F.lit("").alias("text"), "doc", F.lit("").alias("frag")))
+    path, names = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}", ["img_alt", "heading_hierarchy", "lang", "toc", "duplicate_id"]
+    refresh.store_all(path, pub, names)
+    changed, _ = changes.set_attributes(pub.elements, edits)
+    refresh.refresh(path, pub._replace(elements=stored(changed)), edits, names)
+    return by_rule(refresh.findings(spark, path))
+
+
+@query("""
+WITH made AS (
+  SELECT doc_id, coalesce(source, '') AS book, coalesce(text, '') AS text, doc_id // 20 % 3 = 0 AS one, doc_id // 20 % 5 = 0 AND coalesce(source, '') NOT IN ('src1', 'src2') AS two, doc_id // 20 % 7 = 0 AND coalesce(source, '') <> 'src1' AS three FROM documents
+)
+SELECT doc_id::VARCHAR AS doc, sha256(text || CASE WHEN one THEN ' one' ELSE '' END || CASE WHEN two THEN ' two' ELSE '' END || CASE WHEN three THEN ' three' ELSE '' END) AS digest,
+  (1 + one::INT + (doc_id // 20 % 5 = 0)::INT + three::INT + (doc_id // 20 % 7 = 0 AND book = 'src1')::INT)::BIGINT AS stored FROM made""")
+def document_versions(spark, d):
+    """Documents with three changes of some of them; one source takes the second back before the third, another the second and the third after."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("book"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    sources = lambda name: docs.where(F.col("book") == name).select("book").distinct()
+
+    def change(every: int, kind: str) -> None:
+        now = versions.documents(spark, path).where(F.floor(F.col("doc").cast("long") / 20) % every == 0)
+        versions.record(path, now.select("book", "doc", F.concat("content", F.lit(f" {kind}").cast("binary")).alias("content")), kind)
+
+    versions.record(path, docs.select("book", F.col("doc_id").cast("string").alias("doc"), F.col("text").cast("binary").alias("content")), "import")
+    change(3, "one")
+    change(5, "two")
+    versions.undo(path, sources("src2"))
+    change(7, "three")
+    for _ in range(2):
+        versions.undo(path, sources("src1"))
+    every = spark.read.parquet(f"{path}/documents/*").groupBy("book", "doc").agg(F.count("*").alias("stored"))
+    return versions.documents(spark, path).join(every, ["book", "doc"]).select("doc", "digest", "stored")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure findings of the pages, counted by host, page and rule."""
     return page_checks(spark, sf_dir)

@@ -247,6 +247,86 @@ def test_note_edits(spark, pub):
     assert held.where("text = '[1]' and from_doc = 'text/five.xhtml'").count() == 1
 
 
+def applied(spark, pub, rows, book="trades"):
+    """(the note graph after a request, its entries by name, what was refused)"""
+    graph = notes.note_graph(pub)
+    asked = spark.createDataFrame(rows, edits.ASKED + ", nth int")
+    made, refused = edits.note_edits(pub, graph, asked)
+    names = [(r.doc, r.path, r.name) for r in made.collect()]
+    assert len(names) == len(set(names))  # one edit of a name for each element
+    entries = rewrite_entries(pub.entries.where(F.col("book") == book), made)
+    texts = {r.name: bytes(r.content).decode() for r in entries.where("name is not null").collect()}
+    return notes.note_graph(model.publication(entries.where("name is not null"))), texts, {(r.kind, r.reason) for r in refused.collect()}
+
+
+def test_stages_of_note_edits(spark, pub):
+    """A request's parts see what the parts before them did."""
+    graph = notes.note_graph(pub)
+    note = {r.el_id or r.path: r.note for r in graph.notes.where("book = 'trades'").collect()}
+    ref = {(r.el_id or r.tag + (r.marker or "")): r.ref for r in graph.refs.where("book = 'trades'").collect()}
+    # rows stand in any order: links before the marks that make them possible, marks before unmarks
+    after, texts, refused = applied(spark, pub, [
+        ("link", ref["sup[7]"], note["n7"], None, None, 0), ("mark", None, note["n7"], "endnote", None, 1), ("mark", None, note["n7"], "footnote", None, 2),
+        ("link", ref["r3"], note["n2"], None, None, 1), ("link", ref["r3"], note["n6"], None, None, 2), ("unlink", ref["r3"], None, None, None, 0), ("mark", None, note["n6"], "footnote", None, 0),
+        ("unmark", None, note["n8"], "footnote", None, 0), ("mark", None, note["n8"], "endnote", None, 0), ("mark", None, note["n9"], "endnote", None, 0), ("unmark", None, note["n9"], "endnote", None, 0),
+    ])
+    assert not refused
+    found = {r.el_id: r for r in after.notes.collect()}
+    assert found["n7"].declared and found["n7"].note_type == "footnote" and found["n8"].note_type == "endnote" and found["n8"].declared
+    assert not found["n9"].declared if "n9" in found else True
+    linked = {r.marker: r for r in after.refs.where("tag = 'a'").collect()}
+    assert linked["[7]"].status == "note" and linked["[7]"].href == "#n7" and linked["[3]"].href == "#n6"  # the last link holds
+    # judged on what is left: an unmarked note can't be linked, a deleted one is nowhere
+    _, _, refused = applied(spark, pub, [
+        ("link", ref["sup[6]"], note["n9"], None, None, 0), ("delete", None, note["n9"], None, None, 0), ("link", ref["sup[7]"], note["n2"], None, None, 0), ("unmark", None, note["n2"], "footnote", None, 0),
+        ("batch", "trades|text/four.xhtml", None, "99", None, 0), ("mark", None, note["n9"], "footnote", None, 0),
+    ])
+    assert refused == {("link", "nothing there"), ("link", "not declared"), ("batch", "batch"), ("mark", "nothing there")}
+
+
+def test_ways_back(spark, pub):
+    graph = notes.note_graph(pub)
+    note = {r.el_id or r.path: r.note for r in graph.notes.where("book = 'trades'").collect()}
+    ref = {(r.el_id or r.tag + (r.marker or "")): r.ref for r in graph.refs.where("book = 'trades'").collect()}
+    after, texts, refused = applied(spark, pub, [
+        ("unback", ref["r1"], note["n1"], None, None, 0), ("backlink", ref["q1"], note["n1"], None, "q", 0), ("backlink", ref["r5"], note["n1"], None, "r", 1), ("backlink", ref["r4"], note["n2"], None, "x", 0), ("unback", ref["r4"], note["n2"], None, None, 1),
+    ])
+    assert not refused
+    backs = {(r.text, r.ref.rsplit("|", 1)[0]) for r in after.backlinks.where("ref is not null").collect()}
+    assert backs == {("q", "trades|text/five.xhtml"), ("r", "trades|text/four.xhtml")}
+    assert '<aside epub:type="footnote" id="n1">1. First <p class="note-backlink"><a class="note-backlink" role="doc-backlink" href="five.xhtml#q1">q</a></p><p class="note-backlink"><a class="note-backlink" role="doc-backlink" href="#r5">r</a></p></aside>' in texts["text/four.xhtml"]
+    # taken away with its paragraph
+    again = model.publication(spark.createDataFrame([("trades", n, bytearray(t.encode()), i, None) for i, (n, t) in enumerate(texts.items())], pub.entries.schema))
+    graph = notes.note_graph(again)
+    q1, n1 = graph.refs.where("el_id = 'q1'").first().ref, graph.notes.where("el_id = 'n1'").first().note
+    _, texts, _ = applied(spark, again, [("unback", q1, n1, None, None, 0)])
+    assert '<aside epub:type="footnote" id="n1">1. First <p class="note-backlink"><a class="note-backlink" role="doc-backlink" href="#r5">r</a></p></aside>' in texts["text/four.xhtml"]
+
+
+def test_batches_and_free_ids(spark):
+    """n wants of one base get n ids in order, gaps of the numbers in use first."""
+    pairs = "".join(f"<sup>[{k}]</sup>" for k in (1, 2, 3, 4))
+    body = f'<p id="fn1-auto">a{pairs}</p><section epub:type="footnotes">' + "".join(f"<div>{k}. note {k}</div>" for k in (1, 2, 3)) + '<aside epub:type="footnote" id="fn1-auto-3">4. four</aside></section><p id="ref-ch1-auto-2"></p><p id="ref-ch1-auto-04"></p>'
+    entry = publications.files() | {"text/one.xhtml": publications.page(body).encode()}
+    docs = spark.createDataFrame([("trades", n, bytearray(c), i, None) for i, (n, c) in enumerate(entry.items())], "book string, name string, content binary, ord int, error string")
+    pub = model.publication(docs)
+    graph = notes.note_graph(pub)
+    batch = notes.batches(graph).where("doc = 'text/one.xhtml'").collect()
+    assert {(r.batch, r.number) for r in batch} == {(batch[0].batch, k) for k in (1, 2, 3, 4)}
+    after, texts, refused = applied(spark, pub, [("batch", "trades|text/one.xhtml", None, str(batch[0].batch), None, 0)])
+    assert not refused
+    found = {r.number: r for r in after.refs.where("doc = 'text/one.xhtml' and tag = 'a'").collect()}
+    assert {k: (r.href, r.el_id, r.status) for k, r in found.items()} == {
+        1: ("#fn1-auto-2", "ref-ch1-auto", "note"), 2: ("#fn1-auto-4", "ref-ch1-auto-3", "note"), 3: ("#fn1-auto-5", "ref-ch1-auto-4", "note"), 4: ("#fn1-auto-3", "ref-ch1-auto-5", "note"),
+    }
+    assert all(r.declared for r in after.notes.where("doc = 'text/one.xhtml'").collect())
+    assert {r.ref for r in after.backlinks.where("doc = 'text/one.xhtml'").collect()} == {r.ref for r in found.values()}
+    wants = spark.createDataFrame([(f"k{i:02}", "b", "d", "x", i) for i in range(12)], "key string, book string, doc string, base string, place int")
+    used = spark.createDataFrame([("b", "d", x) for x in ("x-2", "x-3", "x-7", "x-07", "x-q", "xy", "x-12")] + [("b", "e", "x")], "book string, doc string, id string")
+    got = [r.id for r in edits.allot_ids(wants, used).orderBy("key").collect()]
+    assert got == [f"x-{i}" if i > 1 else "x" for i in (1, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15, 16)]
+
+
 def test_change_log(spark, pub, tmp_path):
     path = f"file://{tmp_path}/log"
     asked = [("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/p[1]/img[1]", "alt", "a pier"), ("trades", "text/one.xhtml", "html[1]/body[1]/section[1]/h4[1]", "heading_level", "3")]
@@ -257,6 +337,8 @@ def test_change_log(spark, pub, tmp_path):
     changed, _ = changes.set_attributes(one, rows)
     more = rows.withColumn("value", F.lit("2"))
     edits.append_change(path, edits.inverse_of(changed, more), "edit", "second")
+    with pytest.raises(ValueError, match="remove"):  # no edits of attributes bring an element back
+        edits.inverse_of(changed, rows.withColumn("name", F.lit("remove")))
     log = edits.read_log(spark, path)
     assert [(r.id, r.summary) for r in log.orderBy("id").collect()] == [(1, "first"), (2, "second")] and log.where("at rlike '^\\\\d{4}-\\\\d\\\\d-\\\\d\\\\dT[0-9:]{8}$'").count() == 2
     assert {(r.name, r.value) for r in edits.last_inverse(log).collect()} == {("alt", "a pier"), ("heading_level", "3")}
