@@ -27,6 +27,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,23 @@ def held_out(id: str):
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Small numbers, their lowest bytes first, then the next ones."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(tokens.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.int32)
+
+
 def chunked(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(chunk, ids, held, sizes, tokens, words, counts): texts as numbers of words of the chunk's own list; counts are those of training rows."""
     rows = docs.select(F.col(id).alias("id"), held_out(id).alias("held"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", CHUNK_BYTES):
+        for nth, batch in enumerate(small_batches(batches, "text", CHUNK_BYTES)):
             data, offsets = text_bytes(batch.column("text"))
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
             found = scan_words(data, offsets, hashed=False)
@@ -71,12 +83,12 @@ def chunked(docs: DataFrame, id: str, text: str) -> DataFrame:
             words = pc.binary_slice(coded.dictionary.take(pa.array(order)).cast(pa.large_binary()), 0, -1).cast(pa.string())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), one(batch.column("id")), one(batch.column("held")), one(pa.array(np.diff(found.firsts).astype(np.int32))), pa.array([tokens.tobytes()], pa.binary()), one(words), one(pa.array(counts.astype(np.int32)))],
+                [pa.array([TaskContext.get().partitionId() << 32 | nth]), one(batch.column("id")), one(batch.column("held")), one(pa.array(np.diff(found.firsts).astype(np.int32))), pa.array([packed(tokens)], pa.binary()), one(words), one(pa.array(counts.astype(np.int32)))],
                 ["chunk", "ids", "held", "sizes", "tokens", "words", "counts"],
             )
 
     path = f"{shared_dir(docs.sparkSession)}/chunks-{uuid.uuid4().hex}"
-    made = over_texts(rows, work, f"chunk string, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words array<string>, counts array<int>")
+    made = over_texts(rows, work, f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words array<string>, counts array<int>")
     made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
@@ -96,7 +108,7 @@ class Chunk(NamedTuple):
 
 def read_chunk(tokens: bytes, sizes: list[int], held: list[bool]) -> Chunk:
     counts = np.array(sizes, np.int64)
-    return Chunk(np.frombuffer(tokens, np.int32), counts, np.array(held, bool), np.concatenate([[0], np.cumsum(counts)]))
+    return Chunk(unpacked(tokens), counts, np.array(held, bool), np.concatenate([[0], np.cumsum(counts)]))
 
 
 def neighbours(chunks: DataFrame, frequent: list[str]) -> DataFrame:
