@@ -18,7 +18,7 @@ SILENT = frozenset(("script", "style"))
 #: Elements that a task hands over at once, at least.
 BATCH_ROWS = 5000
 #: Elements whose rows keep their whole text; those of others, which hold these, keep its first TEXT characters. Both are parameters of `shred`.
-WHOLE = frozenset("p h1 h2 h3 h4 h5 h6 a td th caption dt dd title dc:title dc:language text navlabel figcaption pre".split())
+WHOLE = frozenset("p h1 h2 h3 h4 h5 h6 a td th caption dt dd title dc:title dc:language text navlabel figcaption pre li aside blockquote".split())
 TEXT = 200
 
 ELEMENTS = (
