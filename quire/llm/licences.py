@@ -150,13 +150,13 @@ RULES = [
 
 #: Characters of a name.
 GAP = 300
-#: Sentences with a place for a name: a word that they have, what stands before the name and after it, and the words that the table has in between. A blank is any white space.
+#: Sentences with a place for a name: what stands before it and after it, and the words that the table has in between. A blank is any white space.
 SLOTS = [
-    ("endorse", "neither the (?:names?|trademarks?) (?:of )?", "may be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
-    ("endorse", "the names? of ", "may not be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
-    ("liable", "in no event shall ", "be liable for any claim, damages or other liability", "in no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
-    ("express", "this software is provided by ", "and any express", 'this software is provided by the copyright holders and contributors "as is" and any express'),
-    ("waived", "to the extent possible under law, ", "has waived all copyright", "to the extent possible under law, the author has waived all copyright"),
+    ("neither the (?:names?|trademarks?) (?:of )?", "may be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("the names? of ", "may not be used to endorse or promote products derived from this (?:software|material|program)", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("in no event shall ", "be liable for any claim, damages or other liability", "in no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
+    ("this software is provided by ", "and any express", 'this software is provided by the copyright holders and contributors "as is" and any express'),
+    ("to the extent possible under law, ", "has waived all copyright", "to the extent possible under law, the author has waived all copyright"),
 ]
 
 #: What a line loses at its beginning: a comment sign and a list number. Lines end at \n; the flags of Java's patterns say so.
@@ -197,8 +197,8 @@ def sequence(text: Column, sentences: Mapping[int, str]) -> tuple[Column, Column
     names = known(sentences)[0]
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz")
     plain = F.regexp_replace(F.regexp_replace(lowered, LEADERS, ""), COPYRIGHT, "$1\n\n")
-    for hint, before, after, words in SLOTS:
-        plain = F.when(F.contains(plain, F.lit(hint)), F.regexp_replace(plain, "(?s)" + slot_pattern(before, after), words)).otherwise(plain)
+    for before, after, words in SLOTS:  # a chain: a condition on the text so far would have it made again at each step
+        plain = F.regexp_replace(plain, "(?s)" + slot_pattern(before, after), words)
     clean = lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " "))
     table = F.create_map(*[F.lit(x) for name, n in names.items() for x in (name, f",{n};")])
     of = lambda p: F.try_element_at(table, clean(p))
