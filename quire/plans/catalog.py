@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quire.functions.text import chinese_number, list_marker, note_number, reference_parts, relative, resolve
 from quire.operators import changes, graph, matching, ordered, report, versions
 from quire.operators.lineage import shared_dir, stored
-from quire.plans import checks, refresh
+from quire.plans import checks, refresh, structure
 from quire.plans.model import Publication
 from quire.sources import packages
-from quire.sources.markup import attr, shred
+from quire.sources.markup import attr, shred, shred_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,6 +678,26 @@ def document_versions(spark, d):
     return versions.documents(spark, path).join(every, ["book", "doc"]).select("doc", "digest", "stored")
 
 
+@query("""
+WITH m AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '<nav>.*?</nav>', '', 's') ELSE html END AS a FROM pages),
+n AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(a, '<article>', '<section class="w"><article>') ELSE a END AS b FROM m),
+o AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(b, '<h1>', '<h2>new <i>x</i></h2><h1>') ELSE b END AS c FROM n),
+e AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN replace(c, '</footer>', '<p>end <b>x</b></p></footer>') ELSE c END AS html FROM o),
+t AS (SELECT page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>', 1) AS tags FROM e),
+u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS eid FROM t)
+SELECT page_id, tag, count(*) AS n, sum(eid)::BIGINT AS numbers, CASE WHEN (tag = 'h1' AND page_id % 11 = 0) OR (tag = 'footer' AND page_id % 7 = 0) THEN 1 ELSE 0 END::BIGINT AS told FROM u GROUP BY page_id, tag""")
+def edited_structure(spark, d):
+    """The pages' elements after edits by page: contents left out, articles wrapped, headings put in and renamed, footers added to; numbered as they will be."""
+    elements = stored(page_elements(spark, d))
+    runs = shred_runs(table(spark, d, "pages"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1), F.col("page_id").cast("string"), "html", soup=True)
+    page = F.col("doc").cast("long")
+    edit = lambda tag, every, name, value: elements.where((F.col("tag") == tag) & (page % every == 0)).select("book", "doc", "path", F.lit(name).alias("name"), F.lit(value).alias("value"))
+    edits = edit("nav", 2, "remove", "").unionByName(edit("article", 3, "wrap", 'section class="w"')).unionByName(edit("h1", 5, "before", "<h2>new <i>x</i></h2>")).unionByName(edit("footer", 7, "append", "<p>end <b>x</b></p>")).unionByName(edit("h1", 11, "text", "T"))
+    after, _ = structure.preview(elements, runs, edits, soup=True)
+    told = ((F.col("tag") == "h1") & (F.col("text") == "T")) | ((F.col("tag") == "footer") & F.col("text").endswith("end x"))
+    return after.groupBy(page.alias("page_id"), "tag").agg(F.count("*").alias("n"), F.sum("eid").alias("numbers"), F.sum(told.cast("long")).alias("told"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure findings of the pages, counted by host, page and rule."""
     return page_checks(spark, sf_dir)

@@ -141,6 +141,55 @@ def shred(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Co
     return picked.mapInArrow(work, ELEMENTS)
 
 
+class Runs(Shredder):
+    """Texts of one document as they lie between tags, for `shred_runs`."""
+
+    def __init__(self, soup: bool):
+        super().__init__(soup)
+        self.runs = []
+
+    def handle_data(self, data: str) -> None:
+        if not self.open or self.rows[self.open[-1]]["tag"] not in SILENT:
+            self.add(data)
+
+    def add(self, data: str | None) -> None:
+        self.runs.append((len(self.runs), len(self.rows) - 1, self.open[-1] if self.open else None, data))
+
+    def handle_endtag(self, tag: str) -> None:
+        if all(self.rows[eid]["tag"] != tag for eid in self.open):
+            self.add(None)
+        super().handle_endtag(tag)
+
+    def cut(self, *_: str) -> None:
+        self.add(None)
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = cut
+
+
+def shred_runs(docs: DataFrame, book: str | Column, doc: str | Column, text: str | Column, soup: bool = False) -> DataFrame:
+    """(book, doc, ord, at, up, data): the texts between tags, but those of scripts and styles; null data stands for what parts texts and is no element (a comment, say).
+
+    at: the last element that begins before, -1 for none; up: the element that holds the text, null for none. Null markup has no text.
+    """
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    names = ["book", "doc", "ord", "at", "up", "data"]
+    kinds = [pa.string(), pa.string(), *[pa.int32()] * 3, pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, d, t in zip(*(batch.column(c).to_pylist() for c in ("book", "doc", "text")), strict=True):
+                if t is None:
+                    continue
+                parser = Runs(soup)
+                parser.feed(t.decode("utf-8-sig", "replace") if isinstance(t, bytes) else t)
+                parser.close()
+                columns = [[b] * len(parser.runs), [d] * len(parser.runs), *(list(zip(*parser.runs, strict=True)) or [()] * 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    picked = docs.select(as_column(book).cast("string").alias("book"), as_column(doc).cast("string").alias("doc"), as_column(text).alias("text"))
+    return picked.mapInArrow(work, "book string, doc string, ord int, at int, up int, data string")
+
+
 def attr(name: str) -> Column:
     """An attribute's value; null where it is absent, which isn't the same as empty."""
     return F.try_element_at("attrs", F.lit(name))
