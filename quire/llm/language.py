@@ -38,7 +38,7 @@ NGRAMS = (1, 2, 3, 4)
 PENALTY = 10.0
 #: A script is a language's own if so much of its training words is in it.
 SCRIPT_SHARE = 0.001
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 3 << 19
 UNKNOWN = "und"
 
 #: First code points of Unicode ranges, and their scripts.
@@ -91,7 +91,7 @@ def script_of(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def ngrams(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = flat == 32
-    owner = np.cumsum(space[:-1])  # the space before a word counts as the word's
+    owner = np.cumsum(space[:-1], dtype=np.int32) - np.int32(1)  # the space before a word counts as the word's
     found, owners = [], []
     end = int(starts[-1] + lengths[-1]) + 1 if len(starts) else 0
     for n in NGRAMS:
@@ -110,9 +110,10 @@ def ngrams(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
             inside &= ~(space[:size] & space[1 : size + 1])
         at = np.flatnonzero(inside)
         found.append((mixed(code[at]) % U64(FEATURES)).astype(np.int32))
-        owners.append(owner[at] - 1)
-    grams, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, owners))
-    order = np.argsort(of, kind="stable")
+        owners.append(owner[at])
+    grams, of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (found, owners))
+    del found, owners
+    order = np.argsort(of, kind="stable").astype(np.int32)
     return grams[order], of[order]
 
 
