@@ -22,15 +22,15 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """
     links = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
     links = cut(links)
-    before, now = None, _mark(links)
-    while before != now:
+    while True:
         # of a node without a smaller neighbour, so of every star's centre, the links stay as they are: it has no row in least
-        least = stored(links.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")))
+        now, least = _mark(links), stored(links.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")))
         large = stored(links.join(least, F.col("v") == F.col("of"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        if now == _mark(large) and now[0] == least.count():
+            break  # each link goes to a node without a smaller neighbour, and a node has one link: all are stars
         least = stored(large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")))
         small = large.join(least, F.col("u") == F.col("of")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         links = cut(small.select("e.*").where("u > v").distinct())
-        before, now = now, _mark(links)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
