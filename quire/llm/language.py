@@ -5,17 +5,16 @@ of its first letter narrows the candidate languages to those that training saw i
 `FEATURES` places; Viterbi with a penalty for each switch then labels every word of the whole text, all texts of
 a batch in step. A document's language is the one with most letters, its score that language's share of them.
 
-Training: n-grams of at most about `TRAIN_DOCS` labelled documents a language, drawn by a hash of the identifier
-(a rate for each language, so the count varies a little), counted by Spark. The model has FEATURES numbers and the
-scripts for each language, which is what reaches the driver and is broadcast.
+Training: the n-grams of all labelled documents (that aren't held out), counted by Spark. A task sums its own counts first. The model
+has FEATURES numbers and the scripts for each language, which is what reaches the driver and is broadcast.
 
 Edge cases: a null text, or one without letters, is `und` with score 0, as is everything if no row is labelled.
 Null languages never train. Ties go to the language that sorts first. Repeated rows give repeated rows; an empty
 table gives an empty result. A very long text is scored whole. Other columns play no part.
 
 `known_language` also asks whether the text is of a learned language at all: enough of its letters must be in words
-that are likely for their language, as likely as nearly all of its training texts' words are (`floors`). Without a
-labelled row nothing is known, and it raises an error rather than reject all.
+that are likely for their language, as likely as nearly all of its training texts' words are (`floors`). It learns from
+every labelled row, and holds none out. Without a labelled row nothing is known, and it raises an error rather than reject all.
 """
 
 from __future__ import annotations
@@ -32,13 +31,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import over_texts, small_batches
 from quire.llm.ragged import U64, mixed, scan_words, text_bytes
 
-TRAIN_DOCS = 2000
 FEATURES = 1 << 16
 NGRAMS = (1, 2, 3, 4)
 PENALTY = 10.0
 #: A script is a language's own if so much of its training words is in it.
 SCRIPT_SHARE = 0.001
 BATCH_BYTES = 3 << 19
+#: A training task passes its counts on once it has those of so many languages.
+LANGS_HELD = 32
 UNKNOWN = "und"
 
 #: First code points of Unicode ranges, and their scripts.
@@ -67,7 +67,7 @@ class Batch(NamedTuple):
 
 def read_words(texts: pa.Array) -> Batch:
     lowered = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"^\p{M}+|[^\p{L}\p{M}]+\p{M}*", " ")
-    words = scan_words(*text_bytes(lowered))
+    words = scan_words(*text_bytes(lowered), hashed=False)
     n = len(words.starts)
     ends = np.append(words.starts, len(words.packed)).astype(np.int64)
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(words.packed)])
@@ -125,22 +125,25 @@ class Model(NamedTuple):
     seen: np.ndarray  # script: whether any language was trained in it
 
 
-def labelled(docs: DataFrame, id: str, text: str, lang: str, bound: int) -> DataFrame:
-    """(lang, text) of the training rows: labelled, not held out, about `bound` a language."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    if not counts:
-        return rows.select("lang", "text").limit(0)
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, bound / n))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
+def labelled(docs: DataFrame, id: str, text: str, lang: str, hold_out: bool) -> DataFrame:
+    """(lang, text) of the training rows: all that are labelled, and not held out."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
+    return (rows.where(~held_out("id")) if hold_out else rows).select("lang", "text")
 
 
 def held_out(id: str):
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", hold_out: bool = True) -> Model:
+    def taken(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while held:
+            name, n = held.popitem()
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "feature", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
         for batch in small_batches(batches, "text", BATCH_BYTES):
             words = read_words(batch.column("text"))
             own = np.repeat(np.arange(len(batch)), np.diff(words.firsts))
@@ -148,10 +151,12 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
             for name in sorted(set(names)):
                 times = np.bincount(words.distinct[(names == name)[own]], minlength=len(words.letters)).astype(float)
                 n = np.concatenate([np.bincount(words.grams, times[words.gram_words], FEATURES), np.bincount(words.scripts, times, len(SCRIPT_NAMES))]).astype(np.int64)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "feature", "n"])
+                held[name] = held[name] + n if name in held else n
+                if len(held) >= LANGS_HELD:
+                    yield from taken(held)
+        yield from taken(held)
 
-    counted = over_texts(labelled(docs, id, text, lang, bound), count, "lang string, feature int, n long")
+    counted = over_texts(labelled(docs, id, text, lang, hold_out), count, "lang string, feature int, n long")
     table = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((FEATURES + len(SCRIPT_NAMES), len(langs)))
@@ -260,22 +265,23 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
 DEVIATIONS = 3.0
 
 
-def floors(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCS) -> np.ndarray:
+def floors(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", lang: str = "lang", hold_out: bool = True) -> np.ndarray:
     """The least likelihood of a likely word of each language, from all words of the training texts; a row a language is gathered."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         place = {x: i for i, x in enumerate(model.langs)}
+        sums = np.zeros((3, len(model.langs)))
         for batch in small_batches(batches, "text", BATCH_BYTES):
             words = read_words(batch.column("text"))
             of = np.array([place.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)  # a language that the model lacks has no words
             of = np.repeat(of, np.diff(words.firsts))
             each = scores_of(words, model).mean[words.distinct, of].astype(float)
-            sums = [np.bincount(of, x, len(model.langs)).astype(float) for x in (np.ones(len(of)), each, each * each)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(model.langs)), pa.int64()), *map(pa.array, sums)], ["lang", "n", "x", "xx"])
+            sums += [np.bincount(of, x, len(model.langs)) for x in (np.ones(len(of)), each, each * each)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(model.langs)), pa.int64()), *map(pa.array, sums)], ["lang", "n", "x", "xx"])
 
-    sums = over_texts(labelled(docs, id, text, lang, bound), measure, "lang long, n double, x double, xx double").groupBy("lang").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
+    sums = over_texts(labelled(docs, id, text, lang, hold_out), measure, "lang long, n double, x double, xx double").groupBy("lang").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
     least = np.zeros(len(model.langs))
     for i, n, x, xx in sums.collect():
         least[i] = x / n - DEVIATIONS * max(xx / n - (x / n) ** 2, 0) ** 0.5 if n else 0
@@ -290,12 +296,12 @@ def known_language(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     The decision goes by text, so rows that share an identifier are told apart.
     An empty table gives an empty result; a table without any labelled row is an error.
     """
-    model = train(docs, id=id, text=text, lang=lang)
+    model = train(docs, id=id, text=text, lang=lang, hold_out=False)
     if not model.langs:
         if docs.limit(1).count():
             raise ValueError(f"no row of {lang} is labelled, so that no language is known")
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast((model, floors(docs, model, id=id, text=text, lang=lang)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, floors(docs, model, id=id, text=text, lang=lang, hold_out=False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, limits = shared.value

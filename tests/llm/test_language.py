@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.language import identify, known_language, train, viterbi
+from quire.llm import language
+from quire.llm.language import floors, identify, known_language, read_words, scores_of, train, viterbi
 
 
 def test_held_out_accuracy(docs):
@@ -88,6 +90,32 @@ def test_unknown_languages_are_rejected(spark, docs):
     assert kept == plain  # no text of a learned language is too unlikely
 
 
+def test_all_labelled_rows_count(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {chr(97 + i // 676 % 26) * 3}", "en" if i % 9 else "fr") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for hold_out in (True, False):
+        used = [r for r in rows if not hold_out or zlib.crc32(str(r[0]).encode()) % 4 != 2]
+        model = train(df, hold_out=hold_out)
+        assert model.langs == ["en", "fr"]
+        words = [read_words(pa.array([r[1] for r in used if r[2] == x])) for x in model.langs]
+        counts = np.stack([np.bincount(w.grams, np.bincount(w.distinct)[w.gram_words], language.FEATURES) for w in words], axis=1) + 0.5
+        assert np.allclose(model.weights + model.common[:, None], np.log(counts / counts.sum(axis=0)), atol=1e-4)
+        means = [scores_of(w, model).mean[w.distinct, i].astype(float) for i, w in enumerate(words)]
+        assert np.allclose(floors(df, model, hold_out=hold_out), [x.mean() - language.DEVIATIONS * x.std() for x in means])
+
+
+def test_few_languages_are_held(docs, monkeypatch):
+    want = train(docs)
+    monkeypatch.setattr(language, "LANGS_HELD", 1)
+    assert all(np.array_equal(a, b) for a, b in zip(want, train(docs), strict=True))
+
+
+def test_known_language_holds_no_row_out(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    df = spark.createDataFrame([(i, "some plain words of a text", "en") for i in held], "doc_id long, text string, lang string")
+    assert known_language(df).count() == len(held)
+
+
 def test_no_labelled_row(odd):
     with pytest.raises(ValueError, match="labelled"):
         known_language(odd.withColumn("lang", F.lit(None).cast("string")))
