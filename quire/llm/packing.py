@@ -13,7 +13,8 @@ memory is bounded by a batch and a sequence. Nothing is shuffled: the sequences
 a retried task makes the same ones. A partition wastes less than one sequence at its end.
 
 Token ids: a text's ids are those of its words (parts between ASCII white space) in turn, since white space never
-is part of a token here; so each distinct word is encoded once a worker, as far as a bounded cache holds them.
+is part of a token here; so each distinct word is encoded once a task, as far as a bounded cache holds them. A worker keeps few
+of them from task to task, so that what runs in it next has the memory.
 
 Edge cases: a null text is empty and has the end token only. Null and repeated identifiers pass as they are. A very
 long document spans many sequences. An empty table gives an empty result. Other columns play no part.
@@ -28,7 +29,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ GRID = 256
 LEAST_EVEN = 512
 EVEN_PENALTY = 8
 CACHE_WORDS = 600_000
+#: Words that a worker keeps after a task.
+KEPT_WORDS = 50_000
 BATCH_BYTES = 2 << 20
 
 
@@ -93,6 +96,14 @@ class WordIds:
         self.flat = [np.array([self.end], np.uint32)]
         self.starts, self.counts, self.total = [np.zeros(1, np.int64)], [np.ones(1, np.int64)], 1
 
+    def shrink(self, most: int) -> None:
+        """Forgets all but the first words, which are frequent ones mostly."""
+        if len(self.place) > most:
+            self.place = dict(islice(self.place.items(), most))
+            self.starts, self.counts = ([x[0][: most + 1].copy()] for x in (self.starts, self.counts))
+            self.total = int(self.starts[0][-1] + self.counts[0][-1])
+            self.flat = [self.flat[0][: self.total].copy()]
+
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the cache, start and count of each word)"""
         if len(self.place) > CACHE_WORDS:
@@ -117,7 +128,7 @@ class WordIds:
 
 @lru_cache(2)
 def word_ids(path: str, end: int) -> WordIds:
-    """A worker's cache, kept from task to task."""
+    """A worker's cache, of which `KEPT_WORDS` outlast a task."""
     return WordIds(path, end)
 
 
@@ -298,6 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
                 yield out(stream, held.schema, last=False)
             stream.add(batch.column("id").to_pylist(), *encode(batch.column("text"), cache))
             held = batch
+        cache.shrink(KEPT_WORDS)
         if held is not None:
             yield out(stream, held.schema, last=True)
 

@@ -74,7 +74,9 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None
     flat = data[solid]
     at = np.cumsum(lengths) - lengths
     packed = np.full(len(flat) + len(starts), 32, np.uint8)
-    packed[np.arange(len(flat)) + np.repeat(np.arange(len(starts)), lengths)] = flat
+    inside = np.ones(len(packed), bool)
+    inside[at + lengths + np.arange(len(starts))] = False
+    packed[inside] = flat
     if not len(starts) or not hashed:
         return Words(packed, at + np.arange(len(starts)), lengths, text, firsts, np.zeros(0, U64))
     place = np.arange(len(flat)) - np.repeat(at, lengths)

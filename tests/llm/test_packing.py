@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.packing import EVEN_PENALTY, best_cuts, candidates, pack
+from quire.llm.packing import END, EVEN_PENALTY, WordIds, best_cuts, candidates, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -141,3 +141,14 @@ def test_cuts_are_the_cheapest():
         for p in places.tolist()[1:]:  # every earlier place is tried
             best[p] = min(best[q] + cost([q, p], penalty, 2048) for q in places.tolist() if q < p and p - q <= 2048)
         assert cost(best_cuts(places, penalties, 2048, total, True), penalty, 2048) == best[total]
+
+
+def test_few_words_outlast_a_task():
+    cache = WordIds(public_tokenizers.path("word_bpe_49k.json"), END)
+    words = [f"word{i} {i * i}x ".encode() for i in range(300)]
+    ids = lambda: [flat[a : a + n].tolist() for flat, s, c in [cache.of(words)] for a, n in zip(s, c, strict=True)]
+    want = ids()
+    for most in (400, 300, 40, 0):
+        cache.shrink(most)
+        assert len(cache.place) == min(most, 300) and sum(map(len, cache.flat)) == cache.total == 1 + sum(map(len, want[:most]))
+        assert ids() == want and cache.flat[0][0] == END
