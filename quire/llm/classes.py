@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import over_texts, shared_dir, small_batches, stored
-from quire.llm.ragged import scan_words, text_bytes
+from quire.llm.ragged import scan_words, spans, text_bytes
 
 CLASSES = 64
 CONTEXTS = 256
 ROUNDS = 6
 CHUNK_BYTES = 6 << 20
+#: Words whose classes are looked for at once, and their neighbours: batches are put together up to either.
+WORDS_AT_ONCE = 8_000
+ENTRIES_AT_ONCE = 60_000
 END = 0
 #: A token of a word that training saw once has this added to its class.
 ONCE = 128
@@ -166,8 +169,21 @@ def read_words(batch: pa.RecordBatch) -> Words:
     own = np.concatenate([own, np.arange(len(c)), np.arange(len(c))])
     j = np.concatenate([j, np.full(len(c), side - 1), np.full(len(c), 2 * side - 1)])
     order = np.argsort(own, kind="stable")
+    n = np.concatenate([n, rest])
+    order = order[n[order] > 0]
     half = batch.column("half").to_numpy(zero_copy_only=False)
-    return Words(c, half, np.searchsorted(own[order], np.arange(len(c))), j[order], np.concatenate([n, rest])[order])
+    return Words(c, half, np.searchsorted(own[order], np.arange(len(c))), j[order], n[order])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows, entries = [], 0, 0
+    for batch in batches:
+        held, rows, entries = [*held, batch], rows + len(batch), entries + len(batch.column("near").flatten())
+        if rows >= WORDS_AT_ONCE or entries >= ENTRIES_AT_ONCE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, entries = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def gains(words: Words, table: np.ndarray) -> np.ndarray:
@@ -187,6 +203,24 @@ def own_gain(words: Words, table: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def classes_of(words: Words, tables: list[np.ndarray]) -> np.ndarray:
+    """The class of each word after the rounds of these tables; words seen once between the same neighbours, of one half, are worked out once."""
+    once = words.c == 1
+    lengths = np.diff(np.append(words.firsts, len(words.j)))
+    own = np.repeat(np.arange(len(once)), lengths)
+    side = CONTEXTS + 2
+    place = np.where(words.j < side, words.j, (words.j - side) * side) * (words.n > 0)
+    between = np.bincount(own, place, len(once))[once].astype(np.int64) * 2 + words.half[once]
+    _, first, same = np.unique(between, return_index=True, return_inverse=True)
+    often = np.flatnonzero(~once)
+    pick = np.concatenate([often, np.flatnonzero(once)[first]])
+    at = spans(words.firsts[pick], lengths[pick])
+    found = classes_of_each(Words(words.c[pick], words.half[pick], np.cumsum(lengths[pick]) - lengths[pick], words.j[at], words.n[at]), tables)
+    of = np.empty(len(once), found.dtype)
+    of[often], of[once] = found[: len(often)], found[len(often) :][same]
+    return of
+
+
+def classes_of_each(words: Words, tables: list[np.ndarray]) -> np.ndarray:
     """The class of each word after the rounds of these tables, the first of which has the first words' neighbours only."""
     of = gains(words, tables[0]).argmax(axis=1)
     for k, table in enumerate(tables[1:]):
@@ -217,7 +251,7 @@ def cluster(known: DataFrame, first: list[str], rounds: int = ROUNDS) -> list[np
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(CLASSES * width, np.int64)
-            for batch in batches:
+            for batch in gathered(batches):
                 if len(batch):
                     words = read_words(batch)
                     of = np.repeat(classes_of(words, shared.value), np.diff(np.append(words.firsts, len(words.j))))
@@ -249,7 +283,7 @@ def assigned(known: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     shared = known.sparkSession.sparkContext.broadcast(tables)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             of = classes_of(read_words(batch), shared.value) + 1 if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(of, pa.int32())], ["word", "c", "class"])
 

@@ -144,6 +144,22 @@ def test_rounds_raise_the_value():
     assert entropy(np.array([0.0, 1.0, 2.0])).tolist() == [0, 0, 2 * math.log(2)]
 
 
+def test_words_between_the_same_neighbours_are_worked_out_once(monkeypatch):
+    draw = np.random.default_rng(5)
+    side, n = CONTEXTS + 2, 500
+    rare = np.stack([draw.integers(0, 4, n), side + draw.integers(0, 4, n)], axis=1).ravel()
+    more = drawn(5, 40)
+    words = Words(np.append(np.ones(n, int), more.c), np.append(draw.random(n) < 0.5, more.half), np.append(np.arange(n) * 2, 2 * n + more.firsts), np.append(rare, more.j), np.append(np.ones(2 * n, int), more.n))
+    tables = [table_of(words, draw.integers(0, 9, n + 40)) for _ in range(4)]
+    want = []
+    for w, (a, b) in enumerate(zip(words.firsts, np.append(words.firsts, len(words.j))[1:], strict=False)):
+        want.append(int(classes_of(Words(words.c[w : w + 1], words.half[w : w + 1], np.zeros(1, int), words.j[a:b], words.n[a:b]), tables)[0]))
+    sizes = []
+    monkeypatch.setattr(classes, "gains", lambda some, table: sizes.append(len(some.c)) or gains(some, table))
+    assert classes_of(words, tables).tolist() == want
+    assert max(sizes) <= 4 * 4 * 2 + 40
+
+
 def test_probabilities_sum_to_one(docs):
     model = learn(docs, rounds=2)
     used = model.totals.classes > 0
